@@ -10,7 +10,7 @@ from linesieve.operators.chunks import BLOCK, numbered
 
 
 def sample_records(
-    df: DataFrame, keys: list[str], order: str, critical: Column, cap: int, size: int = BLOCK,
+    df: DataFrame, keys: list[str], order: str | list[str], critical: Column, cap: int, size: int = BLOCK,
     block: str | Column | None = None, head: int = P.JSON_HEAD_ITEMS, tail: int = P.JSON_TAIL_ITEMS,
 ) -> DataFrame:
     """Groups up to ``cap`` stay whole; longer ones keep first, last and critical rows.
@@ -18,7 +18,8 @@ def sample_records(
     Above the cap critical rows come first, in order. Adds ``_index``, ``total_items`` and
     ``sampled_items``. The ranking only ever keeps ``cap`` rows per group, also before the shuffle.
     """
-    placed = numbered(df, keys, [order], block if block is not None else order, size, "_index", "total_items")
+    order = [order] if isinstance(order, str) else list(order)
+    placed = numbered(df, keys, order, block if block is not None else order[0], size, "_index", "total_items")
     placed = placed.withColumn("_critical", F.coalesce(critical, F.lit(False)))
     wanted = (
         (F.col("total_items") <= cap)

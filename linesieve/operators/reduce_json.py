@@ -16,7 +16,8 @@ from linesieve.operators.lines import ID
 
 CLOSE = 2**40  # place of a closing bracket among its children
 
-_STRING = r'"(?:[^"\\]|\\.)*"'
+# Possessive loops: long strings are read in a loop, not by recursion.
+_STRING = r'"(?:[^"\\]++|\\.)*+"'
 _ESCAPE = r'\\(?:u[0-9a-fA-F]{4}|.)'
 _STRONG_KEY = '"(?i:' + "|".join(P.JSON_STRONG_KEYS) + ')"'
 _EMPTY_SCALAR = r'(?:null|false|""|-?0(?:\.0+)?(?:[eE][-+]?\d+)?(?=[,}\]]))'

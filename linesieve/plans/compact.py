@@ -14,7 +14,7 @@ from linesieve.functions.text import (
 from linesieve.operators.detect import classify, detect_struct, eligibility
 from linesieve.operators.lines import ID
 from linesieve.plans.reduce import (
-    custom_route, decisive_lines, declared_critical, effective_confidence, reduce_outputs, view_notes,
+    ROUTES, custom_route, decisive_lines, declared_critical, effective_confidence, reduce_outputs, view_notes,
 )
 from linesieve.sources.outputs import spread
 from linesieve.sources.staging import stage
@@ -84,20 +84,19 @@ def validate(candidates: DataFrame) -> DataFrame:
 
 # ---- decision ---------------------------------------------------------------------------------
 
-def candidates_of(staged: DataFrame, views: DataFrame) -> DataFrame:
+def candidates_of(staged: DataFrame, views: DataFrame, parts: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row per reduced output: the original, its view and everything the guard needs."""
+    routes = {r for r, _ in parts} if parts is not None else set(ROUTES)
     raw_text = F.col("raw").cast("string")
     joined = staged.join(views, ID)
     none = F.array().cast("array<string>")
     return joined.withColumns(
         {
-            "critical": declared_critical(raw_text, F.col("route"), F.col("exit_code")),
+            "critical": declared_critical(raw_text, F.col("route"), F.col("exit_code"), routes),
             "protected": F.coalesce("protected", none),
-            "notes": view_notes(F.col("route"), F.col("route_note"), F.col("profile"), F.col("tags")),
-            "confidence": F.when(
-                F.col("route") == "git_diff", 1.0
-            ).otherwise(
-                effective_confidence(F.col("route"), F.col("profile"), F.col("confidence"), F.col("tags"))
+            "notes": view_notes(F.col("route"), F.col("route_note"), F.col("profile"), F.col("tags"), routes),
+            "confidence": effective_confidence(
+                F.col("route"), F.col("profile"), F.col("confidence"), F.col("tags")
             ),
             "detected_confidence": F.col("confidence"),
         }
@@ -228,5 +227,5 @@ def compact_corpus(
     if parts == []:
         return small
     views = reduce_outputs(work, parts)
-    decided = decide(candidates_of(work, views), store_available, allow_secrets)
+    decided = decide(candidates_of(work, views, parts), store_available, allow_secrets)
     return as_results(decided).unionByName(small)

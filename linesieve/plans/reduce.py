@@ -120,29 +120,46 @@ def decisive_lines(text: Column) -> Column:
     return F.array_distinct(F.filter(lines, lambda x: is_critical_line(x)))
 
 
-def declared_critical(text: Column, route: Column, exit_code: Column) -> Column:
+def _choose(route: Column, table: dict[str, Callable[[], Column]], routes: set[str], default: Column) -> Column:
+    """CASE over the routes that occur; expressions of the others are not even built."""
+    out = default
+    for name, make in table.items():
+        if name in routes:
+            out = F.when(route == name, make()).otherwise(out)
+    return out
+
+
+def declared_critical(text: Column, route: Column, exit_code: Column, routes: set[str] = frozenset(ROUTES)) -> Column:
     """What the reducer of each route promises to keep."""
-    none = F.array().cast("array<string>")
     clean = normalize_newlines(text)
-    lines = split_lines(clean)
-    log = F.concat(
-        F.filter(lines, lambda x: severity_class(x) == "critical"),
-        F.filter(lines, lambda x: severity_class(x) == "warning"),
-    )
-    errors = F.filter(
-        F.transform(lines, lambda x: F.regexp_extract(x, P.MATCH_LINE, 5)), lambda b: (b != "") & is_error_match(b)
-    )
-    test = F.when((exit_code != 0) | _has_failure(clean), decisive_lines(clean)).otherwise(
-        F.filter(lines, lambda x: is_test_warning(x))
-    )
-    return (
-        F.when(route.isin("generic", "test_strict"), decisive_lines(clean))
-        .when(route == "log", log)
-        .when(route == "test", test)
-        .when(route == "search", F.array_distinct(errors))
-        .when(route == "json", critical_values(F.to_json(json_value(strip_ansi(text)))))
-        .otherwise(none)
-    )
+
+    def log():
+        return let(
+            split_lines(clean),
+            lambda lines: F.concat(
+                F.filter(lines, lambda x: severity_class(x) == "critical"),
+                F.filter(lines, lambda x: severity_class(x) == "warning"),
+            ),
+        )
+
+    def search():
+        bodies = F.transform(split_lines(clean), lambda x: F.regexp_extract(x, P.MATCH_LINE, 5))
+        return F.array_distinct(F.filter(bodies, lambda b: (b != "") & is_error_match(b)))
+
+    def test():
+        return F.when((exit_code != 0) | _has_failure(clean), decisive_lines(clean)).otherwise(
+            F.filter(split_lines(clean), lambda x: is_test_warning(x))
+        )
+
+    table = {
+        "generic": lambda: decisive_lines(clean),
+        "test_strict": lambda: decisive_lines(clean),
+        "log": log,
+        "test": test,
+        "search": search,
+        "json": lambda: critical_values(F.to_json(json_value(strip_ansi(text)))),
+    }
+    return _choose(route, table, routes, F.array().cast("array<string>"))
 
 
 def effective_confidence(route: Column, profile: Column, confidence: Column, tags: Column) -> Column:
@@ -157,18 +174,26 @@ def effective_confidence(route: Column, profile: Column, confidence: Column, tag
     )
 
 
-def view_notes(route: Column, route_note: Column, profile: Column, tags: Column) -> Column:
+def view_notes(
+    route: Column, route_note: Column, profile: Column, tags: Column, routes: set[str] = frozenset(ROUTES)
+) -> Column:
     """The rules that were applied, in words."""
     words = lambda *w: F.array(*[F.lit(x) for x in w])
-    reduced = F.size(tags) > 0
     none = F.array().cast("array<string>")
     tree = ["range-distributed samples", "repeated top prefixes removed", "key-file preservation"]
-    generic = (
-        F.when(F.array_contains(tags, "window"), words("duplicate/progress collapse", "head-tail critical windowing"))
-        .when(reduced & (profile == STRICT), words("consecutive duplicate collapse"))
-        .when(reduced, words("duplicate/progress collapse"))
-        .otherwise(none)
-    )
+
+    def generic():
+        reduced = F.size(tags) > 0
+        said = (
+            F.when(
+                F.array_contains(tags, "window"), words("duplicate/progress collapse", "head-tail critical windowing")
+            )
+            .when(reduced & (profile == STRICT), words("consecutive duplicate collapse"))
+            .when(reduced, words("duplicate/progress collapse"))
+            .otherwise(none)
+        )
+        return F.concat(said, F.when(route_note.isNotNull(), F.array(route_note)).otherwise(none))
+
     fixed = {
         "log": ["severity preservation", "template grouping"],
         "test_strict": ["test progress collapse"],
@@ -183,13 +208,11 @@ def view_notes(route: Column, route_note: Column, profile: Column, tags: Column)
         "git_diff": ["protected diff passthrough"],
         "json": ["JSON structural sampling", "critical-value preservation"],
         "json_strict": ["JSON whitespace minification"],
+        "test": ["test-run summary"],
     }
-    out = F.when(
-        route == "generic", F.concat(generic, F.when(route_note.isNotNull(), F.array(route_note)).otherwise(none))
-    )
-    for name, texts in fixed.items():
-        out = out.when(route == name, words(*texts))
-    out = out.when(
-        (route == "duplicates") & (F.col("kind") == "git_status"), words("exact duplicate collapse")
-    ).when(route == "duplicates", words("duplicate collapse only"))
-    return out.when(route == "test", words("failure-focused or passing-test summary")).otherwise(none)
+    table = {name: (lambda texts=texts: words(*texts)) for name, texts in fixed.items()}
+    table["generic"] = generic
+    table["duplicates"] = lambda: F.when(
+        F.col("kind") == "git_status", words("exact duplicate collapse")
+    ).otherwise(words("duplicate collapse only"))
+    return _choose(route, table, routes, none)
