@@ -71,7 +71,7 @@ PROGRESS_BAR = r"\[[#=*>.\- ]{5,}\]"
 PROGRESS_VERB = r"(?iU)(?:downloading|uploading|building|compiling|processing)\b.*\d"
 
 # ---- search matches ---------------------------------------------------------------------------
-MATCH_LINE = r"(?U)^(.*?)([:\-])(\d+)([:\-])(.*)$"
+MATCH_HEAD = r"(?U)^.*?[:\-]\d+[:\-]"
 ERROR_MATCH = (
     r"(?iU)(?:\b(?:fatal|critical|panic|failed|failure|denied|timeout)\b"
     r"|\b[A-Za-z_][A-Za-z0-9_]*(?:Error|Exception)\b|\berror\b|\bexception\b)"

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from linesieve.functions import patterns as P
-from linesieve.functions.text import _c, strip
+from linesieve.functions.text import _c, let, strip
 
 
 def contains_secret(x) -> Column:
@@ -39,16 +39,27 @@ def severity_class(x) -> Column:
     )
 
 
+def match_head(x) -> Column:
+    """The ``path:line:`` part of a match line; empty when the line has another shape."""
+    return F.regexp_extract(_c(x), P.MATCH_HEAD, 0)
+
+
+def match_parts(line: Column, head: Column) -> dict[str, Column]:
+    """Path, line number, second separator and body, cut by position once the head is known."""
+    number = F.regexp_extract(head, r"(?U)(\d+).\z", 1)
+    return {
+        "path": F.substring(head, F.lit(1), F.length(head) - F.length(number) - 2),
+        "match_line": number,
+        "sep": F.substring(head, -1, 1),
+        "body": F.substring(line, F.length(head) + 1, F.length(line)),
+    }
+
+
 def parse_match(x) -> Column:
     """``path:line:body`` (or ``-`` separated) as a struct; NULL when the line has another shape."""
     x = _c(x)
-    part = lambda i: F.regexp_extract(x, P.MATCH_LINE, i)
-    return F.when(
-        x.rlike(P.MATCH_LINE),
-        F.struct(
-            part(1).alias("path"), part(3).alias("match_line"), part(4).alias("sep"), part(5).alias("body")
-        ),
-    )
+    whole = lambda h: F.when(h != "", F.struct(*[c.alias(n) for n, c in match_parts(x, h).items()]))
+    return let(match_head(x), whole)
 
 
 def is_error_match(body) -> Column:

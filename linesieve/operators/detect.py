@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linesieve.functions import patterns as P
 from linesieve.functions.knobs import MAX, SAFE, STRICT
-from linesieve.functions.predicates import parse_match
+from linesieve.functions.predicates import match_head, match_parts
 from linesieve.functions.text import (
     is_binary, is_valid_json, json_value, let, line_count, normalize_newlines, split_lines, strip, strip_ansi,
 )
@@ -126,9 +126,8 @@ def eligible(outputs: DataFrame) -> DataFrame:
 # ---- route ------------------------------------------------------------------------------------
 
 def _many_paths(lines: Column) -> Column:
-    paths = F.transform(
-        F.filter(lines, lambda x: x.rlike(P.MATCH_LINE)), lambda x: F.regexp_extract(x, P.MATCH_LINE, 1)
-    )
+    path = lambda x: let(match_head(x), lambda h: F.when(h != "", match_parts(x, h)["path"]))
+    paths = F.filter(F.transform(lines, path), lambda p: p.isNotNull())
     return let(paths, lambda p: F.coalesce(F.array_min(p) != F.array_max(p), F.lit(False)))
 
 

@@ -11,6 +11,7 @@ from linesieve.functions.text import strip
 from linesieve.operators.chunks import ALL, BEFORE, BLOCK, CHUNK, carry, in_chunk, with_chunk
 from linesieve.operators.lines import ID, LINE, NO, VIEW, carry_section, emit, marker, view_row
 from linesieve.operators.reduce_text import END
+from linesieve.sources.staging import stage
 
 
 def git_status_rows(lines: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -59,36 +60,43 @@ def git_status_rows(lines: DataFrame, size: int = BLOCK) -> DataFrame:
         )
         .otherwise(role("note", none, F.col("bare"), False))
     )
-    return entry.select(ID, NO, parsed.alias("_p")).select(ID, NO, "_p.*")
+    rows = entry.select(ID, NO, parsed.alias("_p")).select(ID, NO, "_p.*")
+    return rows.withColumn("label_key", F.coalesce("label", F.lit("")))
 
 
 def group_git_status(lines: DataFrame, size: int = BLOCK) -> DataFrame:
     """Notes first, then every path under its ``[label] n`` heading, labels in first-seen order."""
     rows = git_status_rows(lines.select(ID, NO, LINE), size)
-    notes = emit(
-        rows.where(F.col("role").isin("note", "branch")),
+    # Rows without a path share the NULL label; one pass places every row of the view.
+    placed = stage(
+        carry(with_chunk(rows, NO, size), [ID, "label_key"], {"first_no": (F.min(NO), F.min, ALL)}).drop(CHUNK), "status"
+    )
+    shown = emit(
+        placed,
         F.array(
-            view_row(
-                0, F.col(NO),
-                F.when(F.col("role") == "branch", F.concat(F.lit("branch "), F.col("text"))).otherwise(F.col("text")),
-            )
+            F.when(F.col("role") == "note", view_row(0, F.col(NO), F.col("text"))),
+            F.when(F.col("role") == "branch", view_row(0, F.col(NO), F.concat(F.lit("branch "), F.col("text")))),
+            F.when(
+                F.col("role") == "path",
+                view_row(1, F.col("first_no"), F.concat(F.lit("  "), F.col("text")), o3=F.col(NO)),
+            ),
         ),
     )
-    paths = carry(
-        with_chunk(rows.where(F.col("role") == "path"), NO, size), [ID, "label"], {"first_no": (F.min(NO), F.min, ALL)}
+    counts = placed.where(F.col("role").isin("path", "drop")).groupBy(ID, "role", "label").agg(
+        F.min(NO).alias("first_no"), F.count(F.lit(1)).alias("n")
     )
-    listed = emit(paths, F.array(view_row(1, F.col("first_no"), F.concat(F.lit("  "), F.col("text")), o3=F.col(NO))))
-    headings = emit(
-        paths.groupBy(ID, "label").agg(F.min(NO).alias("first_no"), F.count(F.lit(1)).alias("n")),
+    heading = F.concat(F.lit("["), F.col("label"), marker("] ", F.col("n"), ""))
+    framed = emit(
+        counts,
         F.array(
-            view_row(1, F.col("first_no"), F.concat(F.lit("["), F.col("label"), marker("] ", F.col("n"), "")), o3=-1)
+            F.when(F.col("role") == "path", view_row(1, F.col("first_no"), heading, o3=-1)),
+            F.when(
+                F.col("role") == "drop",
+                view_row(END, 0, marker("… ", F.col("n"), " boilerplate/blank lines removed …"), F.col("n")),
+            ),
         ),
     )
-    gone = rows.where(F.col("role") == "drop").groupBy(ID).agg(F.count(F.lit(1)).alias("n"))
-    closing = emit(
-        gone, F.array(view_row(END, 0, marker("… ", F.col("n"), " boilerplate/blank lines removed …"), F.col("n")))
-    )
-    return notes.unionByName(listed).unionByName(headings).unionByName(closing).select(*VIEW)
+    return shown.unionByName(framed).select(*VIEW)
 
 
 def git_status_facts(lines: DataFrame, size: int = BLOCK) -> DataFrame:

@@ -221,14 +221,15 @@ def reduce_json(outputs: DataFrame, profile: str | None = None, text_col: str =
     start = _line(F.array().cast("array<long>"), F.lit(""), json_value(strip_ansi(text_col)))
     rows = outputs.select(ID, knob("json_cap").alias("cap"), start.alias("q")).where(F.col("q.v").isNotNull())
     q, cap = F.col("q"), F.col("cap")
-    for depth in range(P.JSON_MAX_DEPTH + 1):
-        opened = let(
-            F.struct(as_array(q["v"]).alias("a"), F.map_entries(as_map(q["v"])).alias("m")),
-            lambda c: F.when(c["a"].isNotNull(), _open_array(q, c["a"], cap))
-            .when(c["m"].isNotNull(), _open_map(q, c["m"]))
-            .otherwise(F.array(_line(q["path"], F.concat(q["text"], F.to_json(q["v"]))))),
-        )
-        rows = rows.select(ID, "cap", F.explode(F.when(q["v"].isNotNull(), opened).otherwise(F.array(q))).alias("q"))
+    opened = let(
+        F.struct(as_array(q["v"]).alias("a"), F.map_entries(as_map(q["v"])).alias("m")),
+        lambda c: F.when(c["a"].isNotNull(), _open_array(q, c["a"], cap))
+        .when(c["m"].isNotNull(), _open_map(q, c["m"]))
+        .otherwise(F.array(_line(q["path"], F.concat(q["text"], F.to_json(q["v"]))))),
+    )
+    step = F.explode(F.when(q["v"].isNotNull(), opened).otherwise(F.array(q))).alias("q")
+    for _ in range(P.JSON_MAX_DEPTH + 1):
+        rows = rows.select(ID, "cap", step)
     deep = q["v"].isNotNull()
     closing = F.element_at(q["path"], -1) == CLOSE
     indent = 2 * (F.size(q["path"]) - F.when((F.size(q["path"]) > 0) & closing, 1).otherwise(0))

@@ -12,6 +12,7 @@ from linesieve.functions.text import strip
 from linesieve.operators.chunks import ALL, BEFORE, BLOCK, CHUNK, carry, numbered, with_chunk
 from linesieve.operators.detect import is_tree_noise, tree_depth
 from linesieve.operators.lines import ID, LINE, NO, VIEW, carry_section, emit, is_spread_anchor, marker, view_row
+from linesieve.sources.staging import stage
 
 KEYS, TOPS, GROUPS, BODY, SUFFIXES = 1, 2, 3, 4, 5
 
@@ -93,7 +94,8 @@ def reduce_listing(lines: DataFrame, profile: str | None = None, size: int = BLO
         lines = lines.withColumn("profile", F.lit(profile))
     columns = [ID, NO, LINE, "profile"] + (["nested"] if "nested" in lines.columns else [])
     items = listing_items(lines.select(*columns), size).select(ID, NO, "value", "profile")
-    grouped = group_by_top(items, size)
+    # Six sections read the grouped paths, so they are written once.
+    grouped = stage(group_by_top(items, size), "listing")
 
     # Totals and group headings.
     tops = grouped.groupBy(ID, "top").agg(
@@ -138,8 +140,8 @@ def reduce_listing(lines: DataFrame, profile: str | None = None, size: int = BLO
         F.array(view_row(BODY, F.col("first_no"), F.concat(F.lit("    "), relative), o3=F.col(NO))),
     )
     return (
-        frame.unionByName(key_file_section(items)).unionByName(single_entry_section(grouped, size))
-        .unionByName(headings).unionByName(members).unionByName(suffix_section(items)).select(*VIEW)
+        frame.unionByName(key_file_section(grouped)).unionByName(single_entry_section(grouped, size))
+        .unionByName(headings).unionByName(members).unionByName(suffix_section(grouped)).select(*VIEW)
     )
 
 

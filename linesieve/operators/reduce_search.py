@@ -7,17 +7,19 @@ from pyspark.sql import functions as F
 
 from linesieve.functions import patterns as P
 from linesieve.functions.knobs import knob
-from linesieve.functions.predicates import is_error_match, is_symbol_definition, parse_match
+from linesieve.functions.predicates import is_error_match, is_symbol_definition, match_head, match_parts
 from linesieve.operators.chunks import ALL, BEFORE, BLOCK, CHUNK, carry, in_chunk, with_chunk
 from linesieve.operators.lines import ID, LINE, NO, VIEW, emit, is_spread_anchor, marker, view_row
 from linesieve.operators.reduce_text import END
+from linesieve.sources.staging import stage
 
 GROUP = [ID, "path"]
 
 
 def parse_matches(lines: DataFrame) -> DataFrame:
     """Parsed match rows: path, match_line, sep, body next to the raw line."""
-    return lines.withColumn("_m", parse_match(LINE)).where(F.col("_m").isNotNull()).select("*", "_m.*").drop("_m")
+    headed = lines.withColumn("_head", match_head(LINE)).where(F.col("_head") != "")
+    return headed.withColumns(match_parts(F.col(LINE), F.col("_head"))).drop("_head")
 
 
 def sample_matches(matches: DataFrame, samples: Column, size: int = BLOCK) -> DataFrame:
@@ -94,7 +96,8 @@ def reduce_search(lines: DataFrame, profile: str | None = None, size: int = BLOC
         lines = lines.withColumn("profile", F.lit(profile))
     lines = lines.select(ID, NO, LINE, "profile")
     samples = knob("search_samples")
-    chosen = sample_matches(parse_matches(lines), samples, size)
+    # The sample is far smaller than the matches; four branches read it, so it is written once.
+    chosen = stage(sample_matches(parse_matches(lines), samples, size), "matches")
     aliases = alias_repeated_bodies(chosen).select(ID, "body", "alias_no", "alias")
 
     named = chosen.join(aliases.select(ID, "body", "alias"), [ID, "body"], "left")
@@ -131,7 +134,7 @@ def reduce_search(lines: DataFrame, profile: str | None = None, size: int = BLOC
 def unparsed_section(lines: DataFrame) -> DataFrame:
     """Lines that are no match, up to the profile's cap, with a count of the others."""
     cap = knob("search_unparsed")
-    other = lines.where(~F.col(LINE).rlike(P.MATCH_LINE))
+    other = lines.where(match_head(LINE) == "")
     most = max(P.KNOBS["search_unparsed"].values())
     ranked = other.withColumn("rank", F.row_number().over(Window.partitionBy(ID).orderBy(NO))).where(
         F.col("rank") <= most

@@ -17,6 +17,7 @@ from linesieve.operators.lines import (
     ID, LINE, N, NO, VIEW, anchor_rows, collapse_consecutive_duplicates, collapse_progress, emit, expand_windows,
     extract_critical_lines, is_context_critical, marker, render_windows, view_row,
 )
+from linesieve.sources.staging import stage
 
 END = 2**61  # sort place of closing sections
 
@@ -100,7 +101,8 @@ def reduce_log(lines: DataFrame, profile: str | None = None, size: int = BLOCK)
     if profile is not None:
         lines = lines.withColumn("profile", F.lit(profile))
     lines = lines.select(ID, NO, N, LINE, "profile")
-    families = log_template_counts(lines)
+    # One row per template and output; three branches read it, so it is written once.
+    families = stage(log_template_counts(lines), "templates")
     radius = knob("log_radius")
     edges = anchor_rows(lines, P.LOG_HEAD, P.LOG_TAIL, severity_class(LINE) != "other").select(ID, NO, N, "profile")
     first_of = families.where(F.col("n") >= knob("log_min_family")).select(
@@ -148,15 +150,13 @@ def reduce_test(lines: DataFrame, profile: str | None = None, size: int = BLOCK)
         bad = F.bool_or((F.col("exit_code") != 0) | is_test_failure(LINE))
         lines = carry(with_chunk(lines, NO, size), [ID], {"failed": (bad, F.bool_or, ALL)})
     lines = lines.select(ID, NO, N, LINE, "profile", "failed")
-    failing, passing = lines.where("failed"), lines.where(~F.col("failed"))
-    fail_hits = anchor_rows(
-        failing, P.FAIL_HEAD, P.FAIL_TAIL, is_test_failure(LINE), is_test_location(LINE), is_test_summary(LINE)
-    )
-    pass_hits = anchor_rows(passing, P.PASS_HEAD, P.PASS_TAIL, is_test_warning(LINE), is_test_summary(LINE))
-    covered = expand_windows(
-        fail_hits.unionByName(pass_hits),
-        F.when(F.col("failed"), knob("fail_radius")).otherwise(knob("pass_radius")),
+    failed = F.col("failed")
+    either = lambda fail, ok: F.when(failed, fail).otherwise(ok)
+    hits = anchor_rows(
+        lines, either(P.FAIL_HEAD, P.PASS_HEAD), either(P.FAIL_TAIL, P.PASS_TAIL),
+        either(is_test_failure(LINE) | is_test_location(LINE), is_test_warning(LINE)), is_test_summary(LINE),
     )
+    covered = expand_windows(hits, either(knob("fail_radius"), knob("pass_radius")))
     return render_windows(lines, covered, size).select(*VIEW)
 
 

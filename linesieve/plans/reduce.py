@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from linesieve.functions import patterns as P
 from linesieve.functions.knobs import MAX, STRICT
 from linesieve.functions.predicates import (
-    is_critical_line, is_error_match, is_test_failure, is_test_warning, severity_class,
+    is_critical_line, is_error_match, is_test_failure, is_test_warning, match_head, match_parts, severity_class,
 )
 from linesieve.functions.text import (
     json_value, let, minify_json, normalize_line, normalize_newlines, split_lines, strip_ansi,
@@ -143,7 +143,8 @@ def declared_critical(text: Column, route: Column, exit_code: Column, routes: se
         )
 
     def search():
-        bodies = F.transform(split_lines(clean), lambda x: F.regexp_extract(x, P.MATCH_LINE, 5))
+        body = lambda x: let(match_head(x), lambda h: F.when(h != "", match_parts(x, h)["body"]).otherwise(""))
+        bodies = F.transform(split_lines(clean), body)
         return F.array_distinct(F.filter(bodies, lambda b: (b != "") & is_error_match(b)))
 
     def test():
