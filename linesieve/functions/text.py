@@ -52,12 +52,9 @@ def has_rare_breaks(x: Column) -> Column:
 
 def split_lines(x) -> Column:
     """All text lines; a final line break opens no extra line."""
-    x = _c(x)
-    parts = F.when(has_rare_breaks(x), F.split(x, P.LINE_BREAK)).otherwise(F.split(x, "\n"))
-    return let(
-        parts,
-        lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p),
-    )
+    cut = lambda s: F.when(has_rare_breaks(s), F.split(s, P.LINE_BREAK)).otherwise(F.split(s, "\n"))
+    whole = lambda p: F.when(F.element_at(p, -1) == "", F.slice(p, 1, F.size(p) - 1)).otherwise(p)
+    return let(_c(x), lambda s: let(cut(s), whole))
 
 
 def line_count(x) -> Column:
@@ -155,8 +152,8 @@ def render_view(text, kind, artifact_id, exit_code, raw_lines, omitted) -> Colum
         F.lit("; lines="), _c(raw_lines).cast("string"), F.lit("->"), line_count(text).cast("string"),
         F.lit("; omitted="), _c(omitted).cast("string"), F.lit(" | exact: "), artifact_id, F.lit("]"),
     )
-    joined = F.concat_ws("\n", header, F.when(body != "", body))
-    return F.when(joined == "", joined).otherwise(F.concat(F.regexp_replace(joined, "\n\\z", ""), F.lit("\n")))
+    closed = lambda s: F.when((s == "") | F.endswith(s, F.lit("\n")), s).otherwise(F.concat(s, F.lit("\n")))
+    return let(body, lambda b: let(F.concat_ws("\n", header, F.when(b != "", b)), closed))
 
 
 def json_value(x) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -34,22 +36,26 @@ def reduce_generic(lines: DataFrame, profile: str | None = None, size: int = BLO
     """
     if profile is not None:
         lines = lines.withColumn("profile", F.lit(profile))
-    rows = collapse_consecutive_duplicates(lines.select(ID, NO, N, LINE, "profile"), size)
-    strict = rows.where(F.col("profile") == STRICT).select(*VIEW)
-    loose = collapse_progress(rows.where(F.col("profile") != STRICT))
-    if profile == STRICT:
-        return strict
-    if profile == SAFE:
-        return loose.select(*VIEW)
-    plain = loose.where(F.col("profile") != MAX).select(*VIEW)
-    return strict.unionByName(plain).unionByName(
-        window_generic(loose.where(F.col("profile") == MAX), lines.where(F.col("profile") == MAX), size)
-    )
+    lines = lines.select(ID, NO, N, LINE, "profile")
+    strict, most = F.col("profile") == STRICT, F.col("profile") == MAX
+    # A view has at most one row more than its output has lines: shorter outputs never need windows.
+    maybe_long = most & (F.col(N) >= P.GENERIC_WINDOW_ABOVE)
+    loose = lambda part: collapse_progress(collapse_consecutive_duplicates(part, size))
+    views = []
+    if profile in (None, STRICT):
+        views.append(reduce_duplicates(lines.where(strict), size))
+    if profile != STRICT:
+        views.append(loose(lines.where(~strict & ~maybe_long)).select(*VIEW))
+    if profile in (None, MAX):
+        long_lines = lines.where(maybe_long)
+        views.append(window_generic(loose(long_lines), long_lines, size))
+    return reduce(DataFrame.unionByName, views)
 
 
 def window_generic(rows: DataFrame, lines: DataFrame, size: int = BLOCK) -> DataFrame:
     """Views above the line limit keep head, tail and lines holding a decisive line, with context."""
     placed = numbered(rows, [ID], ["o1", "o2"], F.least(F.col("o1"), F.col(N)), size, index="pos", total="n_view")
+    placed = stage(placed, "long-views")
     short = placed.where(F.col("n_view") <= P.GENERIC_WINDOW_ABOVE).select(*VIEW)
     long = placed.where(F.col("n_view") > P.GENERIC_WINDOW_ABOVE)
     counts = long.where(F.col("dropped") > 0).select(

@@ -92,7 +92,7 @@ def candidates_of(staged: DataFrame, views: DataFrame, parts: list[tuple[str, st
     none = F.array().cast("array<string>")
     return joined.withColumns(
         {
-            "critical": declared_critical(raw_text, F.col("route"), F.col("exit_code"), routes),
+            "critical": declared_critical(raw_text, F.col("route"), F.col("exit_code"), F.col("tags"), routes),
             "protected": F.coalesce("protected", none),
             "notes": view_notes(F.col("route"), F.col("route_note"), F.col("profile"), F.col("tags"), routes),
             "confidence": effective_confidence(

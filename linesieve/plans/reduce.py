@@ -13,7 +13,7 @@ from linesieve.functions.predicates import (
     is_critical_line, is_error_match, is_test_failure, is_test_warning, match_head, match_parts, severity_class,
 )
 from linesieve.functions.text import (
-    json_value, let, minify_json, normalize_line, normalize_newlines, split_lines, strip_ansi,
+    json_value, let, minify_json, normalize_newlines, split_lines, strip_ansi,
 )
 from linesieve.operators.lines import ID, LINE, assemble_view
 from linesieve.operators.reduce_git import cap_commit_bodies, git_status_facts, group_git_status
@@ -116,7 +116,8 @@ def reduce_outputs(classified: DataFrame, parts: list[tuple[str, str]] | None =
 
 def decisive_lines(text: Column) -> Column:
     """Distinct decisive lines of a text in first-seen order."""
-    lines = F.transform(split_lines(text), lambda x: normalize_line(x))
+    # Split lines hold no line breaks, so only escape sequences are left to remove.
+    lines = F.transform(split_lines(text), lambda x: strip_ansi(x))
     return F.array_distinct(F.filter(lines, lambda x: is_critical_line(x)))
 
 
@@ -129,9 +130,15 @@ def _choose(route: Column, table: dict[str, Callable[[], Column]], routes: set[s
     return out
 
 
-def declared_critical(text: Column, route: Column, exit_code: Column, routes: set[str] = frozenset(ROUTES)) -> Column:
-    """What the reducer of each route promises to keep."""
+def declared_critical(
+    text: Column, route: Column, exit_code: Column, tags: Column, routes: set[str] = frozenset(ROUTES)
+) -> Column:
+    """What the reducer of each route promises to keep.
+
+    A generic view without any applied rule holds every line, so there is nothing to look for.
+    """
     clean = normalize_newlines(text)
+    none = F.array().cast("array<string>")
 
     def log():
         return let(
@@ -153,14 +160,14 @@ def declared_critical(text: Column, route: Column, exit_code: Column, routes: se
         )
 
     table = {
-        "generic": lambda: decisive_lines(clean),
+        "generic": lambda: F.when(F.size(tags) > 0, decisive_lines(clean)).otherwise(none),
         "test_strict": lambda: decisive_lines(clean),
         "log": log,
         "test": test,
         "search": search,
         "json": lambda: critical_values(F.to_json(json_value(strip_ansi(text)))),
     }
-    return _choose(route, table, routes, F.array().cast("array<string>"))
+    return _choose(route, table, routes, none)
 
 
 def effective_confidence(route: Column, profile: Column, confidence: Column, tags: Column) -> Column:
