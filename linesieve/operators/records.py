@@ -57,11 +57,12 @@ def numeric_summary(df: DataFrame, keys: list[str], fields: list[str]) -> DataFr
 
 def numeric_summary_of_maps(df: DataFrame, keys: list[str], record: Column) -> DataFrame:
     """The same summary for records given as ``map<string, variant>``: fields are data, not columns."""
+    if not keys:
+        return numeric_summary_of_maps(df.withColumn("_all", F.lit(1)), ["_all"], record).drop("_all")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_items"))
     entries = df.select(*keys, F.explode(record).alias("field", "_v")).where(F.to_json("_v").rlike(r"^-?\d"))
     value = F.try_variant_get("_v", "$", "double")
     stats = entries.select(*keys, "field", value.alias("x")).groupBy(*keys, "field").agg(
         F.count(F.lit(1)).alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean")
     )
-    joined = stats.join(sizes, keys) if keys else stats.crossJoin(F.broadcast(sizes))
-    return joined.where(F.col("n") >= F.greatest(F.lit(3), F.floor(F.col("n_items") / 3))).drop("n_items")
+    return stats.join(sizes, keys).where(F.col("n") >= F.greatest(F.lit(3), F.floor(F.col("n_items") / 3))).drop("n_items")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linesieve.functions import patterns as P
 from linesieve.functions.knobs import knob
 from linesieve.functions.predicates import is_error_match, is_symbol_definition, match_head, match_parts
-from linesieve.operators.chunks import ALL, BEFORE, BLOCK, CHUNK, carry, in_chunk, with_chunk
+from linesieve.operators.chunks import ALL, BEFORE, BLOCK, CHUNK, carry, numbered, with_chunk
 from linesieve.operators.lines import ID, LINE, NO, VIEW, emit, is_spread_anchor, marker, view_row
 from linesieve.operators.reduce_text import END
 from linesieve.sources.staging import stage
@@ -56,12 +58,13 @@ def sample_matches(matches: DataFrame, samples: Column, size: int = BLOCK) -> Da
     return errors.unionByName(spread)
 
 
-def alias_repeated_bodies(chosen: DataFrame, classes: int = 7) -> DataFrame:
+def alias_repeated_bodies(chosen: DataFrame, size: int = BLOCK) -> DataFrame:
     """Bodies worth an alias ``@i``: enough repeats, and enough characters saved.
 
-    An alias of length m pays off while m <= most. Numbers run in first-seen order, and the length only
-    changes after 9, 99, 999, ... accepted bodies, so each length is one running count over the rows
-    behind the previous length's last accepted body.
+    An alias of length m pays off while m <= most. Numbers run in first-seen order, and the length
+    changes only after 9, 99, 999, ... accepted bodies. So each length is one round: number the bodies
+    that fit it, take its quota, and go on behind the last one taken. A round ends the work as soon
+    as no output has filled its quota, so there are as many rounds as alias digits.
     """
     length, n = F.length("body"), F.col("repeats")
     fixed = P.ALIAS_FIXED_COST + P.ALIAS_MIN_GAIN
@@ -72,20 +75,18 @@ def alias_repeated_bodies(chosen: DataFrame, classes: int = 7) -> DataFrame:
         .withColumn("most", F.floor((length * (n - 1) - fixed) / (n + 1)))
         .where((n >= P.ALIAS_MIN_REPEATS) & (F.col("most") >= 2))
     )
-    order = Window.partitionBy(ID).orderBy("seen").rowsBetween(*(BEFORE[0], 0))
-    state = worth.withColumn("_open", F.lit(True)).withColumn("alias_no", F.lit(None).cast("long"))
-    given = 0
-    for digits in range(1, classes + 1):
+    left, taken, given = stage(worth, "bodies"), [], 0
+    for digits in range(1, 19):
         quota = 9 * 10 ** (digits - 1)
-        fits = F.col("_open") & (F.col("most") >= digits + 1)
-        state = state.withColumn("_fits", fits).withColumn("_rank", F.sum(F.col("_fits").cast("long")).over(order))
-        taken = F.col("_fits") & (F.col("_rank") <= quota)
-        behind = F.col("_open") & (F.col("_rank") >= quota) & ~taken
-        state = state.withColumns(
-            {"alias_no": F.when(taken, F.col("_rank") + given).otherwise(F.col("alias_no")), "_open": behind}
-        )
+        fits = left.where(F.col("most") >= digits + 1)
+        placed = numbered(fits, [ID], ["seen"], F.col("seen.first_no"), size)
+        taken.append(placed.where(F.col("idx") < quota).withColumn("alias_no", F.col("idx") + given + 1))
+        full = placed.where(F.col("idx") == quota - 1).select(ID, F.col("seen").alias("_cut"))
+        if full.isEmpty():
+            break
+        left = stage(left.join(full, ID).where(F.col("seen") > F.col("_cut")).drop("_cut"), "bodies")
         given += quota
-    return state.where(F.col("alias_no").isNotNull()).select(
+    return reduce(DataFrame.unionByName, taken).select(
         ID, "body", "repeats", "alias_no", F.concat(F.lit("@"), F.col("alias_no").cast("string")).alias("alias")
     )
 
@@ -98,7 +99,7 @@ def reduce_search(lines: DataFrame, profile: str | None = None, size: int = BLOC
     samples = knob("search_samples")
     # The sample is far smaller than the matches; four branches read it, so it is written once.
     chosen = stage(sample_matches(parse_matches(lines), samples, size), "matches")
-    aliases = alias_repeated_bodies(chosen).select(ID, "body", "alias_no", "alias")
+    aliases = alias_repeated_bodies(chosen, size).select(ID, "body", "alias_no", "alias")
 
     named = chosen.join(aliases.select(ID, "body", "alias"), [ID, "body"], "left")
     salient = F.col("is_error") | ((F.col("n_matches") <= samples) & is_symbol_definition("body"))

@@ -361,7 +361,7 @@ def event_progress_families(spark, sf_dir):
 
 
 def event_progress_reduce(spark, sf_dir):
-    return assemble_view(reduce_generic(progress_lines(spark, sf_dir), "safe")).select(ID, "view", "omitted_lines")
+    return reduce_generic(progress_lines(spark, sf_dir), "safe").select(ID, "o1", "o2", LINE, "dropped")
 
 
 def event_props_numeric_summary(spark, sf_dir):
@@ -499,7 +499,7 @@ def search_group_sample(spark, sf_dir):
 
 
 def search_body_aliases(spark, sf_dir):
-    return alias_repeated_bodies(chosen_matches(spark, sf_dir)).select(ID, "body", "repeats", "alias")
+    return alias_repeated_bodies(chosen_matches(spark, sf_dir), MATCH_SPAN).select(ID, "body", "repeats", "alias")
 
 
 def search_reduce(spark, sf_dir):
@@ -528,7 +528,7 @@ def commit_lines(spark, sf_dir) -> DataFrame:
 
 
 def commit_body_cap(spark, sf_dir):
-    return assemble_view(cap_commit_bodies(commit_lines(spark, sf_dir))).select(ID, "view", "omitted_lines")
+    return cap_commit_bodies(commit_lines(spark, sf_dir)).select(ID, "o1", LINE, "dropped")
 
 
 def order_status_report(spark, sf_dir):

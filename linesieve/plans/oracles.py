@@ -243,9 +243,9 @@ COMMITS = f"""
   kept AS (SELECT *, lag(role) OVER (PARTITION BY output_id ORDER BY line_no) AS prev FROM counted WHERE NOT in_body OR r <= 2),
   gone AS (SELECT output_id, count(*) AS n FROM counted WHERE in_body AND r > 2 GROUP BY 1),
   view AS (
-    SELECT output_id, line_no, CASE WHEN role = 'blank' THEN '' ELSE line END AS line FROM kept
+    SELECT output_id, line_no, CASE WHEN role = 'blank' THEN '' ELSE line END AS line, 0 AS dropped FROM kept
     WHERE role <> 'blank' OR (prev IS NOT NULL AND prev <> 'blank')
-    UNION ALL SELECT output_id, 1000000000000, '… ' || n || ' commit-body lines omitted …' FROM gone)"""
+    UNION ALL SELECT output_id, 2305843009213693952, '… ' || n || ' commit-body lines omitted …', n FROM gone)"""
 
 # ---- records -----------------------------------------------------------------------------------------------
 
@@ -510,9 +510,9 @@ ORACLES = {
         rows AS (
           SELECT output_id, o1, 0 AS o2, line, 0 AS dropped FROM families
           UNION ALL SELECT output_id, line_no, 1, '… previous line repeated ' || (run - 1) || ' more times …', run - 1 FROM runs WHERE run > 1
-          UNION ALL SELECT output_id, 1000000000000, 0, '… ' || CAST(sum(n - 1) AS BIGINT) || ' intermediate progress lines collapsed …', sum(n - 1)
+          UNION ALL SELECT output_id, 4611686018427387904, 0, '… ' || CAST(sum(n - 1) AS BIGINT) || ' intermediate progress lines collapsed …', sum(n - 1)
             FROM families GROUP BY 1 HAVING sum(n - 1) > 0)
-        SELECT output_id, string_agg(line, chr(10) ORDER BY o1, o2) AS view, CAST(sum(dropped) AS BIGINT) AS omitted_lines FROM rows GROUP BY 1""",
+        SELECT output_id, o1, CAST(o2 AS BIGINT) AS o2, line, CAST(dropped AS BIGINT) AS dropped FROM rows""",
     "event_props_numeric_summary": """
         SELECT event_type, 'k' AS field, count(k) AS n, min(k) AS min, max(k) AS max, round(avg(k), 6) AS mean
         FROM (SELECT event_type, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events) e
@@ -564,8 +564,7 @@ ORACLES = {
         SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN left(text, 20) END IGNORE NULLS)
                OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations""",
     "commit_body_cap": f"""
-        WITH {COMMITS} SELECT v.output_id, string_agg(line, chr(10) ORDER BY line_no) AS view,
-               coalesce(any_value(g.n), 0) AS omitted_lines FROM view v LEFT JOIN gone g ON g.output_id = v.output_id GROUP BY 1""",
+        WITH {COMMITS} SELECT output_id, line_no AS o1, line, dropped FROM view""",
     "order_status_report": f"""
         WITH {STATUS}
         SELECT e.output_id, 1 AS o1, l.first_no AS o2, e.line_no AS o3, '  ' || e.path AS line, 0 AS dropped
