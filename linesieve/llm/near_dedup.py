@@ -22,8 +22,8 @@ REGISTERS = BANDS * ROWS
 MANTISSA_BITS = 10
 #: Rounds in which empty buckets take elements dealt anew, before each empty bucket gets a hash function of its own.
 ROUNDS = 6
-#: Members of one bucket compared in a task; larger buckets are cut into tiles.
-TILE = 200
+#: Members of one bucket compared in a task, about; larger buckets are cut into tiles.
+TILE = 512
 
 _rng = np.random.default_rng(577)
 _ODD = _rng.integers(1, 1 << 62, 16, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -160,8 +160,9 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
         keys = band_keys(regs).view(np.int64)
-        reps = np.repeat(np.asarray(batch.column(0)), BANDS)
-        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(reps)], names=["key", "rep"])
+        yield pa.RecordBatch.from_arrays([
+            pa.array(keys.ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(regs))), pa.array(np.repeat(np.asarray(batch.column(0)), BANDS)),
+        ], names=["key", "band", "rep"])
 
 
 def _estimated(threshold: float):
@@ -177,56 +178,109 @@ def _estimated(threshold: float):
     return run
 
 
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether 100 * intersection >= percent * union."""
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _verified(percent: int):
     """Pairs with 100 * intersection >= percent * union of their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("set_a"), batch.column("set_b")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
+            keep = [
+                linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent)
+                for x, y in zip(batch.column("set_a"), batch.column("set_b"))
+            ]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _tile_pairs(threshold: float):
-    """Pairs of different components in each tile whose estimate is high enough; rows come sorted by tile."""
-
-    def pairs(run: pa.Table) -> pa.Table:
-        regs = np.frombuffer(b"".join(run.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        rep, part, block, n = (run.column(c).to_numpy() for c in ("rep", "part", "block", "n"))
-        out_a, out_b = [], []
-        alone = block.min() == block.max()
-        for i in range(len(rep)):
-            rest = np.flatnonzero(part != part[i])
-            rest = rest[rest > i] if alone else rest[(block[rest] != block[i]) & (rest > i)]
-            if len(rest):
-                near = rest[estimate((regs[rest] == regs[i]).sum(1), n[rest], np.full(len(rest), n[i])) >= _floor(threshold)]
-                out_a.append(np.minimum(rep[near], rep[i]))
-                out_b.append(np.maximum(rep[near], rep[i]))
-        join = lambda x: np.concatenate(x) if x else np.empty(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(join(out_a)), pa.array(join(out_b))], names=["a", "b"])
+def _tile_pairs(tile: pa.Table, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, other rows, estimates): pairs of different components whose estimate is high enough.
+
+    Rows that share several buckets are compared in that of their first common band alone; in a tile of two blocks, only
+    rows of different blocks are.
+    """
+    regs = np.frombuffer(b"".join(tile.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    part, block, n = (tile.column(c).to_numpy() for c in ("part", "block", "n"))
+    band = tile.column("band")[0].as_py()
+    alone = block.min() == block.max()
+    for i in range(len(tile)):
+        rest = np.flatnonzero(part[i + 1:] != part[i]) + i + 1
+        if not alone:
+            rest = rest[block[rest] != block[i]]
+        same = regs[rest] == regs[i]
+        first = ~same[:, :band * ROWS].reshape(len(rest), band, ROWS).all(2).any(1) if band else np.ones(len(rest), bool)
+        guess = estimate(same.sum(1), n[rest], np.full(len(rest), n[i]))
+        near = first & (guess >= _floor(threshold))
+        if near.any():
+            yield i, rest[near], guess[near]
+
+
+def _tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The tiles of rows that come sorted by tile."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
+        columns = [held.column(c).to_numpy() for c in ("key", "i", "j")]
+        low = 0
+        for cut in np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1:
+            yield held.slice(low, cut - low)
+            low = cut
+        held = held.slice(low)
+    if held is not None and len(held):
+        yield held
+
+
+_TILED = ("key", "band", "i", "j", "block", "rep", "part")
+
+
+def _tile_members(threshold: float):
+    """The rows of each tile that have a pair to verify there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for tile in _tiles(batches):
+            wanted = np.zeros(len(tile), bool)
+            for i, rest, _ in _tile_pairs(tile, threshold):
+                wanted[i] = True
+                wanted[rest] = True
+            yield from tile.select(_TILED).filter(pa.array(wanted)).to_batches()
+
+    return run
+
+
+def _tile_links(threshold: float, percent: int):
+    """Links of each tile that join components, likely ones first; a pair is verified only while its ends are apart."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-            tile = [held.column(c).to_numpy() for c in ("key", "i", "j")]
-            cuts = np.flatnonzero(np.any([t[1:] != t[:-1] for t in tile], axis=0)) + 1
-            low = 0
-            for cut in cuts:
-                yield pairs(held.slice(low, cut - low))
-                low = cut
-            held = held.slice(low)
-        if held is not None and len(held):
-            yield pairs(held)
+        for tile in _tiles(batches):
+            pairs = [(g, i, j) for i, rest, guess in _tile_pairs(tile, threshold) for g, j in zip(guess.tolist(), rest.tolist())]
+            pairs.sort(key=lambda p: (-p[0], p[1], p[2]))
+            sets = [np.frombuffer(b, np.uint64) for b in tile.column("shingles").to_pylist()]
+            rep, part = tile.column("rep").to_pylist(), tile.column("part").to_pylist()
+            root = {p: p for p in part}
+
+            def find(p: int) -> int:
+                while root[p] != p:
+                    root[p] = root[root[p]]
+                    p = root[p]
+                return p
+
+            links = []
+            for _, i, j in pairs:
+                a, b = find(part[i]), find(part[j])
+                if a != b and linked(sets[i], sets[j], percent):
+                    root[max(a, b)] = min(a, b)
+                    links.append((min(rep[i], rep[j]), max(rep[i], rep[j])))
+            if links:
+                a, b = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return run
 
@@ -244,7 +298,7 @@ def near_dedup(
     Documents with equal sets are one representative. In each bucket of equal bands all members are paired with one
     pivot, which differs by bucket; each document's best pair is verified first, then pairs that still cross components.
     Members of a bucket that then still belong to different components are compared with one another, in tiles, so no
-    link is lost to the pivots. Verification intersects full sets.
+    link is lost to the pivots; a tile returns only links that join components. Verification intersects full sets.
     """
     spark = docs.sparkSession
     space = Workspace(spark, "near")
@@ -258,10 +312,10 @@ def near_dedup(
         signed.select("doc_id", "n_shingles", "digest").join(reps.select("digest", "rep"), "digest", "left").drop("digest"), "members"
     )
 
-    rows = reps.select("rep", "regs").mapInArrow(_bands, "key long, rep long")
+    rows = reps.select("rep", "regs").mapInArrow(_bands, "key long, band int, rep long")
     rows = rows.withColumn("turn", F.xxhash64("rep", "key"))
     buckets = rows.groupBy("key").agg(F.min(F.struct("turn", "rep")).alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = space.write(rows.join(buckets, "key").select("key", "rep", F.col("pivot.rep").alias("pivot"), "size"), "shared")
+    shared = space.write(rows.join(buckets, "key").select("key", "band", "rep", F.col("pivot.rep").alias("pivot"), "size"), "shared")
     paired = space.write(
         shared.filter("rep <> pivot").groupBy(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b"))
         .agg(F.count(F.lit(1)).alias("bands")), "paired",
@@ -273,9 +327,8 @@ def near_dedup(
     left = marks.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("regs").alias("regs_a"))
     right = marks.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("regs").alias("regs_b"))
 
-    def verified(pairs: DataFrame, name: str, estimated: bool = False) -> DataFrame:
-        if not estimated:
-            pairs = pairs.join(left, "a").join(right, "b").mapInArrow(_estimated(percent / 100), "a long, b long")
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = pairs.join(left, "a").join(right, "b").mapInArrow(_estimated(percent / 100), "a long, b long")
         full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a")), "a")
         full = full.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b")), "b")
         return space.write(full.mapInArrow(_verified(percent), "a long, b long"), name)
@@ -301,17 +354,21 @@ def near_dedup(
     mixed = named.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
     blocks = F.ceil(F.col("size") / TILE)
     tiled = (
-        named.join(mixed, "key").select("key", "rep", "part", blocks.alias("blocks"))
+        named.join(mixed, "key").withColumn("blocks", F.ceil(F.col("size") / TILE))
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "part")
+        .select("key", "band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "part")
     )
-    tiled = tiled.join(marks, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-    found = tiled.mapInArrow(_tile_pairs(percent / 100), "a long, b long").distinct()
-    found = found.join(paired.select("a", "b"), ["a", "b"], "left_anti")
-    late = verified(found, "edges-3", estimated=True)
+
+    def by_tile(rows: DataFrame) -> DataFrame:
+        return rows.join(marks, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+
+    schema = "key long, band int, i long, j long, block long, rep long, part long"
+    chosen = space.write(by_tile(tiled).mapInArrow(_tile_members(percent / 100), schema), "chosen")
+    late = by_tile(chosen.join(sets.withColumnRenamed("doc_id", "rep"), "rep")).mapInArrow(_tile_links(percent / 100, percent), "a long, b long")
+    late = space.write(late, "edges-3")
     parts = space.write(connected_components(edges.unionByName(late), Workspace(spark, "near")), "parts-3")
-    space.drop("sets", "shared", "edges-1", "edges-2", "edges-3", "parts-1", "parts-2", "paired", "signed", "best", "ids")
+    space.drop("sets", "shared", "edges-1", "edges-2", "edges-3", "parts-1", "parts-2", "paired", "signed", "best", "ids", "chosen")
 
     component = F.coalesce("component", "rep", "doc_id")
     return members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
