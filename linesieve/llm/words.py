@@ -53,29 +53,19 @@ class WordEncoder:
         suffix = rules["model"]["end_of_word_suffix"]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(suffix)]] = True
-        self.pieces, self.words = HashedArrays(CACHE), HashedArrays(CACHE)
-
-    def _learn_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
-        counts = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
-        assert len(counts) == len(words)
-        return ids, counts
+        self.pieces = HashedArrays(CACHE)
 
     def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and counts of pieces; a piece that can't stand alone has the count -1 and no ids."""
+        """Ids of the pieces one after another, and each piece's count; a piece that can't stand alone has none."""
         odd = np.array([self.odd_piece(p) is not None for p in pieces])
         split = [[] if o else self.split(p.lower()) for p, o in zip(pieces, odd)]
-        words = list(itertools.chain.from_iterable(split))
-        data = np.frombuffer(" ".join(words).encode(), np.uint8)
-        hashes = span_hashes(data, *word_spans(data, np.array([0, len(data)])))
-        rows = self.words.rows_of(hashes, lambda at: self._learn_words([words[i] for i in at]))
-        counts = self.words.counts[rows]
-        ids = ragged(self.words.flat, self.words.starts[rows], counts)
-        sums = np.concatenate(([0], np.cumsum(counts)))
-        ends = np.cumsum([len(s) for s in split])
-        sizes = sums[ends] - sums[ends - [len(s) for s in split]]
+        words = itertools.chain.from_iterable(split)
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, np.uint32)
+        ends = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
+        last = np.cumsum([len(s) for s in split])
+        assert len(ends) == last[-1] + 1
         self.odd = np.concatenate((self.odd[:len(self.pieces.starts)], odd))
-        return ids, sizes
+        return ids, np.diff(ends[last], prepend=0)
 
     odd = np.empty(0, bool)
 
