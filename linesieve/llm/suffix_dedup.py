@@ -5,10 +5,10 @@ hash of GRAM bytes in it. Equal windows have equal anchors, so equal windows mee
 same GRAM bytes, and nothing is lost. One anchor serves a run of neighbouring windows, its segment of text.
 
 Copies of one segment inside a task are resolved there. The first of each goes to the bucket of its leading bytes: sampled
-splitters cut the order of (leading bytes, hash of the gram, hash of the segment), so a gram that fills a third of all
-anchors is cut over several buckets. Buckets sort by multikey quicksort. Segments equal to an earlier one are removed
-whole; different segments with the same gram are compared window by window, from their texts. Runs that touch a bucket's
-first or last suffix may go on in the next bucket: their windows are compared across buckets.
+splitters cut the order of (leading bytes, hash of the gram, hash of the segment), so a gram that fills whole buckets is
+cut by its segments. Buckets sort by multikey quicksort. Segments equal to an earlier one are removed whole; different
+segments with the same gram are compared window by window, from their texts. The windows of a run that goes on in the
+next bucket are compared across buckets.
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ GRAM = 24
 BUCKET_BYTES = 32 << 20
 #: Anchors sampled for one splitter; the sample is bounded by this times the number of buckets.
 SAMPLE = 200
-#: Distinct segments of one gram compared in one task; the windows of more are compared across tasks.
-RUN = 1000
+#: Distinct segments of one gram whose windows are compared in one task; those of more are compared across tasks.
+RUN = 20_000
 SLICE = 2 << 20
 LAST_ID = (1 << 63) - 1
 
@@ -196,8 +196,10 @@ def _removed(doc: np.ndarray, pos: np.ndarray, size: np.ndarray) -> Iterator[pa.
         ], schema=_JUDGED_ARROW)
 
 
-def _judge(length: int):
-    """Sorts one bucket and compares neighbours."""
+def _judge(length: int, splitters: list[tuple[int, int, int]]):
+    """Sorts one bucket and compares neighbours. A run goes on in another bucket if a splitter cuts its segments."""
+    cut = sorted({head for head, _, segment in splitters if segment})
+    cut_grams = sorted({gram for _, gram, segment in splitters if segment})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs: dict[int, list[bytes]] = {}
@@ -215,8 +217,8 @@ def _judge(length: int):
             yield from _removed(anchors["doc"][~first], anchors["pos"][~first], size[~first])
             run_of = np.cumsum(new_run) - 1
             distinct = np.bincount(run_of[first])
-            border = np.zeros(len(distinct), bool)
-            border[[0, -1]] = True
+            heads, grams = anchors["head"][new_run], anchors["gram"][new_run]
+            border = np.isin(heads, np.array(cut, np.uint64)) & np.isin(grams, np.array(cut_grams, np.uint64))
             opened = np.flatnonzero(first & ((distinct > 1) | border)[run_of])
             wide = ((distinct > RUN) | border)[run_of[opened]]
             for at in range(0, len(opened), 65536):
@@ -361,7 +363,9 @@ def _splitters(source: DataFrame, buckets: int, size: int, rows: int, length: in
     keys = chosen.mapInArrow(_sample(length), "head long, gram long, segment long").distinct()
     keys = keys.orderBy(F.xxhash64("gram", "segment")).limit(wanted).collect()
     ordered = sorted(tuple(int(v) & 0xFFFFFFFFFFFFFFFF for v in key) for key in keys)
-    return sorted({ordered[i * len(ordered) // buckets] for i in range(1, buckets)}) if ordered else []
+    cuts = sorted({ordered[i * len(ordered) // buckets] for i in range(1, buckets)}) if ordered else []
+    # A bucket begins with a gram; only a gram that fills whole buckets is cut by its segments.
+    return sorted({key if k and cuts[k - 1][:2] == key[:2] else (*key[:2], 0) for k, key in enumerate(cuts)})
 
 
 def repeated_runs(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -384,7 +388,7 @@ def repeated_runs(docs: DataFrame, length: int = 100, id_col: str = "doc_id", te
     buckets = max(shuffle_partitions(spark), math.ceil(size / BUCKET_BYTES))
     splitters = _splitters(source, buckets, size, rows, length)
     dealt = source.mapInArrow(_deal(length, splitters), _DEALT).repartitionById(buckets, "bucket")
-    judged = space.write(dealt.mapInArrow(_judge(length), _JUDGED), "judged")
+    judged = space.write(dealt.mapInArrow(_judge(length, splitters), _JUDGED), "judged")
 
     opened = judged.filter(F.col("gram").isNotNull())
     places = opened.groupBy("doc").agg(F.collect_list(F.struct("pos", "size", "gram", "wide")).alias("segments"))
