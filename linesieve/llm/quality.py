@@ -233,7 +233,7 @@ def train_quality(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in texts_of(batch.column(1), 1 << 20):
+            for first, end, data, offsets in texts_of(batch.column(1), 1 << 19):
                 rows = pooled(data, offsets, shared.value)
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first:end], pa.array([r.tobytes() for r in rows], pa.binary())], schema=schema)
 
@@ -255,7 +255,7 @@ def _scored(docs: DataFrame, model: QualityModel, text_col: str, passed: list) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, end, data, offsets in texts_of(batch.column("body"), 1 << 20):
+            for first, end, data, offsets in texts_of(batch.column("body"), 1 << 19):
                 scores = shared.value.network.probabilities(pooled(data, offsets, shared.value.vectors))
                 columns = [batch.column(c)[first:end] for c in names]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(scores.astype(np.float64))], names=[*names, "score"])

@@ -12,8 +12,9 @@ WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Bytes of text worked on at a time, and bytes under one running sum.
-SLICE = 4 << 20
+#: Bytes of text worked on at a time, and bytes under one running sum of hashes.
+SLICE = 2 << 20
+SUM = 1 << 20
 
 _rng = np.random.default_rng(20240229)
 _VALUE = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -32,7 +33,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _POWERS, _INVERSES
     if len(_POWERS) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = n + n // 8
         base = np.full(size, _BASE, np.uint64)
         base[0] = 1
         inverse = np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
@@ -81,7 +82,7 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     at = 0
     while at < len(starts):
         low = starts[at]
-        to = max(at + 1, int(np.searchsorted(ends, low + SLICE, "right")))
+        to = max(at + 1, int(np.searchsorted(ends, low + SUM, "right")))
         part = data[low:ends[to - 1]]
         powers, inverses = _powers(len(part) + 1)
         sums = np.zeros(len(part) + 1, np.uint64)
