@@ -370,7 +370,7 @@ def near_dedup(
     parts = space.write(connected_components(edges.unionByName(late), Workspace(spark, "near")), "parts-3")
     space.drop("sets", "shared", "edges-1", "edges-2", "edges-3", "parts-1", "parts-2", "paired", "signed", "best", "ids", "chosen")
 
-    component = F.coalesce("component", "rep", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id"))
     return members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.col("doc_id").alias(id_col), "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
