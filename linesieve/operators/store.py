@@ -82,18 +82,18 @@ def upsert_artifacts(existing: DataFrame, new: DataFrame) -> DataFrame:
 def lookup_artifacts(prefixes: DataFrame, artifacts: DataFrame, column: str = "prefix") -> DataFrame:
     """Each requested id or prefix with its ``status`` and, when it is unique, the artifact ``id``.
 
-    An exact id beats longer ids that start with it. Requests and ids meet on their first four
-    characters, the shortest allowed prefix.
+    An exact id beats longer ids that start with it, in either case of letters. Requests and ids meet by
+    equality: each id offers its prefixes of the lengths asked for, which are no more than an id has
+    characters. Several rows with one id are one artifact.
     """
     asked = prefixes.select(F.col(column).alias("prefix")).distinct()
     valid = asked.where(F.col("prefix").rlike(P.ARTIFACT_ID)).withColumn("_low", F.lower("prefix"))
-    ids = artifacts.select("id", F.substring("id", 1, 4).alias("_bucket"))
-    met = valid.withColumn("_bucket", F.substring("_low", 1, 4)).join(ids, "_bucket").where(
-        F.startswith(F.col("id"), F.col("_low"))
-    )
-    found = met.groupBy("prefix").agg(
+    sizes = [size for (size,) in valid.select(F.length("_low")).distinct().collect()]
+    starts = F.array_distinct(F.array(*[F.substring("id", 1, n) for n in sizes]).cast("array<string>"))
+    ids = artifacts.select("id").distinct().select("id", F.explode(starts).alias("_low"))
+    found = valid.join(ids, "_low").groupBy("prefix").agg(
         F.count(F.lit(1)).alias("n"), F.min("id").alias("any_id"),
-        F.max(F.when(F.col("id") == F.col("prefix"), F.col("id"))).alias("exact"),
+        F.max(F.when(F.col("id") == F.col("_low"), F.col("id"))).alias("exact"),
     )
     status = (
         F.when(~F.col("prefix").rlike(P.ARTIFACT_ID), "invalid")

@@ -16,8 +16,7 @@ from linesieve.operators.lines import ID
 from linesieve.plans.reduce import (
     ROUTES, custom_route, decisive_lines, declared_critical, effective_confidence, reduce_outputs, view_notes,
 )
-from linesieve.sources.outputs import spread
-from linesieve.sources.staging import stage
+from linesieve.sources.staging import stage, unstaged
 
 RESULT = [
     ID, "kind", "profile", "transformed", "quality_passed", "fallback_reason", "artifact_id", "output",
@@ -88,7 +87,10 @@ def candidates_of(staged: DataFrame, views: DataFrame, parts: list[tuple[str, st
     """One row per reduced output: the original, its view and everything the guard needs."""
     routes = {r for r, _ in parts} if parts is not None else set(ROUTES)
     raw_text = F.col("raw").cast("string")
-    joined = staged.join(views, ID)
+    # A reducer that leaves nothing gives no row; its output is still judged, with an empty view.
+    joined = staged.join(views, ID, "left").withColumns(
+        {"view": F.coalesce("view", F.lit("")), "omitted_lines": F.coalesce("omitted_lines", F.lit(0))}
+    )
     none = F.array().cast("array<string>")
     return joined.withColumns(
         {
@@ -213,19 +215,36 @@ def compact_corpus(
     """All outputs with their view or the reason for showing the original.
 
     The classified outputs are written once, cut by route and profile: the reducers read only their
-    own part, none repeats the detection, and routes that do not occur are not planned.
+    own part, none repeats the detection, and routes that do not occur are not planned. Outputs with a
+    probable secret are worked on beside them, and nothing of them is written.
     """
-    sized = eligibility(spread(outputs))
+    sized = eligibility(outputs)
     work = classify(sized.where(F.col("skip_reason").isNull())).drop("text", "skip_reason")
     work = work.withColumn("route", custom_route(F.col("route")))
-    parts = None
-    if staged:
-        work = stage(work, "classified", ["route", "profile"])
-        # At most one row per route and profile.
-        parts = [tuple(r) for r in work.select("route", "profile").distinct().collect()]
-    small = skipped(sized)
-    if parts == []:
-        return small
+    done = skipped(sized)
+    if not staged:
+        with unstaged():
+            return _reduced(work, None, store_available, allow_secrets).unionByName(done)
+    secret = contains_secret(F.col("raw").cast("string"))
+    open_part = stage(work.where(~secret), "classified", ["route", "profile"])
+    parts = _parts(open_part)
+    if parts:
+        done = _reduced(open_part, parts, store_available, allow_secrets).unionByName(done)
+    secret_part = work.where(secret)
+    parts = _parts(secret_part)
+    if parts:
+        with unstaged():
+            done = done.unionByName(_reduced(secret_part, parts, store_available, allow_secrets))
+    return done
+
+
+def _parts(work: DataFrame) -> list[tuple[str, str]]:
+    """The routes and profiles that occur: at most one row for each pair of them."""
+    return [tuple(r) for r in work.select("route", "profile").distinct().collect()]
+
+
+def _reduced(
+    work: DataFrame, parts: list[tuple[str, str]] | None, store_available: bool, allow_secrets: bool
+) -> DataFrame:
     views = reduce_outputs(work, parts)
-    decided = decide(candidates_of(work, views, parts), store_available, allow_secrets)
-    return as_results(decided).unionByName(small)
+    return as_results(decide(candidates_of(work, views, parts), store_available, allow_secrets))

@@ -458,7 +458,7 @@ ORACLES = {
                  WHEN n = 1 THEN 'found' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN id END AS id, n AS matches FROM met""",
     "artifact_verify": "SELECT doc_id FROM documents WHERE regexp_matches(text, '[0-9]{3}')",
     "artifact_recovery": "SELECT doc_id, left(sha256(text), 16) AS artifact_id, true AS recovered FROM documents",
-    "secret_not_stored": "SELECT doc_id AS output_id FROM documents WHERE false",
+    "secret_not_stored": f"SELECT doc_id AS output_id, false AS stored FROM documents WHERE regexp_matches(text, {q(SECRET)})",
     "artifact_show": f"""
         WITH texts AS (SELECT left(sha256(text), 16) AS id, any_value(text) AS text FROM documents GROUP BY 1),
         lines AS ({lines_of('texts', 'id', 'text')}),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linesieve.functions import patterns as P
+from linesieve.functions.predicates import contains_secret
 from linesieve.operators.store import as_artifacts, assign_ids, latest_puts
 from linesieve.plans.compact import compact_corpus
 from linesieve.sources.staging import stage
@@ -57,19 +57,28 @@ def compact_and_store(
 ) -> DataFrame:
     """Run the corpus job, then append originals and one metrics row per output. Returns the results.
 
-    Originals are written only for accepted views, so no rejected candidate leaves one behind.
+    Originals are written only for accepted views, so no rejected candidate leaves one behind. Outputs with a
+    probable secret get no id unless secrets are allowed; they are worked on apart, and nothing of them is staged. A
+    put of known bytes appends a newer row for its id.
     """
+    held_back = None
+    if not allow_secrets:
+        secret = F.coalesce(contains_secret(F.col("raw").cast("string")), F.lit(False))
+        held_back, outputs = outputs.where(secret), outputs.where(~secret)
     results = stage(compact_corpus(outputs, True, allow_secrets), "results")
     kept = originals_of(results, outputs)
     rows = latest_puts(as_artifacts(kept, created_at), ["created_at"])
     named = assign_ids(rows, existing)
-    if existing is not None:
-        ids = named.select("sha256", "id")
-        full = results.join(outputs.select("output_id", "raw", "min_savings_ratio"), "output_id")
-        final = stage(with_final_ids(full, ids).drop("min_savings_ratio"), "final")
-        named = named.join(final.select(F.sha2("raw", 256).alias("sha256"), "artifact_id")
-                           .where("artifact_id is not null").distinct(), "sha256", "left_semi")
-        results = final.drop("raw").select(*results.columns)
+    ids = named.select("sha256", "id")
+    full = results.join(outputs.select("output_id", "raw", "min_savings_ratio"), "output_id")
+    final = with_final_ids(full, ids).drop("min_savings_ratio").withColumn("_sha", F.sha2("raw", 256)).drop("raw")
+    final = stage(final, "final")
+    named = named.join(
+        final.where("artifact_id is not null").select(F.col("_sha").alias("sha256")).distinct(), "sha256", "left_semi"
+    )
+    results = final.select(*results.columns)
+    if held_back is not None:
+        results = results.unionByName(compact_corpus(held_back, True, False).select(*results.columns))
     write_artifacts(named, artifacts_path)
     append_runs(as_runs(results, created_at), runs_path)
     return results

@@ -2,32 +2,49 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-_own_dirs: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
+_off: list[bool] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; only a local session may fall back to its own."""
+    """The folder named by ``spark.checkpoint.dir``, or where that is unset the session's warehouse folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = tempfile.mkdtemp(prefix="linesieve-")
-    return _own_dirs[app]
+    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+
+
+@contextmanager
+def unstaged() -> Iterator[None]:
+    """Plans built inside write no intermediate tables: for texts that must not reach the disk."""
+    _off.append(True)
+    try:
+        yield
+    finally:
+        _off.pop()
+
+
+def clear_staged(spark: SparkSession) -> int:
+    """Deletes the application's staged tables, once their results are written; returns their number."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def stage(df: DataFrame, name: str, partition_by: list[str] = ()) -> DataFrame:
     """Write ``df`` once and read it back: later branches reuse the work and survive lost executors."""
+    if _off:
+        return df
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/linesieve-{name}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     writer = df.write.mode("errorifexists")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

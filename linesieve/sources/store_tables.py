@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linesieve.functions.predicates import redact_command
-from linesieve.operators.store import ARTIFACT
+from linesieve.operators.store import ARTIFACT, latest
 
 RUN = [
     "created_at", "artifact_id", "command", "kind", "profile", "transformed", "quality_passed", "fallback_reason",
@@ -30,7 +30,8 @@ def append_runs(runs: DataFrame, path: str) -> None:
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The newest row of each artifact: a put of known bytes appends a row that refreshes the earlier one."""
+    return latest(spark.read.parquet(path), "id", ["created_at"])
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:

@@ -15,9 +15,10 @@ from linesieve.operators.store import (
     upsert_artifacts, verify_artifacts,
 )
 from linesieve.plans.compact import compact_corpus
-from linesieve.plans.put import with_final_ids
+from linesieve.plans.put import compact_and_store, with_final_ids
 from linesieve.plans.reduce import register_reducer, _custom
 from linesieve.plans.retrieve import show
+from linesieve.sources.staging import clear_staged
 from linesieve.sources.outputs import outputs_from_text, read_outputs, with_output_defaults
 from linesieve.sources.store_tables import (
     append_runs, as_runs, read_artifacts, read_runs, write_artifacts, write_report,
@@ -251,3 +252,31 @@ def test_streams(spark, tmp_path):
     stream_upsert_artifacts(made, store, str(tmp_path / "ck2")).awaitTermination()
     now = {bytes(r.payload).decode(): r.created_at.timestamp() for r in current_artifacts(spark, store).collect()}
     assert now == {log_text(0): 4, log_text(1): 5, log_text(2): 2, log_text(3): 3}
+
+
+def test_no_output_is_lost_and_no_secret_written(spark, tmp_path):
+    long = "\n".join(["the same line of text, over and over"] * 400)
+    rows = [
+        ("blank-log", "\n" * 900, ["git", "log"], "max"), ("plain", long, [], "safe"), ("short", "x", [], "safe"),
+        ("secret", "password = hunter2hunter2hunter2\n" + long, [], "safe"),
+    ]
+    table = spark.createDataFrame(rows, "id string, text string, command array<string>, profile string")
+    outputs = outputs_from_text(table, "id", "text", command=F.col("command"), profile=F.col("profile"))
+    assert contains_secret is not None and outputs.where(contains_secret(F.col("raw").cast("string"))).count() == 1
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    at = AT("2024-01-01 00:00:00")
+    paths = str(tmp_path / "artifacts"), str(tmp_path / "runs")
+    results = compact_and_store(outputs, *paths, at)
+    assert sorted(r.output_id for r in results.collect()) == sorted(r[0] for r in rows)
+    stored = read_artifacts(spark, paths[0])
+    compact_and_store(outputs.where("output_id = 'plain'"), *paths, AT("2024-01-02 00:00:00"), stored)
+    again = read_artifacts(spark, paths[0])
+    digest = hashlib.sha256(long.encode()).hexdigest()
+    assert [r.created_at.day for r in again.where(F.col("sha256") == digest).collect()] == [2]
+    asked = spark.createDataFrame([(digest[:8],), (digest[:16].upper(),)], "prefix string")
+    assert {r.status for r in lookup_artifacts(asked, again).collect()} == {"found"}
+    import glob
+    for path in glob.glob(f"{folder}/linesieve-classified*") + glob.glob(f"{folder}/linesieve-results*") + glob.glob(f"{folder}/linesieve-final*"):
+        for column in [c for c, t in spark.read.parquet(path).dtypes if t in ("binary", "string")]:
+            assert spark.read.parquet(path).where(F.col(column).cast("string").contains("hunter2hunter2")).count() == 0, (path, column)
+    assert clear_staged(spark) > 0
