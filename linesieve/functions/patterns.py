@@ -16,7 +16,6 @@ WHITE_SPACE = (
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 BINARY_CONTROLS = r"[\x01-\x08\x0e-\x1f]"
-BINARY_SAMPLE_BYTES = 8192
 BINARY_CONTROL_SHARE = 0.03
 
 # ---- volatile values masked in templates, in this order --------------------------------------
@@ -93,7 +92,6 @@ TREE_MARKS = ["├──", "└──", "|-- ", "`-- "]
 TREE_TOTALS = r"(?iU)^\d+ director(?:y|ies), \d+ files?\z"
 LONG_LISTING = r"(?U)^(?:[-dlcbps][rwxStTs-]{9}[+@.]?|[0-9/\-]{6,}\s+[0-9:]{4,})\s+"
 TREE_MIN_LINES = 80
-TREE_KEY_FILES_SHOWN = 40
 TREE_EXTENSIONS_SHOWN = 20
 
 # ---- test runners -----------------------------------------------------------------------------
@@ -148,8 +146,6 @@ TEST_MARKERS = [
     "short test summary info", "test suites:", "tests:", "failures", "collected ", "test result:",
     "ran all test suites",
 ]
-DETECTION_SAMPLE_CHARS = 80_000
-DETECTION_SAMPLE_LINES = 1000
 KINDS = ["generic", "test", "log", "json", "git_status", "git_diff", "git_log", "search", "tree"]
 
 # ---- decision ---------------------------------------------------------------------------------

@@ -74,11 +74,11 @@ def byte_line_count(raw) -> Column:
 
 
 def is_binary(raw) -> Column:
-    """Any NUL byte, or too many control bytes in the leading sample."""
+    """Any NUL byte, or too many control bytes, counted over all bytes."""
     raw = _c(raw)
-    sample = F.decode(F.substring(raw, 1, P.BINARY_SAMPLE_BYTES), "ISO-8859-1")
-    controls = F.length(sample) - F.length(F.regexp_replace(sample, P.BINARY_CONTROLS, ""))
-    share = F.when(sample.rlike(P.BINARY_CONTROLS), controls / F.greatest(F.lit(1), F.length(sample))).otherwise(0.0)
+    chars = F.decode(raw, "ISO-8859-1")
+    controls = F.length(chars) - F.length(F.regexp_replace(chars, P.BINARY_CONTROLS, ""))
+    share = F.when(chars.rlike(P.BINARY_CONTROLS), controls / F.greatest(F.lit(1), F.length(chars))).otherwise(0.0)
     return F.contains(raw, F.lit(b"\x00")) | (share > P.BINARY_CONTROL_SHARE)
 
 

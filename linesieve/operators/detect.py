@@ -29,24 +29,24 @@ def detection(kind: str, confidence: float, reason: str) -> Column:
 
 
 def detect_struct(command: Column, text: Column, hint: Column) -> Column:
-    """Struct(kind, confidence, reason): the first rule that holds."""
+    """Struct(kind, confidence, reason): the first rule that holds; text rules look at the whole text."""
     lower = F.transform(command_words(command), lambda w: F.lower(w))
     return let(
-        F.struct(lower.alias("words"), strip_ansi(F.substring(text, 1, P.DETECTION_SAMPLE_CHARS)).alias("sample")),
-        lambda s: _rules(s["words"], s["sample"], text, hint),
+        F.struct(lower.alias("words"), strip_ansi(text).alias("clean")),
+        lambda s: _rules(s["words"], s["clean"], text, hint),
     )
 
 
-def _rules(words: Column, sample: Column, text: Column, hint: Column) -> Column:
+def _rules(words: Column, clean: Column, text: Column, hint: Column) -> Column:
     base = F.coalesce(F.regexp_extract(F.get(words, F.lit(0)), r"(?s)([^/\\]*)\z", 1), F.lit(""))
     args = F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
-    low = F.lower(sample)
+    low = F.lower(clean)
     has = lambda w: F.array_contains(words, w)
     arg_in = lambda *ws: F.exists(args, lambda w: w.isin(*ws))
     log_file = F.exists(args, lambda w: F.endswith(w, F.lit(".log")) | F.endswith(w, F.lit(".out")))
 
     gitlike = (base == "git") | (base.isin("hub", "gh") & has("diff"))
-    is_diff_text = F.startswith(sample, F.lit("diff --git "))
+    is_diff_text = F.startswith(clean, F.lit("diff --git "))
 
     test_word = (
         F.when(base == "cargo", arg_in("test", "nextest"))
@@ -59,7 +59,7 @@ def _rules(words: Column, sample: Column, text: Column, hint: Column) -> Column:
 
     marker_hits = sum((F.contains(low, F.lit(m)).cast("int") for m in P.TEST_MARKERS), F.lit(0))
     severity_dense = let(
-        F.slice(split_lines(sample), 1, P.DETECTION_SAMPLE_LINES),
+        split_lines(clean),
         lambda ls: F.size(F.filter(ls, lambda x: x.rlike(P.SEVERITY_WORDS)))
         >= F.greatest(F.lit(8), F.floor(F.size(ls) / 8)),
     )
@@ -86,10 +86,10 @@ def _rules(words: Column, sample: Column, text: Column, hint: Column) -> Column:
             detection("log", 0.92, "log command"),
         )
         .when(is_valid_json(text), detection("json", 0.99, "valid JSON"))
-        .when(is_diff_text | sample.rlike(P.GIT_HUNK), detection("git_diff", 0.96, "diff markers"))
+        .when(is_diff_text | clean.rlike(P.GIT_HUNK), detection("git_diff", 0.96, "diff markers"))
         .when(marker_hits >= 2, detection("test", 0.86, "test markers"))
         .when(
-            sample.rlike(P.SEVERITY_WORDS) & severity_dense, detection("log", 0.82, "log severity density")
+            clean.rlike(P.SEVERITY_WORDS) & severity_dense, detection("log", 0.82, "log severity density")
         )
         .otherwise(detection("generic", 0.55, "no strong format match"))
     )

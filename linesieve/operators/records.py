@@ -6,32 +6,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from linesieve.functions import patterns as P
-from linesieve.operators.chunks import BLOCK, numbered
+from linesieve.operators.chunks import ALL, BLOCK, CHUNK, carry, numbered, with_chunk
 
 
 def sample_records(
     df: DataFrame, keys: list[str], order: str | list[str], critical: Column, cap: int, size: int = BLOCK,
     block: str | Column | None = None, head: int = P.JSON_HEAD_ITEMS, tail: int = P.JSON_TAIL_ITEMS,
 ) -> DataFrame:
-    """Groups up to ``cap`` stay whole; longer ones keep first, last and critical rows.
+    """Groups up to ``cap`` stay whole; longer ones keep every critical row, and first and last rows
+    as far as the cap leaves room.
 
-    Above the cap critical rows come first, in order. Adds ``_index``, ``total_items`` and
-    ``sampled_items``. The ranking only ever keeps ``cap`` rows per group, also before the shuffle.
+    Adds ``_index``, ``total_items`` and ``sampled_items``. Critical rows are counted block by block and
+    never ranked, so a group may hold any number of them; ranked are at most ``head + tail`` rows.
     """
     order = [order] if isinstance(order, str) else list(order)
     placed = numbered(df, keys, order, block if block is not None else order[0], size, "_index", "total_items")
     placed = placed.withColumn("_critical", F.coalesce(critical, F.lit(False)))
-    wanted = (
-        (F.col("total_items") <= cap)
-        | (F.col("_index") < head)
-        | (F.col("_index") >= F.col("total_items") - tail)
-        | F.col("_critical")
+    edge = ~F.col("_critical") & ((F.col("_index") < head) | (F.col("_index") >= F.col("total_items") - tail))
+    linked = carry(
+        with_chunk(placed.withColumn("_edge", edge), "_index", size), keys,
+        {"_hits": (F.count_if("_critical"), F.sum, ALL), "_edges": (F.count_if("_edge"), F.sum, ALL)},
     )
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_critical"), "_index"))
-    picked = placed.where(wanted).withColumn("_rank", rank).where(F.col("_rank") <= cap)
-    return picked.withColumn(
-        "sampled_items", F.count(F.lit(1)).over(Window.partitionBy(*keys))
-    ).drop("_rank", "_critical")
+    whole = F.col("total_items") <= cap
+    room = F.least(F.col("_edges"), F.greatest(cap - F.col("_hits"), F.lit(0)))
+    # The place of an edge row among the edge rows: only groups above the cap and their few edges are ranked.
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("_index"))
+    edges = linked.where(~whole & F.col("_edge")).withColumn("_rank", rank).where(F.col("_rank") <= room).drop("_rank")
+    kept = linked.where(whole | F.col("_critical")).unionByName(edges)
+    sampled = F.when(whole, F.col("total_items")).otherwise(F.col("_hits") + room)
+    return kept.withColumn("sampled_items", sampled).drop("_critical", "_edge", "_hits", "_edges", CHUNK)
 
 
 def numeric_summary(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

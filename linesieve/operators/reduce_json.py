@@ -112,7 +112,7 @@ def _quoted(key: Column) -> Column:
 
 
 def _picked(items: Column, cap: Column) -> Column:
-    """Kept positions of a long array: edges and critical items, critical ones first above the cap."""
+    """Kept positions of a long array: every critical item, and edges as far as the cap leaves room."""
     n = F.size(items)
     def choose(critical):
         every = F.sequence(F.lit(0), n - 1)
@@ -121,7 +121,15 @@ def _picked(items: Column, cap: Column) -> Column:
         return let(
             wanted,
             lambda w: F.when(F.size(w) <= cap, w).otherwise(
-                F.array_sort(F.slice(F.concat(F.filter(w, is_hit), F.filter(w, lambda i: ~is_hit(i))), F.lit(1), cap))
+                let(
+                    F.filter(w, is_hit),
+                    lambda hits: F.array_sort(
+                        F.concat(
+                            hits,
+                            F.slice(F.filter(w, lambda i: ~is_hit(i)), F.lit(1), F.greatest(cap - F.size(hits), F.lit(0))),
+                        )
+                    ),
+                )
             ),
         )
     return let(F.transform(items, lambda x: is_critical_json(F.to_json(x))), choose)
@@ -214,6 +222,15 @@ def _open_map(q: Column, fields: Column) -> Column:
     )
 
 
+def _folded(v: Column) -> Column:
+    """Stand-in for a value below the depth limit; its critical values stay visible."""
+    said = let(
+        critical_values(F.to_json(v)),
+        lambda c: F.when(F.size(c) > 0, F.concat(F.lit(', "_critical": '), F.to_json(c))).otherwise(""),
+    )
+    return F.concat(F.lit('{"_nested": "value available in the original"'), F.coalesce(said, F.lit("")), F.lit("}"))
+
+
 def reduce_json(outputs: DataFrame, profile: str | None = None, text_col: str = "text") -> DataFrame:
     """Keys stay, long arrays keep edge and critical items with number summaries; one text per output."""
     if profile is not None:
@@ -233,7 +250,7 @@ def reduce_json(outputs: DataFrame, profile: str | None = None, text_col: str =
     deep = q["v"].isNotNull()
     closing = F.element_at(q["path"], -1) == CLOSE
     indent = 2 * (F.size(q["path"]) - F.when((F.size(q["path"]) > 0) & closing, 1).otherwise(0))
-    body = F.when(deep, F.concat(q["text"], F.lit('{"_nested": "value available in the original"}'))).otherwise(q["text"])
+    body = F.when(deep, F.concat(q["text"], _folded(q["v"]))).otherwise(q["text"])
     comma = F.when(F.substring(body, -1, 1).isin("{", "["), F.lit("")).otherwise(F.lit(","))
     done = rows.select(
         ID, q["path"].alias("path"), F.concat(F.repeat(F.lit(" "), indent), body, comma).alias("line"),

@@ -79,13 +79,14 @@ def group_by_top(items: DataFrame, size: int = BLOCK) -> DataFrame:
     ).drop("_local", "_before", CHUNK)
 
 
-def extension_histogram(items: DataFrame, keys: list[str], order: str = NO, top: int = P.TREE_EXTENSIONS_SHOWN):
-    """Most frequent suffixes per group; ties go to the one seen first."""
+def extension_histogram(items: DataFrame, keys: list[str], order: str = NO, top: int | None = None) -> DataFrame:
+    """Suffixes per group, most frequent first, all or the ``top`` ones; ties go to the one seen first."""
     counts = items.groupBy(*keys, suffix("value").alias("suffix")).agg(
         F.count(F.lit(1)).alias("n"), F.min(order).alias("first_no")
     )
     w = Window.partitionBy(*keys).orderBy(F.desc("n"), "first_no")
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    ranked = counts.withColumn("rank", F.row_number().over(w))
+    return ranked if top is None else ranked.where(F.col("rank") <= top)
 
 
 def reduce_listing(lines: DataFrame, profile: str | None = None, size: int = BLOCK) -> DataFrame:
@@ -146,17 +147,11 @@ def reduce_listing(lines: DataFrame, profile: str | None = None, size: int = BLO
 
 
 def key_file_section(items: DataFrame) -> DataFrame:
-    keys = items.where(is_key_file("value"))
-    ranked = keys.withColumn("rank", F.row_number().over(Window.partitionBy(ID).orderBy(NO))).where(
-        F.col("rank") <= P.TREE_KEY_FILES_SHOWN
-    )
-    return emit(
-        ranked,
-        F.array(
-            F.when(F.col("rank") == 1, view_row(KEYS, -1, F.lit("Key files:"))),
-            view_row(KEYS, F.col("rank"), F.concat(F.lit("  "), F.col("value"))),
-        ),
-    )
+    """Every key file, each value once, at its first place."""
+    keys = items.where(is_key_file("value")).groupBy(ID, "value").agg(F.min(NO).alias("first_no"))
+    listed = emit(keys, F.array(view_row(KEYS, F.col("first_no"), F.concat(F.lit("  "), F.col("value")))))
+    heading = emit(keys.select(ID).distinct(), F.array(view_row(KEYS, -1, F.lit("Key files:"))))
+    return listed.unionByName(heading)
 
 
 def single_entry_section(grouped: DataFrame, size: int = BLOCK) -> DataFrame:
@@ -179,13 +174,21 @@ def single_entry_section(grouped: DataFrame, size: int = BLOCK) -> DataFrame:
     return listed.unionByName(framed)
 
 
-def suffix_section(items: DataFrame) -> DataFrame:
-    top = extension_histogram(items, [ID])
+def suffix_section(items: DataFrame, shown: int = P.TREE_EXTENSIONS_SHOWN) -> DataFrame:
+    """The most frequent suffixes; a closing count stands for the others and their entries."""
+    ranked = extension_histogram(items, [ID])
+    others = F.col("rank") > shown
     pair = F.struct("rank", F.concat(F.col("suffix"), marker("=", F.col("n"), "")).alias("text"))
-    joined = top.groupBy(ID).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda p: p["text"]), ", ").alias("all")
-    )
-    return emit(joined, F.array(view_row(SUFFIXES, 0, F.concat(F.lit("Extensions: "), F.col("all")))))
+    joined = ranked.groupBy(ID).agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.when(~others, pair))), lambda p: p["text"]), ", "
+        ).alias("first"),
+        F.count_if(others).alias("more"), F.sum(F.when(others, F.col("n"))).alias("entries"),
+    )
+    rest = F.when(
+        F.col("more") > 0, F.concat(marker(", … ", F.col("more"), " more suffixes"), marker(" in ", F.col("entries"), " entries …"))
+    ).otherwise("")
+    return emit(joined, F.array(view_row(SUFFIXES, 0, F.concat(F.lit("Extensions: "), F.col("first"), rest))))
 
 
 def listing_key_files(lines: DataFrame, size: int = BLOCK) -> DataFrame:

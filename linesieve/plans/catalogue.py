@@ -342,10 +342,10 @@ def event_template_counts(spark, sf_dir):
 
 
 def event_severity_density(spark, sf_dir):
-    """The log rule of the detector per user: severity words against the number of leading lines."""
-    lead = event_lines(spark, sf_dir).where(F.col(NO) < P.DETECTION_SAMPLE_LINES)
+    """The log rule of the detector per user: severity words against the number of lines."""
+    lines = event_lines(spark, sf_dir)
     hits = F.count_if(F.col(LINE).rlike(P.SEVERITY_WORDS) & (severity_class(LINE) != "other"))
-    counts = lead.groupBy(ID).agg(F.count(F.lit(1)).alias("lines"), hits.alias("hits"))
+    counts = lines.groupBy(ID).agg(F.count(F.lit(1)).alias("lines"), hits.alias("hits"))
     return counts.withColumn("is_log", F.col("hits") >= F.greatest(F.lit(8), F.floor(F.col("lines") / 8)))
 
 

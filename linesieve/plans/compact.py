@@ -40,7 +40,7 @@ def guard_reason(
 ) -> Column:
     """Why a view must not replace its original, or NULL."""
     compact = strip_ansi(view)
-    shown = lambda label, x: F.concat(F.lit(label), F.substring(x, 1, 120))
+    shown = lambda label, x: F.concat(F.lit(label), x)
 
     def checks(c):
         return (

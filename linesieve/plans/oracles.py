@@ -256,7 +256,7 @@ def sampled(source: str, key: str, order: str, critical: str, cap: int, columns:
         SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) - 1 AS _index,
                count(*) OVER (PARTITION BY {key}) AS total_items, CASE WHEN {critical} THEN 1 ELSE 0 END AS hit FROM {source}) a
       WHERE total_items <= {cap} OR _index < 3 OR _index >= total_items - 2 OR hit = 1) b
-    WHERE rank <= {cap}"""
+    WHERE rank <= {cap} OR hit = 1"""
 
 
 # ---- pages ---------------------------------------------------------------------------------------------------
@@ -301,8 +301,10 @@ LISTING = f"""{PAGES},
       FROM nested WHERE {anchored('idx', 'n_nested', 12)}
     UNION ALL SELECT output_id, 4, first_no, 4611686018427387904, '    … ' || CAST(n - least(n_nested, 12) AS BIGINT) || ' more …',
         n - least(n_nested, 12) FROM tops WHERE NOT is_alone AND n > least(n_nested, 12)
-    UNION ALL SELECT output_id, 5, 0, 0, 'Extensions: ' || string_agg(suffix || '=' || n, ', ' ORDER BY rank), 0
-      FROM ranked WHERE rank <= 20 GROUP BY 1)"""
+    UNION ALL SELECT output_id, 5, 0, 0, 'Extensions: ' || string_agg(suffix || '=' || n, ', ' ORDER BY rank) FILTER (rank <= 20)
+        || CASE WHEN max(rank) > 20 THEN ', … ' || (max(rank) - 20) || ' more suffixes in '
+             || CAST(sum(n) FILTER (rank > 20) AS BIGINT) || ' entries …' ELSE '' END, 0
+      FROM ranked GROUP BY 1)"""
 
 STATUS = """
   parts AS (
@@ -342,7 +344,8 @@ JSON_LINES = """
     SELECT *, regexp_matches(msg, '(?i)\\b(error|fatal|critical|panic|exception|failed|failure|denied|timeout)\\b') AS hit FROM items),
   per_doc AS (
     SELECT doc_id, any_value(n) AS n, bool_or(hit) AS critical, count(DISTINCT CASE WHEN hit THEN msg END) AS found,
-           sum(CASE WHEN hit OR i < 3 OR i >= n - 2 THEN 1 ELSE 0 END) AS wanted FROM flagged GROUP BY 1)"""
+           sum(CASE WHEN hit OR i < 3 OR i >= n - 2 THEN 1 ELSE 0 END) AS wanted,
+           sum(CASE WHEN hit THEN 1 ELSE 0 END) AS hits FROM flagged GROUP BY 1)"""
 
 WORDS = """
   words(lang, group_no, alternative) AS (VALUES
@@ -491,8 +494,7 @@ ORACLES = {
         UNION ALL SELECT output_id, 2305843009213693953, 0, '… ' || (count(*) - 40) || ' more template groups in artifact …', 0
           FROM repeated GROUP BY 1 HAVING count(*) > 40""",
     "event_severity_density": f"""
-        WITH {EVENT_LINES}, c AS (SELECT output_id, count(*) AS lines, count_if(level <> 'INFO') AS hits FROM lines
-                                  WHERE line_no < 1000 GROUP BY 1)
+        WITH {EVENT_LINES}, c AS (SELECT output_id, count(*) AS lines, count_if(level <> 'INFO') AS hits FROM lines GROUP BY 1)
         SELECT *, hits >= greatest(8, lines // 8) AS is_log FROM c""",
     "event_progress_families": f"""
         WITH {EVENT_LINES} SELECT output_id, 'Processing ' || event_type || ' [<n>%]' AS template, min(line_no) AS first_no,
@@ -530,9 +532,9 @@ ORACLES = {
             ELSE 'run --user ' || CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR) || ' --verbose' END AS command FROM events""",
     "doc_json_reduce": f"""
         WITH {JSON_LINES}
-        SELECT doc_id AS output_id, CAST(CASE WHEN n > 12 THEN n - least(wanted, 12) ELSE 0 END AS BIGINT) AS omitted_lines,
-               CAST(CASE WHEN n > 12 THEN least(wanted, 12) END AS BIGINT) AS sampled_items,
-               CAST(CASE WHEN n > 12 THEN least(wanted, 12) ELSE 0 END AS BIGINT) AS kept, true AS valid FROM per_doc""",
+        SELECT doc_id AS output_id, CAST(CASE WHEN n > 12 THEN n - greatest(least(wanted, 12), hits) ELSE 0 END AS BIGINT) AS omitted_lines,
+               CAST(CASE WHEN n > 12 THEN greatest(least(wanted, 12), hits) END AS BIGINT) AS sampled_items,
+               CAST(CASE WHEN n > 12 THEN greatest(least(wanted, 12), hits) ELSE 0 END AS BIGINT) AS kept, true AS valid FROM per_doc""",
     "doc_json_critical": f"""
         WITH {JSON_LINES} SELECT doc_id AS output_id, critical, found AS critical_values FROM per_doc""",
     "order_record_sample": sampled("orders", "o_custkey", "o_orderkey", "o_orderstatus = 'F'", 12, "o_custkey, o_orderkey"),
@@ -544,7 +546,7 @@ ORACLES = {
         "l_suppkey, l_orderkey, l_linenumber, l_partkey",
     ),
     "page_url_tree": f"WITH {LISTING} SELECT output_id, o1, o2, o3, line, CAST(dropped AS BIGINT) AS dropped FROM view",
-    "page_extension_histogram": f"WITH {PAGES} SELECT output_id, suffix, n, first_no, rank FROM ranked WHERE rank <= 20",
+    "page_extension_histogram": f"WITH {PAGES} SELECT output_id, suffix, n, first_no, rank FROM ranked",
     "match_parse": f"WITH {MATCHES} SELECT output_id, line_no, path, match_line, sep, body FROM matches",
     "search_group_sample": f"WITH {CHOSEN} SELECT output_id, path, match_line, idx, n_matches, is_error FROM chosen",
     "search_body_aliases": f"WITH {ALIASES} SELECT output_id, body, repeats, '@' || alias_no AS alias FROM aliases",

@@ -38,9 +38,8 @@ def test_binary(spark):
             b"a" * 8192 + b"\x01" * 9000]
     want = []
     for r in raws:
-        head = r[:8192]
-        bad = sum(c < 9 or 13 < c < 32 for c in head)
-        want.append(bool(r) and (b"\0" in r or bad / max(1, len(head)) > 0.03))
+        bad = sum(c < 9 or 13 < c < 32 for c in r)
+        want.append(bool(r) and (b"\0" in r or bad / max(1, len(r)) > 0.03))
     assert apply(spark, [bytearray(r) for r in raws], t.is_binary, "binary") == want
 
 
@@ -229,6 +228,10 @@ def test_json_reduction_and_nodes(spark):
     many = [{"id": i, "s": "failed"} for i in range(30)]
     texts = [("a", json.dumps({"list": items, "x": [1, 2], "e": {}, "n": None})), ("b", json.dumps(many)),
              ("c", json.dumps([[[[[[[[[[1]]]]]]]]]])), ("d", json.dumps("y" * 50_000 + "\\\"\n" * 9000))]
+    deep = {"error": 'disk "7" failed'}
+    for k in range(12):
+        deep = {f"k{k}": deep}
+    texts.append(("deep", json.dumps(deep)))
     df = spark.createDataFrame(texts, "output_id string, text string")
     out = {r.output_id: r for r in reduce_json(df, "safe").collect()}
     a = json.loads(out["a"].view)
@@ -238,8 +241,9 @@ def test_json_reduction_and_nodes(spark):
     assert part["total_items"] == 40 and part["sampled_items"] == 7
     assert part["numeric_fields"]["v"] == {"min": 0.0, "max": 19.5, "mean": 9.75}
     assert a["x"] == [1, 2] and a["e"] == {} and a["n"] is None
-    assert [s["_index"] for s in json.loads(out["b"].view)["_sampled_array"]["samples"]] == list(range(12))
-    assert out["b"].omitted_lines == 18 and out["c"].omitted_lines == 1
+    assert [s["_index"] for s in json.loads(out["b"].view)["_sampled_array"]["samples"]] == list(range(30))
+    assert out["b"].omitted_lines == 0 and out["c"].omitted_lines == 1
     assert json.loads(out["d"].view) == json.loads(texts[3][1])
+    assert json.loads(out["deep"].view) and 'disk \\"7\\" failed' in out["deep"].view
     depths = {(r.output_id, r.depth): r["n"] for r in json_nodes(df).groupBy("output_id", "depth").agg(F.count("*").alias("n")).collect()}
     assert depths["a", 0] == 1 and depths["a", 1] == 4 and depths["a", 2] == 42 and depths["c", 8] == 1
