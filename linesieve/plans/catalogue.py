@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -149,6 +150,47 @@ def doc_decision(spark, sf_dir):
     )
 
 
+# Captured outputs made of the tables' rows: kind, command, table, id cut into blocks, block span, order in the block, line.
+ROUTE_PARTS = [
+    ("log", ["tail", "x.log"], "events", "event_id", 200, "event_id", "concat('INFO ', event_type, ' event=', event_id)"),
+    ("json", ["curl", "x"], "events", "event_id", 200, "event_id", "coalesce(props, 'null')"),
+    ("test", ["pytest"], "lineitem", "l_orderkey", 100, "l_linenumber", "concat('tests/part_', l_partkey, '.py PASSED')"),
+    ("tree", ["find", "."], "pages", "page_id", 200, "page_id", "concat('site', page_id % 3, '/p', page_id, '.html')"),
+    ("search", ["rg", "x"], "orders", "o_orderkey", 400, "o_orderkey", "concat('c', o_custkey % 7, '.py:', o_orderkey, ':pay(x)')"),
+    ("git_status", ["git", "status"], "orders", "o_orderkey", 400, "o_orderkey", "concat('\tmodified:   o/', o_orderkey)"),
+    ("git_log", ["git", "log"], "customer", "c_custkey", 200, "c_custkey", "concat('commit ', c_custkey)"),
+    ("git_diff", ["git", "diff"], "supplier", "s_suppkey", 100, "s_suppkey", "concat('+', s_suppkey)"),
+    ("generic", ["mytool"], "part", "p_partkey", 200, "p_partkey", "concat('row ', p_partkey)"),
+]
+
+
+def route_outputs(spark, sf_dir) -> DataFrame:
+    """Outputs for every route; a block of ids bounds each text."""
+    made = []
+    for kind, command, source, key, span, order, line in ROUTE_PARTS:
+        name = F.concat(F.lit(f"{kind}-"), F.floor(F.col(key) / span).cast("string"))
+        rows = table(spark, sf_dir, source).select(
+            name.alias("name"), F.struct(F.col(key).alias("a"), F.col(order).alias("b"), F.expr(line).alias("line")).alias("r")
+        )
+        lines = F.transform(F.array_sort(F.collect_list("r")), lambda r: r["line"])
+        joined = F.array_join(lines, "," if kind == "json" else "\n")
+        text = F.concat(F.lit("["), joined, F.lit("]")) if kind == "json" else joined
+        command = F.array(*[F.lit(w) for w in command])
+        made.append(rows.groupBy("name").agg(text.alias("text")).select("name", "text", command.alias("command")))
+    texts = reduce(DataFrame.unionByName, made)
+    return outputs_from_text(
+        texts, "name", "text", command=F.col("command"), min_bytes=F.lit(0), min_lines=F.lit(0)
+    )
+
+
+def route_ids_conserved(spark, sf_dir):
+    """Every output of every route has one result of the right kind that is no longer than its original."""
+    results = compact_corpus(route_outputs(spark, sf_dir))
+    return results.select(
+        ID, "kind", "raw_bytes", "raw_lines", (F.col("compact_bytes") <= F.col("raw_bytes")).alias("not_longer")
+    )
+
+
 def doc_run_totals(spark, sf_dir):
     return run_totals(doc_results(spark, sf_dir))
 
@@ -638,5 +680,5 @@ QUERIES = [
     event_argv_redact, doc_json_reduce, doc_json_critical, order_record_sample, order_numeric_summary,
     lineitem_record_sample, page_url_tree, page_extension_histogram, match_parse, search_group_sample,
     search_body_aliases, search_reduce, section_carry, commit_body_cap, order_status_report, supplier_test_reduce,
-    event_stream_totals, doc_stream_upsert,
+    event_stream_totals, doc_stream_upsert, route_ids_conserved,
 ]

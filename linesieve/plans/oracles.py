@@ -360,6 +360,14 @@ THREE_PROFILES = " UNION ALL ".join(
 )
 
 
+def route_sizes(kind: str, source: str, block: str, line: str) -> str:
+    """Sizes of the outputs put together of a table's rows; JSON arrays are one line in brackets."""
+    lines, frame = ("1", 2) if kind == "json" else ("count(*)", 0)
+    return f"""SELECT '{kind}-' || ({block}) AS output_id, '{kind}' AS kind,
+        CAST(sum(strlen({line})) + count(*) - 1 + {frame} AS BIGINT) AS raw_bytes, CAST({lines} AS BIGINT) AS raw_lines,
+        true AS not_longer FROM {source} GROUP BY 1"""
+
+
 def short_ids(lengths: list[int]) -> str:
     """CTEs ``left0..leftN`` and ``got0..gotN``: prefixes given out length by length, earliest first."""
     parts = ["left0 AS (SELECT sha256, min(created_at) AS created_at FROM puts GROUP BY 1)"]
@@ -493,6 +501,19 @@ ORACLES = {
         UNION ALL SELECT output_id, 2305843009213693952, rank + 2, '×' || n || ' ' || template, 0 FROM repeated WHERE rank <= 40
         UNION ALL SELECT output_id, 2305843009213693953, 0, '… ' || (count(*) - 40) || ' more template groups in artifact …', 0
           FROM repeated GROUP BY 1 HAVING count(*) > 40""",
+    "route_ids_conserved": " UNION ALL ".join(
+        route_sizes(*part) for part in [
+            ("log", "events", "event_id // 200", "'INFO ' || event_type || ' event=' || event_id"),
+            ("json", "events", "event_id // 200", "coalesce(props, 'null')"),
+            ("test", "lineitem", "l_orderkey // 100", "'tests/part_' || l_partkey || '.py PASSED'"),
+            ("tree", "pages", "page_id // 200", "'site' || (page_id % 3) || '/p' || page_id || '.html'"),
+            ("search", "orders", "o_orderkey // 400", "'c' || (o_custkey % 7) || '.py:' || o_orderkey || ':pay(x)'"),
+            ("git_status", "orders", "o_orderkey // 400", "chr(9) || 'modified:   o/' || o_orderkey"),
+            ("git_log", "customer", "c_custkey // 200", "'commit ' || c_custkey"),
+            ("git_diff", "supplier", "s_suppkey // 100", "'+' || s_suppkey"),
+            ("generic", "part", "p_partkey // 200", "'row ' || p_partkey"),
+        ]
+    ),
     "event_severity_density": f"""
         WITH {EVENT_LINES}, c AS (SELECT output_id, count(*) AS lines, count_if(level <> 'INFO') AS hits FROM lines GROUP BY 1)
         SELECT *, hits >= greatest(8, lines // 8) AS is_log FROM c""",
