@@ -9,22 +9,59 @@ from linesieve.functions.text import content_digest
 from linesieve.operators.lines import ID, LINE
 
 
+GRAM = 16  # characters of the pieces by which texts that may hold a line are found
+PIECE = 1000  # places of a long line worked on at a time
+
+
+def grams(df: DataFrame) -> DataFrame:
+    """Adds ``_key``: one row per window of ``_size`` characters of the line, block after block of a long line."""
+    line, size = F.col(LINE), F.col("_size")
+    blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.lit(0), F.length(line) - size) / PIECE).cast("int"))
+    cut = df.withColumn("_block", F.explode(F.transform(
+        blocks, lambda k: F.substring(line, k * PIECE + 1, size + PIECE - 1)
+    )))
+    block = F.col("_block")
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(block) - size + 1))
+    keys = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(size, F.substring(block, i, size))))
+    return cut.withColumn("_key", F.explode(keys)).drop("_block")
+
+
+def lines_holding(parts: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows of ``lines`` with ``_part``: each text of ``parts`` that occurs in them, within one output.
+
+    A part meets only the lines that hold its rarest window of characters, by equality of output and
+    window, so an output with very many parts and lines spreads over all tasks. Every pair is then
+    compared in full.
+    """
+    asked = parts.select(ID, F.col(LINE)).distinct().withColumns(
+        {"_size": F.least(F.length(LINE), F.lit(GRAM)), "_asked": F.md5(LINE)}
+    )
+    texts = lines.select(ID, LINE).distinct().join(asked.select(ID, "_size").distinct(), ID)
+    held = grams(texts).select(ID, "_key", F.xxhash64(LINE).alias("_text"))
+    often = held.groupBy(ID, "_key").agg(F.count(F.lit(1)).alias("_n"))
+    found = F.coalesce("_n", F.lit(0))
+    rarest = (
+        grams(asked).select(ID, "_key", "_asked").join(often, [ID, "_key"], "left")
+        .groupBy(ID, "_asked").agg(F.min_by("_key", found).alias("_key"), F.min(found).alias("_n"))
+        .where(F.col("_n") > 0)
+    )
+    pairs = rarest.join(held, [ID, "_key"]).select(ID, "_asked", "_text").distinct()
+    named = pairs.join(asked.select(ID, "_asked", F.col(LINE).alias("_part")), [ID, "_asked"]).drop("_asked")
+    return (
+        lines.withColumn("_text", F.xxhash64(LINE)).join(named, [ID, "_text"])
+        .where(F.contains(F.col(LINE), F.col("_part"))).drop("_text")
+    )
+
+
 def missing_lines(needed: DataFrame, view_lines: DataFrame) -> DataFrame:
     """Needed lines that are part of no view line of the same output.
 
-    Equal lines are ruled out first by a join on the line itself. What is left is compared with the
-    texts of its output only, one array of missing lines per output against that output's lines, so
-    no pair of rows is ever written out.
+    Equal lines are ruled out first by a join on the line itself; what is left is looked for inside lines.
     """
     wanted = needed.select(ID, LINE).distinct()
     shown = view_lines.where(F.col(LINE).isNotNull()).select(ID, LINE)
     left = wanted.join(shown, [ID, LINE], "left_anti")
-    lists = left.groupBy(ID).agg(F.collect_set(LINE).alias("_left"))
-    hits = (
-        shown.join(lists, ID)
-        .select(ID, F.explode(F.filter("_left", lambda x: F.contains(F.col(LINE), x))).alias(LINE))
-        .distinct()
-    )
+    hits = lines_holding(left, shown).select(ID, F.col("_part").alias(LINE))
     return left.join(hits, [ID, LINE], "left_anti")
 
 

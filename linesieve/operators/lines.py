@@ -276,8 +276,3 @@ def count_lines(lines: DataFrame, size: int = BLOCK) -> DataFrame:
     """Add ``n_lines`` to a line table without it."""
     cut = with_chunk(lines, NO, size)
     return carry(cut, [ID], {N: (F.count(F.lit(1)), F.sum, ALL)}).drop(CHUNK)
-
-
-def is_context_critical(line: Column, critical: Column) -> Column:
-    """Whether any of the output's decisive lines occurs inside this line."""
-    return F.exists(critical, lambda c: (c != "") & F.contains(line, c))

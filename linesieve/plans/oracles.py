@@ -15,6 +15,8 @@ SECRET = (
     r"|\bauthorization\s*:\s*bearer\s+\S+|\bbearer\s+[A-Za-z0-9._~+/=-]{16,}|-----BEGIN [A-Z ]*PRIVATE KEY-----"
     r"|\b(sk|rk)-[A-Za-z0-9_-]{16,}|\bgh[pousr]_[A-Za-z0-9]{20,}|\bgithub_pat_[A-Za-z0-9_]{20,}|\bAKIA[0-9A-Z]{16}\b)"
 )
+LEVEL = r"(?i)\b(TRACE|DEBUG|INFO|NOTICE|WARN(?:ING)?|ERROR|FATAL|CRITICAL|PANIC)\b"
+TRACE_WORDS = r"(?i)\b(exception|traceback|segfault|stack trace)\b"
 PROGRESS = (
     r"(?i)(\b\d{1,3}%\b|\[[#=*>.\- ]{5,}\]|(downloading|uploading|building|compiling|processing)\b.*\d)"
 )
@@ -43,6 +45,29 @@ def n_lines(x: str) -> str:
     )
 
 
+DIGITS = "^[-+]?[0-9]+"
+
+
+def template(x: str) -> str:
+    """A line with its volatile values masked. The engine has no look-behind, so the last mask works on tokens:
+    letters with the character after them, numbers with the letters after them, single characters."""
+    x = f"regexp_replace(regexp_replace({x}, '^\\s+', ''), '\\s+$', '')"
+    for pattern, label in (
+        ("\\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}\\b", "<uuid>"),
+        ("\\b\\d{4}-\\d{2}-\\d{2}[T ][0-9:.+\\-Z]+\\b|\\b\\d{2}:\\d{2}:\\d{2}(\\.\\d+)?\\b", "<time>"),
+        ("\\b(0x)?[0-9a-fA-F]{8,}\\b", "<id>"),
+    ):
+        x = f"regexp_replace({x}, {q(pattern)}, {q(label)}, 'g')"
+    tokens = q(r"[A-Za-z_]+(?s:[^A-Za-z_])?|[-+]?[0-9]+(?:\.[0-9]+)?(?:[A-Za-z_]+(?s:[^A-Za-z_])?)?|(?s:.)")
+    # Before a letter a number gives up its last digit, or its one-digit fraction.
+    masked = f"""CASE WHEN regexp_full_match(t, '[-+]?[0-9]+([.][0-9]+)?') THEN '<n>'
+        WHEN regexp_matches(t, '{DIGITS}[.][0-9][A-Za-z_]') THEN regexp_replace(t, '{DIGITS}', '<n>')
+        WHEN regexp_matches(t, '{DIGITS}[.][0-9]+[A-Za-z_]') THEN regexp_replace(t, '{DIGITS}[.][0-9]+([0-9][A-Za-z_])', '<n>\\1')
+        WHEN regexp_matches(t, '^[-+]?[0-9]{{2,}}[A-Za-z_]') THEN regexp_replace(t, '{DIGITS}([0-9][A-Za-z_])', '<n>\\1')
+        ELSE t END"""
+    return f"array_to_string(list_transform(regexp_extract_all({x}, {tokens}), lambda t: {masked}), '')"
+
+
 def lines_of(source: str, key: str, text: str, extra: str = "") -> str:
     """Rows (output_id, line_no, n_lines, line) of a text column."""
     return f"""
@@ -421,6 +446,13 @@ ORACLES = {
         SELECT CASE WHEN strlen(text) = 0 THEN 'empty output' WHEN strlen(text) < 2048 AND {n_lines('text')} < 40
                  THEN 'below compression threshold' ELSE 'eligible' END AS outcome,
                count(*) AS docs, CAST(sum({n_lines('text')}) AS BIGINT) AS lines FROM documents GROUP BY 1""",
+    "doc_template_counts": f"""
+        WITH lines AS ({DOC_LINES}),
+        routine AS (SELECT *, {template('line')} AS template FROM lines
+                    WHERE upper(regexp_extract(line, {q(LEVEL)}, 1)) NOT IN ('ERROR', 'FATAL', 'CRITICAL', 'PANIC', 'WARN', 'WARNING')
+                      AND NOT regexp_matches(line, {q(TRACE_WORDS)}))
+        SELECT output_id, template, count(*) AS n, min(line_no) AS first_no, min_by(line, line_no) AS first_line
+        FROM routine WHERE template <> '' GROUP BY 1, 2""",
     "doc_generic_reduce": f"""
         WITH {DOC_COLLAPSED} SELECT output_id, string_agg(line, chr(10) ORDER BY o1, o2) AS view,
                CAST(sum(dropped) AS BIGINT) AS omitted_lines FROM collapsed GROUP BY 1""",

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linesieve.functions.predicates import contains_secret
-from linesieve.operators.containment import containment_check, missing_lines, recovery_check, stored_secrets
+from linesieve.operators.containment import containment_check, lines_holding, missing_lines, recovery_check, stored_secrets
 from linesieve.operators.metrics import recent_artifacts, run_totals, savings_by_kind
 from linesieve.operators.records import numeric_summary, numeric_summary_of_maps, sample_records
 from linesieve.operators.store import (
@@ -155,6 +155,21 @@ def test_containment(spark):
     assert got == {1: (3, 1, False), 2: (1, 0, True)}
 
 
+def test_lines_holding_parts(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("ab") for _ in range(rng.choice([1, 2, 5, 30])))
+    lines = [(rng.choice([0, 0, 0, 1, 2]), k, " ".join(word() for _ in range(rng.randint(0, 6)))) for k in range(120)]
+    long = "".join(rng.choice("abcdefgh") for _ in range(2600))
+    lines += [(0, 500, long), (0, 501, long), (3, 502, "")]
+    parts = [(i, s) for i, _, s in lines[:40]] + [(i, s[3:9]) for i, _, s in lines] + [(i, s[1:25]) for i, _, s in lines]
+    parts += [(0, long[990:1030]), (0, long[2560:]), (0, long[5:2590]), (0, long + "x"), (3, ""), (4, "a"), (4, "")]
+    texts = spark.createDataFrame(lines, "output_id int, line_no int, line string")
+    asked = spark.createDataFrame(parts, "output_id int, line string")
+    got = [(r.output_id, r.line_no, r._part) for r in lines_holding(asked, texts).collect()]
+    want = {(i, n, part) for i, n, line in lines for j, part in parts if i == j and part in line}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_records(spark):
     rng = random.Random(4)
     groups = {g: [rng.random() < 0.3 for _ in range(rng.randint(1, 40))] for g in range(25)}
