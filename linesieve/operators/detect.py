@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linesieve.functions import patterns as P
-from linesieve.functions.knobs import MAX, SAFE, STRICT
+from linesieve.functions.knobs import MAX, PROFILES, STRICT
 from linesieve.functions.predicates import match_head, match_parts
 from linesieve.functions.text import (
     is_binary, is_valid_json, json_value, let, line_count, normalize_newlines, split_lines, strip, strip_ansi,
 )
 
+SMALL = "below compression threshold"
+
 
 def command_words(argv: Column) -> Column:
     """Argument words; a one-string command is split at white space."""
@@ -32,15 +34,17 @@ def detect_struct(command: Column, text: Column, hint: Column) -> Column:
     """Struct(kind, confidence, reason): the first rule that holds; text rules look at the whole text."""
     lower = F.transform(command_words(command), lambda w: F.lower(w))
     return let(
-        F.struct(lower.alias("words"), strip_ansi(text).alias("clean")),
-        lambda s: _rules(s["words"], s["clean"], text, hint),
+        let(
+            F.struct(lower.alias("words"), strip_ansi(text).alias("clean")),
+            lambda s: F.struct(s["words"], s["clean"], F.lower(s["clean"]).alias("low")),
+        ),
+        lambda s: _rules(s["words"], s["clean"], s["low"], text, hint),
     )
 
 
-def _rules(words: Column, clean: Column, text: Column, hint: Column) -> Column:
+def _rules(words: Column, clean: Column, low: Column, text: Column, hint: Column) -> Column:
     base = F.coalesce(F.regexp_extract(F.get(words, F.lit(0)), r"(?s)([^/\\]*)\z", 1), F.lit(""))
     args = F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
-    low = F.lower(clean)
     has = lambda w: F.array_contains(words, w)
     arg_in = lambda *ws: F.exists(args, lambda w: w.isin(*ws))
     log_file = F.exists(args, lambda w: F.endswith(w, F.lit(".log")) | F.endswith(w, F.lit(".out")))
@@ -86,7 +90,7 @@ def _rules(words: Column, clean: Column, text: Column, hint: Column) -> Column:
             detection("log", 0.92, "log command"),
         )
         .when(is_valid_json(text), detection("json", 0.99, "valid JSON"))
-        .when(is_diff_text | clean.rlike(P.GIT_HUNK), detection("git_diff", 0.96, "diff markers"))
+        .when(is_diff_text | (F.contains(clean, F.lit("@@ ")) & clean.rlike(P.GIT_HUNK)), detection("git_diff", 0.96, "diff markers"))
         .when(marker_hits >= 2, detection("test", 0.86, "test markers"))
         .when(
             clean.rlike(P.SEVERITY_WORDS) & severity_dense, detection("log", 0.82, "log severity density")
@@ -114,7 +118,7 @@ def eligibility(outputs: DataFrame) -> DataFrame:
         .when(~F.is_valid_utf8(text), "undecodable output protected")
         .when(
             (F.octet_length(raw) < F.col("min_bytes")) & (F.col("raw_lines") < F.col("min_lines")),
-            "below compression threshold",
+            SMALL,
         ),
     )
 
@@ -176,16 +180,35 @@ def _listing_route(text: Column, lines: Column) -> Column:
     return let(F.filter(lines, lambda x: strip(x) != ""), choose)
 
 
-def classify(outputs: DataFrame) -> DataFrame:
-    """Add the detection, the clean text ``text``, the reducer ``route`` and an optional ``route_note``."""
+def under_profiles(outputs: DataFrame, profiles: list[str] = PROFILES) -> DataFrame:
+    """Every output once per profile; ``source_id`` keeps the original id."""
+    each = F.explode(F.array(*[F.lit(p) for p in profiles]))
+    return (
+        outputs.drop("profile").withColumn("profile", each)
+        .withColumn("source_id", F.col("output_id").cast("string"))
+        .withColumn("output_id", F.concat_ws("#", "profile", "source_id"))
+    )
+
+
+def classify(outputs: DataFrame, profiles: list[str] | None = None) -> DataFrame:
+    """Add the detection, the clean text ``text``, the reducer ``route`` and an optional ``route_note``.
+
+    Rows with a ``skip_reason`` get no route, and a kind only when they are merely small. With ``profiles``
+    each output comes once per profile; all that does not depend on the profile is found before.
+    """
     text = F.col("raw").cast("string")
-    found = outputs.withColumn("_d", detect_struct(F.col("command"), text, F.col("kind_hint")))
+    detected = detect_struct(F.col("command"), text, F.col("kind_hint"))
+    if "skip_reason" in outputs.columns:
+        detected = F.when(F.col("skip_reason").isNull() | (F.col("skip_reason") == SMALL), detected)
+    found = outputs.withColumn("_d", detected)
     known = found.withColumns(
         {
             "kind": F.col("_d.kind"), "confidence": F.col("_d.confidence"), "detection_reason": F.col("_d.reason"),
             "text": normalize_newlines(text),
         }
     ).drop("_d")
+    if profiles is not None:
+        known = under_profiles(known, profiles)
     kind, profile = F.col("kind"), F.col("profile")
     strict = profile == STRICT
     lines = split_lines("text")
@@ -204,6 +227,8 @@ def classify(outputs: DataFrame) -> DataFrame:
         .when(kind == "tree", _listing_route(F.col("text"), lines))
         .otherwise("generic")
     )
+    if "skip_reason" in outputs.columns:
+        route = F.when(F.col("skip_reason").isNull(), route)
     return known.withColumn("_r", F.split(route, ":")).withColumns(
         {"route": F.get("_r", F.lit(0)), "route_note": F.get("_r", F.lit(1))}
     ).drop("_r")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linesieve.functions import patterns as P
-from linesieve.functions.knobs import knob
+from linesieve.functions.knobs import PROFILES, knob
 from linesieve.functions.predicates import (
     contains_secret, parse_match, redact_command, severity_class, severity_level, suffix,
 )
@@ -32,7 +32,6 @@ from linesieve.operators.reduce_search import alias_repeated_bodies, parse_match
 from linesieve.operators.reduce_text import log_template_counts, reduce_generic, reduce_log, reduce_test
 from linesieve.operators.store import assign_ids, expire, latest, latest_puts, lookup_artifacts, verify_artifacts
 from linesieve.plans.compact import compact_corpus
-from linesieve.plans.evaluate import under_profiles
 from linesieve.plans.put import compact_and_store
 from linesieve.plans.retrieve import show
 from linesieve.sources.outputs import explode_lines, outputs_from_text, spread
@@ -56,7 +55,7 @@ def doc_lines(spark, sf_dir) -> DataFrame:
 
 
 def doc_outputs(spark, sf_dir, **values) -> DataFrame:
-    return outputs_from_text(table(spark, sf_dir, "documents"), "doc_id", "text", **values)
+    return outputs_from_text(spread(table(spark, sf_dir, "documents")), "doc_id", "text", **values)
 
 
 # ---- documents: shape and single lines ----------------------------------------------------------
@@ -133,7 +132,7 @@ def doc_generic_reduce(spark, sf_dir):
 
 
 def doc_eligibility(spark, sf_dir):
-    sized = eligibility(spread(doc_outputs(spark, sf_dir)))
+    sized = eligibility(doc_outputs(spark, sf_dir))
     return sized.groupBy(F.coalesce("skip_reason", F.lit("eligible")).alias("outcome")).agg(
         F.count(F.lit(1)).alias("docs"), F.sum("raw_lines").alias("lines")
     )
@@ -204,8 +203,8 @@ def doc_corpus_summary(spark, sf_dir):
 
 
 def doc_savings_by_profile(spark, sf_dir):
-    three = under_profiles(doc_outputs(spark, sf_dir, min_bytes=0, min_lines=0, min_savings_ratio=0.0))
-    out = savings_by_profile(compact_corpus(three))
+    outputs = doc_outputs(spark, sf_dir, min_bytes=0, min_lines=0, min_savings_ratio=0.0)
+    out = savings_by_profile(compact_corpus(outputs, profiles=PROFILES))
     return out.select(
         "profile", "kind", F.col("level").cast("long").alias("level"), "cases", "transformed", "raw_bytes",
         "compact_bytes", F.round("byte_savings_ratio", 9).alias("byte_savings_ratio"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from linesieve.functions.text import (
     content_digest, content_id, estimate_tokens, let, line_count, normalize_line, render_view, saved_ratio,
     strip, strip_ansi,
 )
-from linesieve.operators.detect import classify, detect_struct, eligibility
+from linesieve.operators.detect import SMALL, classify, detect_struct, eligibility, under_profiles
 from linesieve.operators.lines import ID
 from linesieve.plans.reduce import (
     ROUTES, custom_route, decisive_lines, declared_critical, effective_confidence, reduce_outputs, view_notes,
@@ -110,10 +112,10 @@ def percent(x: Column) -> Column:
 
 
 def decide(candidates: DataFrame, store_available: bool = True, allow_secrets: bool = False) -> DataFrame:
-    """The fallback ladder, first reason wins; the header counts against the savings."""
-    raw, raw_text, view = F.col("raw"), F.col("raw").cast("string"), F.col("view")
+    """The fallback ladder, first reason wins; the header counts against the savings. ``secret`` comes with the rows."""
+    raw, view = F.col("raw"), F.col("view")
     omitted = F.col("omitted_lines")
-    facts = candidates.withColumn("secret", contains_secret(raw_text)).withColumn(
+    facts = candidates.withColumn(
         "store_allowed", F.col("store_original") & F.lit(store_available) & (~F.col("secret") | F.lit(allow_secrets))
     ).withColumn("retrieval_available", F.lit(True))
     checked = validate(facts).withColumn("new_id", F.when(F.col("store_allowed"), content_id(raw)))
@@ -196,51 +198,61 @@ def passthrough(outputs: DataFrame, kind: Column, reason: Column) -> DataFrame:
 def skipped(sized: DataFrame) -> DataFrame:
     """Empty, binary, undecodable and small outputs; only the small ones are classified."""
     small = sized.where(F.col("skip_reason").isNotNull())
-    below = F.col("skip_reason") == "below compression threshold"
+    below = F.col("skip_reason") == SMALL
     found = detect_struct(F.col("command"), F.col("raw").cast("string"), F.col("kind_hint"))
     known = small.withColumn("kind", F.when(below, found["kind"]))
     hint = F.when(F.col("kind_hint") != "", F.col("kind_hint"))
     plain = F.col("skip_reason")
     kind = (
         F.when(plain == "empty output", F.coalesce(hint, F.lit("empty")))
-        .when(plain == "below compression threshold", F.col("kind"))
+        .when(plain == SMALL, F.col("kind"))
         .otherwise(F.coalesce(hint, F.lit("binary")))
     )
     return passthrough(known, kind, plain)
 
 
 def compact_corpus(
-    outputs: DataFrame, store_available: bool = True, allow_secrets: bool = False, staged: bool = True
+    outputs: DataFrame, store_available: bool = True, allow_secrets: bool = False, staged: bool = True,
+    profiles: list[str] | None = None,
 ) -> DataFrame:
     """All outputs with their view or the reason for showing the original.
 
-    The classified outputs are written once, cut by route and profile: the reducers read only their
-    own part, none repeats the detection, and routes that do not occur are not planned. Outputs with a
-    probable secret are worked on beside them, and nothing of them is written.
+    One pass finds everything that holds for an output whatever its profile (kind, size, secret) and writes
+    it, cut by route, profile and secret: the reducers read only their own part, none repeats the detection,
+    and routes that do not occur are not planned. Texts of skipped outputs and of outputs with a probable
+    secret are not written; they are read again from ``outputs``. With ``profiles`` every output is judged
+    under each of them (see ``under_profiles``).
     """
     sized = eligibility(outputs)
-    work = classify(sized.where(F.col("skip_reason").isNull())).drop("text", "skip_reason")
-    work = work.withColumn("route", custom_route(F.col("route")))
-    done = skipped(sized)
+    secret = F.when(F.col("skip_reason").isNull(), contains_secret(F.col("raw").cast("string"))).otherwise(False)
+    found = classify(sized.withColumn("secret", F.coalesce(secret, F.lit(False))), profiles).drop("text")
+    found = found.withColumn("route", F.when(F.col("skip_reason").isNull(), custom_route(F.col("route"))))
+    open_text = F.col("skip_reason").isNull() & ~F.col("secret")
+    small = skipped(sized if profiles is None else under_profiles(sized, profiles))
     if not staged:
         with unstaged():
-            return _reduced(work, None, store_available, allow_secrets).unionByName(done)
-    secret = contains_secret(F.col("raw").cast("string"))
-    open_part = stage(work.where(~secret), "classified", ["route", "profile"])
-    parts = _parts(open_part)
-    if parts:
-        done = _reduced(open_part, parts, store_available, allow_secrets).unionByName(done)
-    secret_part = work.where(secret)
-    parts = _parts(secret_part)
-    if parts:
+            work = found.where(F.col("skip_reason").isNull())
+            return _reduced(work, None, store_available, allow_secrets).unionByName(small)
+    written = stage(found.withColumn("raw", F.when(open_text, F.col("raw"))), "classified", ["route", "profile", "secret"])
+    done = []
+    with_secret = found.where(F.col("secret") & F.col("skip_reason").isNull())
+    parts = _parts(written)
+    plain = [(route, profile) for route, profile, held in parts if route is not None and not held]
+    held_back = [(route, profile) for route, profile, held in parts if route is not None and held]
+    if plain:
+        work = written.where(~F.col("secret") & F.col("route").isNotNull())
+        done.append(_reduced(work, plain, store_available, allow_secrets))
+    if held_back:
         with unstaged():
-            done = done.unionByName(_reduced(secret_part, parts, store_available, allow_secrets))
-    return done
+            done.append(_reduced(with_secret, held_back, store_available, allow_secrets))
+    if not done or any(route is None for route, _, _ in parts):
+        done.append(small)
+    return reduce(DataFrame.unionByName, done)
 
 
-def _parts(work: DataFrame) -> list[tuple[str, str]]:
-    """The routes and profiles that occur: at most one row for each pair of them."""
-    return [tuple(r) for r in work.select("route", "profile").distinct().collect()]
+def _parts(work: DataFrame) -> list[tuple[str | None, str, bool]]:
+    """The routes, profiles and secret marks that occur: at most one row for each combination of them."""
+    return [tuple(r) for r in work.select("route", "profile", "secret").distinct().collect()]
 
 
 def _reduced(

@@ -7,21 +7,12 @@ from pyspark.sql import functions as F
 
 from linesieve.functions.knobs import PROFILES
 from linesieve.operators.containment import anchor_gate
+from linesieve.operators.detect import under_profiles  # noqa: F401  (part of this module's interface)
 from linesieve.operators.metrics import savings_by_profile
 from linesieve.plans.compact import compact_corpus, first_missing
 from linesieve.plans.reduce import decisive_lines
 
 
-def under_profiles(outputs: DataFrame, profiles: list[str] = PROFILES) -> DataFrame:
-    """Every output once per profile; ``source_id`` keeps the original id."""
-    each = F.explode(F.array(*[F.lit(p) for p in profiles]))
-    return (
-        outputs.drop("profile").withColumn("profile", each)
-        .withColumn("source_id", F.col("output_id").cast("string"))
-        .withColumn("output_id", F.concat_ws("#", "profile", "source_id"))
-    )
-
-
 def required_facts(results: DataFrame, anchors: DataFrame) -> DataFrame:
     """Anchor groups seen in each result's view."""
     texts = results.select(F.col("output_id").alias("case"), F.col("output").cast("string").alias("text"))
@@ -62,4 +53,4 @@ def strict_gate(results: DataFrame, outputs: DataFrame, cases: DataFrame, anchor
 
 def profile_comparison(outputs: DataFrame, profiles: list[str] = PROFILES, **options) -> DataFrame:
     """Savings of the corpus under each profile, with subtotals by kind."""
-    return savings_by_profile(compact_corpus(under_profiles(outputs, profiles), **options))
+    return savings_by_profile(compact_corpus(outputs, profiles=profiles, **options))
