@@ -24,8 +24,9 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies, the one with the smallest id; null ids stay."""
-    return near_dedup.keep_representatives(docs, percent=85)
+    """One document of each component of near copies, the one with the smallest id; null ids stay. Near means that at least
+    0.8 of the five-word shingles of both are common to them."""
+    return near_dedup.keep_representatives(docs, percent=80)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -15,9 +15,10 @@ from .common import Workspace, keep_matching, text_or_empty
 from .components import connected_components
 from .spans import LOWER, mix, per_text, ragged, span_hashes, texts_of, word_spans
 
-#: Bands of ROWS registers: at a similarity of 0.85, a link shares no band with a probability of 3e-5.
-BANDS, ROWS = 22, 6
-REGISTERS = BANDS * ROWS
+#: Registers of a signature; bands take as many of them as fit (`banding`).
+REGISTERS = 132
+#: Probability with which a link at exactly the threshold may share no band.
+MISSED = 5e-5
 #: Bits of a register: leading zeros of the bucket's least hash, then the bits after its first one.
 MANTISSA_BITS = 10
 #: Rounds in which empty buckets take elements dealt anew, before each empty bucket gets a hash function of its own.
@@ -94,10 +95,19 @@ def registers(shingles: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return ((zeros << MANTISSA_BITS) | ((fraction - 0.5) * (2 << MANTISSA_BITS)).astype(np.int64)).astype(np.uint16)
 
 
-def band_keys(regs: np.ndarray) -> np.ndarray:
+def banding(threshold: float) -> tuple[int, int]:
+    """Bands and registers of a band: the longest bands that miss at most MISSED of the links at the threshold.
+
+    22 bands of 6 miss 3e-5 at 0.85, 26 bands of 5 miss 3e-5 at 0.8.
+    """
+    rows = next((r for r in range(len(_ODD), 1, -1) if (1 - threshold ** r) ** (REGISTERS // r) <= MISSED), 1)
+    return REGISTERS // rows, rows
+
+
+def band_keys(regs: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One 64-bit key per text and band."""
-    rows = regs.reshape(len(regs), BANDS, ROWS).astype(np.uint64) + np.uint64(1)
-    return mix((rows * _ODD[:ROWS]).sum(2, dtype=np.uint64) + mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(7)))
+    parts = regs[:, :bands * rows].reshape(len(regs), bands, rows).astype(np.uint64) + np.uint64(1)
+    return mix((parts * _ODD[:rows]).sum(2, dtype=np.uint64) + mix(np.arange(bands, dtype=np.uint64) + np.uint64(7)))
 
 
 def estimate(same: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
@@ -154,15 +164,18 @@ def _sets(width: int):
     return run
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not len(batch):
-            continue
-        regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        keys = band_keys(regs).view(np.int64)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(keys.ravel()), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(regs))), pa.array(np.repeat(np.asarray(batch.column(0)), BANDS)),
-        ], names=["key", "band", "rep"])
+def _bands(bands: int, rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            regs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, REGISTERS)
+            keys = band_keys(regs, bands, rows).view(np.int64)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(keys.ravel()), pa.array(np.tile(np.arange(bands, dtype=np.int32), len(regs))), pa.array(np.repeat(np.asarray(batch.column(0)), bands)),
+            ], names=["key", "band", "rep"])
+
+    return run
 
 
 def _estimated(threshold: float):
@@ -208,14 +221,14 @@ def _tile_pairs(tile: pa.Table, threshold: float) -> Iterator[tuple[int, np.ndar
     """
     regs = np.frombuffer(b"".join(tile.column("regs").to_pylist()), np.uint16).reshape(-1, REGISTERS)
     part, block, n = (tile.column(c).to_numpy() for c in ("part", "block", "n"))
-    band = tile.column("band")[0].as_py()
+    band, rows = tile.column("band")[0].as_py(), banding(threshold)[1]
     alone = block.min() == block.max()
     for i in range(len(tile)):
         rest = np.flatnonzero(part[i + 1:] != part[i]) + i + 1
         if not alone:
             rest = rest[block[rest] != block[i]]
         same = regs[rest] == regs[i]
-        first = ~same[:, :band * ROWS].reshape(len(rest), band, ROWS).all(2).any(1) if band else np.ones(len(rest), bool)
+        first = ~same[:, :band * rows].reshape(len(rest), band, rows).all(2).any(1) if band else np.ones(len(rest), bool)
         guess = estimate(same.sum(1), n[rest], np.full(len(rest), n[i]))
         near = first & (guess >= _floor(threshold))
         if near.any():
@@ -312,7 +325,7 @@ def near_dedup(
         signed.select("doc_id", "n_shingles", "digest").join(reps.select("digest", "rep"), "digest", "left").drop("digest"), "members"
     )
 
-    rows = reps.select("rep", "regs").mapInArrow(_bands, "key long, band int, rep long")
+    rows = reps.select("rep", "regs").mapInArrow(_bands(*banding(percent / 100)), "key long, band int, rep long")
     rows = rows.withColumn("turn", F.xxhash64("rep", "key"))
     buckets = rows.groupBy("key").agg(F.min(F.struct("turn", "rep")).alias("pivot"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = space.write(rows.join(buckets, "key").select("key", "band", "rep", F.col("pivot.rep").alias("pivot"), "size"), "shared")

@@ -134,6 +134,14 @@ def test_near_matches_brute_force(spark, monkeypatch):
             assert r.kept == (r.component_id == r.doc_id)
 
 
+def test_bands_follow_the_threshold():
+    for threshold in (0.5, 0.7, 0.8, 0.85, 0.9, 1.0):
+        bands, rows = near_dedup.banding(threshold)
+        assert bands * rows <= near_dedup.REGISTERS
+        assert (1 - threshold ** rows) ** bands < 1e-4, threshold
+    assert near_dedup.banding(0.85) == (22, 6)
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(0)
     for share in (0.5, 0.8, 0.95):

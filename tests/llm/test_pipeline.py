@@ -25,3 +25,16 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert ids[3] == ids[2]
     packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in packed} == ids[3]
+
+
+def test_near_copies_at_the_general_threshold(spark):
+    words = [f"w{k}" for k in range(50)]
+    rows = []
+    for k in range(20):
+        base = [f"{k}{w}" for w in words]
+        # One word in 50 changed: 41 of 51 shingles are common. Two words: 36 of 56.
+        rows += [(10 * k, " ".join(base)), (10 * k + 1, " ".join([*base[:25], "other", *base[26:]]))]
+        rows += [(10 * k + 2, " ".join([*base[:15], "other", *base[16:35], "other", *base[36:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert kept == {10 * k + j for k in range(20) for j in (0, 2)}
