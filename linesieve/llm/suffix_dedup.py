@@ -28,6 +28,8 @@ from .spans import _VALUE, _powers, mix, texts_of
 
 #: Bytes of an anchor's gram.
 GRAM = 24
+#: Largest length of strings: a segment holds at most 2 * length - GRAM bytes, and a run's size has 16 bits.
+LONGEST = ((1 << 16) - 1 + GRAM) // 2
 #: Text whose anchors make one bucket, about.
 BUCKET_BYTES = 32 << 20
 #: Anchors sampled for one splitter; the sample is bounded by this times the number of buckets.
@@ -98,7 +100,7 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, length: int) -> dict[str,
 
 #: Columns of an anchor on its way to a bucket. `pos` is the first window's start in its document, `back` the anchor's
 #: distance from it and `more` the number of further windows.
-COLUMNS = (("head", np.uint64), ("gram", np.uint64), ("segment", np.uint64), ("doc", np.int64), ("pos", np.int64), ("back", np.uint8), ("more", np.uint8))
+COLUMNS = (("head", np.uint64), ("gram", np.uint64), ("segment", np.uint64), ("doc", np.int64), ("pos", np.int64), ("back", np.uint16), ("more", np.uint16))
 
 
 def _pack(anchors: dict[str, np.ndarray], part: slice) -> bytes:
@@ -374,8 +376,11 @@ def repeated_runs(docs: DataFrame, length: int = 100, id_col: str = "doc_id", te
     are what is covered by a string of `length` bytes that also starts earlier: in a row with a smaller id, or earlier
     in the row. Strings are judged on the input. A null text is empty, and a text shorter than `length` has no runs; a
     null id counts as larger than all others; rows that share an id are one document, in the order of a hash of their
-    texts, and equal ones among them don't repeat each other. No rows give no rows.
+    texts, and equal ones among them don't repeat each other. No rows give no rows. Lengths below GRAM or above LONGEST
+    are refused.
     """
+    if not GRAM <= length <= LONGEST:
+        raise ValueError(f"length must be from {GRAM} to {LONGEST}, not {length}")
     spark = docs.sparkSession
     space = Workspace(spark, "suffix")
     others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]

@@ -202,6 +202,28 @@ def test_suffix_cut_gram_and_shared_ids(spark, monkeypatch):
     assert texts[3] is None and set(texts[2]) <= {"x", "é"}
 
 
+def test_suffix_long_strings(spark):
+    rng = random.Random(9)
+    passage = "".join(rng.choice("abcdefghij ") for _ in range(1500))
+    rows = [(k, f"{k:04d}" * (k + 1) + passage[k * 7:k * 7 + 900] + str(rng.random())) for k in range(30)]
+    for length in (24, 280, 600):
+        got = suffix_dedup.removal_digests(suffix_dedup.repeated_runs(docs_of(spark, rows), length)).collect()
+        assert sorted(tuple(r) for r in got) == sorted(brute_spans(rows, length)), length
+    for length in (23, suffix_dedup.LONGEST + 1):
+        with pytest.raises(ValueError):
+            suffix_dedup.repeated_runs(docs_of(spark, rows), length)
+
+
+def test_suffix_columns_hold_the_longest_segment():
+    length = suffix_dedup.LONGEST
+    text = np.frombuffer(random.Random(3).randbytes(3 * length), np.uint8)
+    anchors = suffix_dedup.anchors_of(text, np.array([0, len(text)]), length)
+    anchors |= {"doc": anchors["text"], "pos": anchors["low"], "back": anchors["place"] - anchors["low"], "more": anchors["high"] - anchors["low"]}
+    again = suffix_dedup._unpack([suffix_dedup._pack(anchors, slice(0, None))])
+    assert (again["back"] == anchors["back"]).all() and (again["more"] == anchors["more"]).all()
+    assert (anchors["more"] + length).max() < 1 << 16
+
+
 def test_multikey_quicksort_sorts():
     rng = np.random.default_rng(2)
     keys = [rng.integers(0, n, 30_000).astype(np.uint64) for n in (3, 5, 1000)] + [rng.permutation(30_000)]
