@@ -38,7 +38,7 @@ class WordEncoder:
 
     The file drops white space before it splits words, so the ids of a text are those of its pieces between white space,
     and the ids of a piece those of its words. Each new word goes through the library, which marks word ends in its last
-    token. Texts with other characters, or with a special token's string, go through the library whole.
+    token. Texts with other characters, or with a special token's string in any case, go through the library whole.
     """
 
     def __init__(self, path: str):
@@ -46,7 +46,8 @@ class WordEncoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         specials = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.odd_piece = re.compile("|".join([f"[^{PLAIN}]", *specials])).search
+        # Pieces that differ by ASCII case share an entry, so a special token's string counts in every spelling.
+        self.odd_piece = re.compile("|".join([f"[^{PLAIN}]", *[f"(?i:{s})" for s in specials]])).search
         with open(path, encoding="utf-8") as file:
             rules = json.load(file)
         self.split = regex.compile(rules["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]).findall

@@ -253,6 +253,14 @@ def test_word_encoder_equals_library():
         assert at == len(texts)
 
 
+def test_special_tokens_in_any_case():
+    path = tokenizer("word_bpe_49k.json")
+    library, encoder = Tokenizer.from_file(path), words.WordEncoder(path)
+    for text in ("a <|ENDOFTEXT|> b", "a <|endoftext|> b", "a<|StartOfText|>", "a<|startoftext|>", "<|EndOfText|>."):
+        (_, _, ids, _), = encoder.encode(pa.array([text]))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
 def test_bpe_equals_library(spark):
     path = tokenizer("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
