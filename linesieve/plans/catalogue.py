@@ -219,6 +219,18 @@ def doc_containment_check(spark, sf_dir):
     return containment_check(needed, edges).select(ID, "needed", "missing", "passed")
 
 
+def doc_containment_whole(spark, sf_dir):
+    """All lines that aren't empty, whole, in views of the first and last lines with text around them.
+
+    Every second view line lacks the last character of its line, however long that is.
+    """
+    lines = doc_lines(spark, sf_dir)
+    needed = lines.where(F.col(LINE) != "").select(ID, LINE)
+    whole = F.when(F.col(NO) % 2 == 0, F.col(LINE)).otherwise(F.substring(LINE, F.lit(1), F.length(LINE) - 1))
+    edges = anchor_rows(lines, 3, 2).withColumn(LINE, F.concat(F.lit("> "), whole, F.lit(" <")))
+    return containment_check(needed, edges).select(ID, "needed", "missing", "passed")
+
+
 def doc_label_lookup(spark, sf_dir):
     docs = documents(spark, sf_dir, "text")
     joined = label_lookup(docs, table(spark, sf_dir, "labels"), "doc_id")
@@ -672,8 +684,8 @@ QUERIES = [
     doc_line_stats, doc_token_estimate, doc_content_id, doc_secret_scan, doc_critical_lines, doc_dup_runs,
     doc_dup_collapse_view, doc_grep_context, doc_window_gaps, doc_head_tail, doc_spread_sample, doc_template_counts,
     doc_generic_reduce, doc_eligibility, doc_decision, doc_run_totals, doc_savings_by_kind, doc_corpus_summary,
-    doc_savings_by_profile, doc_containment_check, doc_label_lookup, doc_anchor_gate, artifact_upsert, artifact_ids,
-    artifact_short_ids, artifact_prefix_lookup, artifact_verify, artifact_recovery, secret_not_stored, artifact_show,
+    doc_savings_by_profile, doc_containment_check, doc_containment_whole, doc_label_lookup, doc_anchor_gate, artifact_upsert,
+    artifact_ids, artifact_short_ids, artifact_prefix_lookup, artifact_verify, artifact_recovery, secret_not_stored, artifact_show,
     artifact_expire, newest_orders, event_log_lines, event_critical_lines, event_log_reduce, event_template_counts, event_severity_density,
     event_progress_families, event_progress_reduce, event_props_numeric_summary, event_json_nodes, event_json_minify,
     event_argv_redact, doc_json_reduce, doc_json_critical, order_record_sample, order_numeric_summary,

@@ -483,6 +483,14 @@ ORACLES = {
         checked AS (SELECT n.output_id, n.line, bool_or(contains(s.line, n.line)) AS found
                     FROM needed n JOIN shown s USING (output_id) GROUP BY 1, 2)
         SELECT output_id, count(*) AS needed, count_if(NOT found) AS missing, bool_and(found) AS passed FROM checked GROUP BY 1""",
+    "doc_containment_whole": f"""
+        WITH lines AS ({DOC_LINES}),
+        needed AS (SELECT DISTINCT output_id, line FROM lines WHERE line <> ''),
+        shown AS (SELECT output_id, '> ' || CASE WHEN line_no % 2 = 0 THEN line ELSE substr(line, 1, length(line) - 1) END || ' <' AS line
+                  FROM lines WHERE line_no < 3 OR line_no >= n_lines - 2),
+        checked AS (SELECT n.output_id, n.line, bool_or(contains(s.line, n.line)) AS found
+                    FROM needed n JOIN shown s USING (output_id) GROUP BY 1, 2)
+        SELECT output_id, count(*) AS needed, count_if(NOT found) AS missing, bool_and(found) AS passed FROM checked GROUP BY 1""",
     "doc_label_lookup": f"""
         SELECT quality, toxic, count(*) AS docs, CAST(sum({n_lines('text')}) AS BIGINT) AS lines
         FROM documents JOIN labels USING (doc_id) GROUP BY 1, 2""",
