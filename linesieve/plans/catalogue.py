@@ -581,8 +581,8 @@ def commit_lines(spark, sf_dir) -> DataFrame:
         F.lit("\n\n"),
     )
     lines = explode_lines(turns.select("conv_id", "turn", head.alias("text")), normalize=True)
-    rows = lines.withColumn("at", F.col("turn") * 1_000_000 + F.col(NO)).drop(NO, N)
-    placed = numbered(rows, ["conv_id"], ["at"], "turn", 64, NO, N)
+    rows = lines.withColumnRenamed(NO, "at").drop(N)
+    placed = numbered(rows, ["conv_id"], ["turn", "at"], "turn", 64, NO, N)
     return placed.select(F.col("conv_id").alias(ID), NO, N, LINE)
 
 
