@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace, text_or_empty
+from .common import Workspace, free_name, text_or_empty
 
 LOCAL_SCHEMA = "row_id bigint, first boolean, gid bigint, hash bigint, least bigint, n bigint, sha string, content binary"
 RESOLVED_SCHEMA = "gid bigint, keep_id bigint, keep_gid bigint, group_size bigint, text_sha256 string"
@@ -242,9 +242,10 @@ def keep_first_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The kept rows of `exact_dedup`, all columns as they are; of repeated rows with one id and text, one."""
     kept = exact_dedup(docs, id_col, text_col).filter("kept")
     none = F.lit(-(1 << 63))
-    kept = kept.select(F.coalesce(F.col(id_col), none).alias("__id"), F.col("text_sha256").alias("__sha"))
+    key, sha, place = (free_name(docs, name) for name in ("id_key", "sha_key", "place_in_key"))
+    kept = kept.select(F.coalesce(F.col(id_col), none).alias(key), F.col("text_sha256").alias(sha))
     body = F.regexp_replace(text_or_empty(text_col), r"[\x20\x09-\x0D]+", " ")
-    marked = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("bigint"), none)).withColumn("__sha", F.sha2(body, 256))
-    matched = marked.join(kept, ["__sha", "__id"], "left_semi")
-    one = Window.partitionBy("__sha", "__id").orderBy(F.col(text_col))
-    return matched.withColumn("__place", F.row_number().over(one)).filter("__place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.withColumn(key, F.coalesce(F.col(id_col).cast("bigint"), none)).withColumn(sha, F.sha2(body, 256))
+    matched = marked.join(kept, [sha, key], "left_semi")
+    one = Window.partitionBy(sha, key).orderBy(F.col(text_col))
+    return matched.withColumn(place, F.row_number().over(one)).filter(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Workspace, keep_matching, shuffle_partitions, text_or_empty
+from .common import Workspace, free_name, keep_matching, shuffle_partitions, text_or_empty
 from .spans import _VALUE, _powers, mix, texts_of
 
 #: Bytes of an anchor's gram.
@@ -305,6 +305,8 @@ def _run_slices(gram: np.ndarray, batch_rows: int) -> Iterator[tuple[int, int]]:
 
 def _merged(doc: np.ndarray, start: np.ndarray, length: int) -> Iterator[pa.RecordBatch]:
     """Removed runs from window starts; neighbours become one run, of at most 2^14 windows."""
+    if not len(doc):
+        return
     order = np.lexsort((start, doc))
     doc, start = doc[order], start[order]
     new = np.ones(len(doc), bool)
@@ -484,9 +486,10 @@ def without_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id",
                 texts.append(_kept(raw, np.array(inner, np.int64).reshape(-1, 2)).decode())
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string())], names=["row", "body"])
 
-    marked = docs.withColumn("__null_text", F.col(text_col).isNull())
+    null_text = free_name(docs, "null_text")
+    marked = docs.withColumn(null_text, F.col(text_col).isNull())
     runs = repeated_runs(marked, length, id_col, text_col).select("row", "body", "base", "runs")
     schema = T.StructType([runs.schema["row"], T.StructField("body", T.StringType())])
     cut = runs.mapInArrow(run, schema)
-    text = F.when(~F.col("row.__null_text"), F.col("body")).alias(text_col)
+    text = F.when(~F.col(f"row.`{null_text}`"), F.col("body")).alias(text_col)
     return cut.select(*[text if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -214,6 +214,25 @@ def test_suffix_long_strings(spark):
             suffix_dedup.repeated_runs(docs_of(spark, rows), length)
 
 
+@pytest.mark.parametrize("run_limit", [20_000, 1])
+@pytest.mark.parametrize("shared", [30, 60, 99, 100, 300])
+def test_suffix_shared_grams_without_equal_windows(spark, monkeypatch, run_limit, shared):
+    monkeypatch.setattr(suffix_dedup, "RUN", run_limit)
+    rng = random.Random(shared)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    common = letters(shared)
+    rows = [(k, letters(150) + common + letters(150)) for k in range(40)]
+    got = suffix_dedup.removal_digests(suffix_dedup.repeated_runs(docs_of(spark, rows))).collect()
+    assert sorted(tuple(r) for r in got) == sorted(brute_spans(rows, 100))
+
+
+def test_helper_columns_leave_the_input_alone(spark):
+    rows = [(1, "a  b", 1, 2, 3, 4), (2, "a b", 5, 6, 7, 8), (3, None, 9, 9, 9, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, null_text int, id_key int, sha_key int, place_in_key int")
+    assert [tuple(r) for r in exact_dedup.keep_first_copies(docs).orderBy("doc_id").collect()] == [rows[0], rows[2]]
+    assert [tuple(r) for r in suffix_dedup.without_repeats(docs).orderBy("doc_id").collect()] == rows
+
+
 def test_suffix_columns_hold_the_longest_segment():
     length = suffix_dedup.LONGEST
     text = np.frombuffer(random.Random(3).randbytes(3 * length), np.uint8)

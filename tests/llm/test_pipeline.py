@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 
 
@@ -27,6 +29,24 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert {r.doc_id for r in packed} == ids[3]
 
 
+def test_stages_after_deduplication_on_shared_passages(spark, tmp_path):
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    common = letters(60)
+    rows = [(k, letters(200) + common + letters(200)) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        docs = stage(spark, docs, "")
+    assert {(r.doc_id, r.text) for r in docs.collect()} == set(rows)
+
+
+def test_no_documents(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([], schema).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_near_copies_at_the_general_threshold(spark):
     words = [f"w{k}" for k in range(50)]
     rows = []
