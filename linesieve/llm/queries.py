@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, embedding_dedup, exact_dedup, hmm, near_dedup, packing, quality, suffix_dedup, token_files
+from . import (
+    bpe, chat_format, embedding_dedup, exact_dedup, filter_audit, hmm, near_dedup, packing, quality, substring_dedup, suffix_dedup,
+    token_files, treap_search,
+)
 from .common import Workspace, id_remainder
 from .oracles import ORACLES
 
@@ -71,9 +74,23 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.word_removal_digests(substring_dedup.repeated_words(docs, length=35))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treap_search.ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = [
     op1_quality_classifier, op2_hmm_language_model, op3_chat_format, op4_best_fit_packing, op5_minhash_near_dedup,
     op6_bpe_encode_decode, op7_token_id_output, op8_suffix_array_dedup, op9_embedding_near_dedup, op10_exact_dedup,
+    op11_substring_dedup, op12_ranked_search, op13_filter_audit,
 ]
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: ASCII white space: \\x09-\\x0D and \\x20.
 WHITE = np.zeros(256, bool)
@@ -15,6 +17,8 @@ LOWER[65:91] += 32
 #: Bytes of text worked on at a time, and bytes under one running sum of hashes.
 SLICE = 2 << 20
 SUM = 1 << 20
+#: Bytes from which a word is hashed apart.
+LONG_WORD = 1 << 16
 
 _rng = np.random.default_rng(20240229)
 _VALUE = _rng.integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -57,11 +61,11 @@ def texts_of(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, n
         first = end
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the maximal runs without ASCII white space; a text's end ends its run."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the maximal runs without ASCII white space, or bytes of `white`; a text's end ends its run."""
     if not len(data):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    ink = ~WHITE[data]
+    ink = ~white[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     before = edge[:-1].copy()
@@ -71,6 +75,25 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.flatnonzero(ink & before), np.flatnonzero(ink & after) + 1
 
 
+_WHITE_BYTE = re.compile(rb"[\x20\x09-\x0D]").search
+
+
+def cuts_at_white(raw: bytes, size: int) -> Iterator[tuple[int, int]]:
+    """Bounds of slices of about `size` bytes that end at white space, or with the text."""
+    at = 0
+    while at < len(raw):
+        cut = _WHITE_BYTE(raw, at + size) if len(raw) - at > size else None
+        end = cut.start() if cut else len(raw)
+        yield at, end
+        at = end
+
+
+def word_slices(raw: bytes, size: int = 2 * SLICE) -> Iterator[list[bytes]]:
+    """The words of a text, in lists from slices of it."""
+    for low, high in cuts_at_white(raw, size):
+        yield raw[low:high].split()
+
+
 def per_text(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Bounds, in the list of spans, of each text's spans."""
     return np.searchsorted(starts, offsets)
@@ -93,6 +116,17 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def span_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word; very long ones don't go through the running sums."""
+    out, at = np.empty(len(starts), np.uint64), 0
+    for k in [*np.flatnonzero(ends - starts > LONG_WORD).tolist(), len(starts)]:
+        out[at:k] = span_hashes(data, starts[at:k], ends[at:k])
+        if k < len(starts):
+            out[k] = xxhash.xxh64_intdigest(data[starts[k]:ends[k]].tobytes())
+        at = k + 1
+    return out
+
+
 def ragged(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The slices values[starts[i]:starts[i] + lengths[i]] one after another."""
     total = int(lengths.sum())
