@@ -5,47 +5,84 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from linesieve.functions.text import content_digest
+from linesieve.functions.text import content_digest, let
 from linesieve.operators.lines import ID, LINE
 
 
-GRAM = 16  # characters of the pieces by which texts that may hold a line are found
-PIECE = 1000  # places of a long line worked on at a time
+#: (least length, characters of a gram, grams of a window): a needed line belongs to the first class that it is long enough
+#: for, so that it holds a whole window. A window needs gram + window - 1 characters; both are powers of two.
+CLASSES = [(47, 16, 32), (23, 8, 16), (11, 4, 8), (5, 2, 4), (2, 2, 1), (1, 1, 1)]
+PIECE = 4096  # characters of a line worked on at a time
+KEYS = 16  # windows of a needed line among which the rarest is chosen
 
 
-def grams(df: DataFrame) -> DataFrame:
-    """Adds ``_key``: one row per window of ``_size`` characters of the line, block after block of a long line."""
-    line, size = F.col(LINE), F.col("_size")
-    blocks = F.sequence(F.lit(0), F.floor(F.greatest(F.lit(0), F.length(line) - size) / PIECE).cast("int"))
-    cut = df.withColumn("_block", F.explode(F.transform(
-        blocks, lambda k: F.substring(line, k * PIECE + 1, size + PIECE - 1)
-    )))
-    block = F.col("_block")
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(block) - size + 1))
-    keys = F.array_distinct(F.transform(starts, lambda i: F.xxhash64(size, F.substring(block, i, size))))
-    return cut.withColumn("_key", F.explode(keys)).drop("_block")
+def _pieces(line: Column, overlap: Column) -> Column:
+    """The line in pieces that share ``overlap`` characters with the next one; short lines are one piece."""
+    cut = F.regexp_extract_all(line, F.lit("(?s)(.{1,%d})" % PIECE), F.lit(1))
+    joined = let(cut, lambda parts: F.transform(
+        parts, lambda x, i: F.concat(x, F.coalesce(F.left(F.get(parts, i + 1), overlap), F.lit("")))
+    ))
+    return F.when(F.length(line) <= PIECE, F.array(line)).otherwise(joined)
+
+
+def _doubled(values: Column, width: Column, combine) -> Column:
+    """Combines runs of ``width`` neighbours, a power of two, by combining runs of 1, 2, 4, .. neighbours."""
+    for k in (1, 2, 4, 8, 16):
+        values = let(values, lambda v, k=k: F.when(
+            width > k, F.zip_with(v, F.slice(v, k + 1, F.size(v)), combine)
+        ).otherwise(v))
+    return values
+
+
+def minimizers(text: Column, gram: Column, window: Column) -> Column:
+    """The least gram hash of every window of the text, each once; a text without a whole window has none.
+
+    A text that stands inside another one has its windows there too, so it shares each of these with it.
+    """
+    codes = F.transform(F.split(text, ""), lambda c: F.xxhash64(c, gram))
+    grams = _doubled(codes, gram, lambda a, b: F.xxhash64(a, b))
+    whole = let(grams, lambda g: F.slice(g, 1, F.greatest(F.lit(0), F.length(text) - gram + 1)))
+    least = _doubled(whole, window, lambda a, b: F.least(a, b))
+    return let(least, lambda m: F.array_distinct(F.slice(m, 1, F.greatest(F.lit(0), F.length(text) - gram - window + 2))))
+
+
+def _class_of(line: Column) -> Column:
+    out = F.lit(None).cast("int")
+    for k, (least, _, _) in reversed(list(enumerate(CLASSES))):
+        out = F.when(F.length(line) >= least, k).otherwise(out)
+    return out
+
+
+def with_keys(df: DataFrame, limit: int | None = None) -> DataFrame:
+    """Adds ``_key``: the minimizers of the line for the windows of its ``_class``, one a row; with ``limit`` the least ones."""
+    pick = lambda at: F.element_at(F.array(*[F.lit(c[at]) for c in CLASSES]), F.col("_class") + 1)
+    gram, window = pick(1), pick(2)
+    pieces = F.transform(_pieces(F.col(LINE), gram + window - 2), lambda x: minimizers(x, gram, window))
+    keys = F.array_distinct(F.flatten(pieces))
+    return df.withColumn("_key", F.explode(keys if limit is None else F.slice(F.array_sort(keys), 1, limit)))
 
 
 def lines_holding(parts: DataFrame, lines: DataFrame) -> DataFrame:
     """Rows of ``lines`` with ``_part``: each text of ``parts`` that occurs in them, within one output.
 
-    A part meets only the lines that hold its rarest window of characters, by equality of output and
-    window, so an output with very many parts and lines spreads over all tasks. Every pair is then
-    compared in full.
+    Lines are indexed by minimizers: of every window of neighbouring grams the one with the least hash, about one in
+    sixteen characters of a long line. A line that holds a part holds the part's windows, so it has all of the part's
+    minimizers; the part meets only the lines with its rarest one, by equality of output and key. An output with very
+    many parts and lines spreads over all tasks. Every pair is then compared in full. Empty parts are in no line.
     """
-    asked = parts.select(ID, F.col(LINE)).distinct().withColumns(
-        {"_size": F.least(F.length(LINE), F.lit(GRAM)), "_asked": F.md5(LINE)}
+    asked = parts.where(F.col(LINE) != "").select(ID, F.col(LINE)).distinct().withColumns(
+        {"_class": _class_of(F.col(LINE)), "_asked": F.xxhash64(LINE)}
     )
-    texts = lines.select(ID, LINE).distinct().join(asked.select(ID, "_size").distinct(), ID)
-    held = grams(texts).select(ID, "_key", F.xxhash64(LINE).alias("_text"))
-    often = held.groupBy(ID, "_key").agg(F.count(F.lit(1)).alias("_n"))
+    texts = lines.select(ID, LINE).distinct().join(asked.select(ID, "_class").distinct(), ID)
+    held = with_keys(texts).select(ID, "_class", "_key", F.xxhash64(LINE).alias("_text"))
+    often = held.groupBy(ID, "_class", "_key").agg(F.count(F.lit(1)).alias("_n"))
     found = F.coalesce("_n", F.lit(0))
     rarest = (
-        grams(asked).select(ID, "_key", "_asked").join(often, [ID, "_key"], "left")
-        .groupBy(ID, "_asked").agg(F.min_by("_key", found).alias("_key"), F.min(found).alias("_n"))
+        with_keys(asked, KEYS).select(ID, "_class", "_key", "_asked").join(often, [ID, "_class", "_key"], "left")
+        .groupBy(ID, "_class", "_asked").agg(F.min_by("_key", found).alias("_key"), F.min(found).alias("_n"))
         .where(F.col("_n") > 0)
     )
-    pairs = rarest.join(held, [ID, "_key"]).select(ID, "_asked", "_text").distinct()
+    pairs = rarest.join(held, [ID, "_class", "_key"]).select(ID, "_asked", "_text").distinct()
     named = pairs.join(asked.select(ID, "_asked", F.col(LINE).alias("_part")), [ID, "_asked"]).drop("_asked")
     return (
         lines.withColumn("_text", F.xxhash64(LINE)).join(named, [ID, "_text"])

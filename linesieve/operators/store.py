@@ -79,31 +79,38 @@ def upsert_artifacts(existing: DataFrame, new: DataFrame) -> DataFrame:
     return latest(existing.select(*ARTIFACT).unionByName(new.select(*ARTIFACT)), "id", ["created_at"])
 
 
+FENCE = 4  # characters of an id that decide where it is looked for; no valid request is shorter
+
+
 def lookup_artifacts(prefixes: DataFrame, artifacts: DataFrame, column: str = "prefix") -> DataFrame:
     """Each requested id or prefix with its ``status`` and, when it is unique, the artifact ``id``.
 
-    An exact id beats longer ids that start with it, in either case of letters. Requests and ids meet by
-    equality: each id offers its prefixes of the lengths asked for, which are no more than an id has
-    characters. Several rows with one id are one artifact.
+    An exact id beats longer ids that start with it, in either case of letters. Several rows with one id are one
+    artifact. A prefix p is the interval from p up to, but without, p followed by "g", which is behind all hex digits.
+    Ids and both ends of the intervals are sorted together, inside the fences set by their first characters: each end
+    finds the number of ids that aren't smaller and the first of them. So an id is one row and a request two, whatever
+    lengths are asked for.
     """
     asked = prefixes.select(F.col(column).alias("prefix")).distinct()
-    valid = asked.where(F.col("prefix").rlike(P.ARTIFACT_ID)).withColumn("_low", F.lower("prefix"))
-    sizes = [size for (size,) in valid.select(F.length("_low")).distinct().collect()]
-    starts = F.array_distinct(F.array(*[F.substring("id", 1, n) for n in sizes]).cast("array<string>"))
-    ids = artifacts.select("id").distinct().select("id", F.explode(starts).alias("_low"))
-    found = valid.join(ids, "_low").groupBy("prefix").agg(
-        F.count(F.lit(1)).alias("n"), F.min("id").alias("any_id"),
-        F.max(F.when(F.col("id") == F.col("_low"), F.col("id"))).alias("exact"),
+    low = F.lower("prefix")
+    none = F.lit(None).cast("string")
+    ends = asked.where(F.col("prefix").rlike(P.ARTIFACT_ID)).select("prefix", F.explode(F.array(
+        F.struct(low.alias("key"), F.lit(1).alias("side")), F.struct(F.concat(low, F.lit("g")).alias("key"), F.lit(-1).alias("side")),
+    )).alias("end")).select("prefix", "end.*", none.alias("id"))
+    ids = artifacts.select(none.alias("prefix"), F.col("id").alias("key"), F.lit(0).alias("side"), "id").distinct()
+    # From the last key back: an id equal to the low end comes before it.
+    back = Window.partitionBy(F.substring("key", 1, FENCE)).orderBy(F.desc("key"), F.abs("side")).rowsBetween(Window.unboundedPreceding, 0)
+    placed = ids.unionByName(ends).withColumns({"_n": F.count("id").over(back), "_next": F.last("id", ignorenulls=True).over(back)})
+    found = placed.where("prefix is not null").groupBy("prefix").agg(
+        F.sum(F.col("_n") * F.col("side")).alias("n"), F.max(F.when(F.col("side") == 1, F.col("_next"))).alias("first_id")
     )
+    exact = F.col("first_id") == low
     status = (
-        F.when(~F.col("prefix").rlike(P.ARTIFACT_ID), "invalid")
-        .when(F.col("n").isNull(), "not found")
-        .when(F.col("exact").isNotNull() | (F.col("n") == 1), "found")
-        .otherwise("ambiguous")
+        F.when(F.col("n").isNull(), "invalid").when(F.col("n") == 0, "not found")
+        .when(exact | (F.col("n") == 1), "found").otherwise("ambiguous")
     )
     return asked.join(found, "prefix", "left").withColumn("status", status).select(
-        "prefix", "status",
-        F.when(F.col("status") == "found", F.coalesce("exact", "any_id")).alias("id"),
+        "prefix", "status", F.when(F.col("status") == "found", F.col("first_id")).alias("id"),
         F.coalesce("n", F.lit(0).cast("long")).alias("matches"),
     )
 

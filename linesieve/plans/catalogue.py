@@ -33,9 +33,11 @@ from linesieve.operators.reduce_text import log_template_counts, reduce_generic,
 from linesieve.operators.store import assign_ids, expire, latest, latest_puts, lookup_artifacts, verify_artifacts
 from linesieve.plans.compact import compact_corpus
 from linesieve.plans.put import compact_and_store
+from linesieve.plans.retention import purge_store
 from linesieve.plans.retrieve import show
+from linesieve.sources.bucketed_store import BucketedStore
 from linesieve.sources.outputs import explode_lines, outputs_from_text, spread
-from linesieve.sources.store_tables import read_artifacts
+from linesieve.sources.store_tables import append_runs, read_artifacts, read_runs, write_artifacts
 from linesieve.streaming.jobs import current_artifacts, stream_run_totals, stream_upsert_artifacts
 
 HOUR = 3600
@@ -295,15 +297,65 @@ def stored_documents(spark, sf_dir) -> DataFrame:
 
 
 def artifact_prefix_lookup(spark, sf_dir):
-    """Each document asks for its content by a prefix; the number of characters comes from its source name."""
-    docs = documents(spark, sf_dir, "text", "source")
-    length = F.length("source")
+    """Each document asks for its content by the first 4 to 64 characters of its digest, some in capitals, and those of
+    one source by no id at all. Contents have their digest as id, and half of them its first 16 characters as well."""
+    docs = documents(spark, sf_dir, "text", "source").withColumn("sha256", content_digest(F.col("text").cast("binary")))
+    start = F.expr("substring(sha256, 1, 4 + cast(doc_id % 61 as int))")
     asked = docs.select(
-        F.substring(content_digest(F.col("text").cast("binary")), 1, 1).alias("_first"),
         F.when(F.col("source") == "src1", F.concat(F.lit("%"), F.col("source")))
-        .otherwise(F.expr("substring(sha2(cast(text as binary), 256), 1, length(source))")).alias("prefix"),
+        .when(F.col("doc_id") % 7 == 0, F.upper(start)).otherwise(start).alias("prefix")
+    )
+    short = docs.where("sha256 < '8'").select(F.substring("sha256", 1, 16).alias("id"))
+    return lookup_artifacts(asked, docs.select(F.col("sha256").alias("id")).unionByName(short))
+
+
+def _put_rows(docs: DataFrame, created_at: Column) -> DataFrame:
+    """Documents as rows to put: exact bytes with their facts."""
+    raw = F.col("text").cast("binary")
+    return docs.select(
+        content_digest(raw).alias("sha256"), created_at.alias("created_at"), F.array(F.lit("cat"), F.col("source")).alias("command"),
+        F.col("source").alias("cwd"), F.lit(0).alias("exit_code"), F.lit("generic").alias("kind"), F.lit("bytes").alias("encoding"),
+        raw.alias("payload"), F.octet_length(raw).cast("long").alias("raw_bytes"), line_count("text").alias("raw_lines"),
     )
-    return lookup_artifacts(asked, stored_documents(spark, sf_dir).select("id"))
+
+
+def store_second_put(spark, sf_dir):
+    """The bucketed store after a put of all documents and one of every second document a day later: contents put again
+    keep their id and get the later time."""
+    docs = documents(spark, sf_dir, "text", "source")
+    first = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id"))
+    store = BucketedStore(spark, f"{_work_dir(spark)}/store")
+    store.put(_put_rows(docs, first))
+    store.put(_put_rows(docs.where("doc_id % 2 = 0"), first + F.make_interval(days=F.lit(1))))
+    return store.read().select(
+        "id", "sha256", F.unix_seconds("created_at").alias("put_at"), "cwd", content_digest("payload").alias("payload_sha256")
+    )
+
+
+def store_purge(spark, sf_dir):
+    """What is left of artifacts and runs on disk after those older than three days were purged, twice.
+
+    Documents are put an hour apart by their number; the cut lies inside a day.
+    """
+    docs = documents(spark, sf_dir, "text", "source")
+    path, at = _work_dir(spark), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") * 3600)
+    rows = _put_rows(docs, at).withColumn("id", F.substring("sha256", 1, 16))
+    write_artifacts(rows, f"{path}/artifacts")
+    append_runs(
+        rows.select(
+            "created_at", F.col("id").alias("artifact_id"), "command", "kind", F.lit("safe").alias("profile"), F.lit(True).alias("transformed"),
+            F.lit(True).alias("quality_passed"), F.lit(None).cast("string").alias("fallback_reason"), "raw_bytes",
+            F.col("raw_bytes").alias("compact_bytes"), "raw_lines", F.col("raw_lines").alias("compact_lines"),
+            F.lit(0).cast("long").alias("raw_tokens_est"), F.lit(0).cast("long").alias("compact_tokens_est"),
+        ),
+        f"{path}/runs",
+    )
+    last = rows.agg(F.max("created_at")).first()[0]
+    for _ in range(2):
+        purge_store(spark, f"{path}/artifacts", f"{path}/runs", last, 3)
+    stored = read_artifacts(spark, f"{path}/artifacts").select(F.lit("artifact").alias("part"), "id", F.unix_seconds("created_at").alias("put_at"))
+    runs = read_runs(spark, f"{path}/runs").select(F.lit("run").alias("part"), F.col("artifact_id").alias("id"), F.unix_seconds("created_at").alias("put_at"))
+    return stored.unionByName(runs)
 
 
 def artifact_verify(spark, sf_dir):
@@ -686,6 +738,7 @@ QUERIES = [
     doc_generic_reduce, doc_eligibility, doc_decision, doc_run_totals, doc_savings_by_kind, doc_corpus_summary,
     doc_savings_by_profile, doc_containment_check, doc_containment_whole, doc_label_lookup, doc_anchor_gate, artifact_upsert,
     artifact_ids, artifact_short_ids, artifact_prefix_lookup, artifact_verify, artifact_recovery, secret_not_stored, artifact_show,
+    store_second_put, store_purge,
     artifact_expire, newest_orders, event_log_lines, event_critical_lines, event_log_reduce, event_template_counts, event_severity_density,
     event_progress_families, event_progress_reduce, event_props_numeric_summary, event_json_nodes, event_json_minify,
     event_argv_redact, doc_json_reduce, doc_json_critical, order_record_sample, order_numeric_summary,

@@ -18,7 +18,7 @@ from linesieve.operators.lines import ID
 from linesieve.plans.reduce import (
     ROUTES, custom_route, decisive_lines, declared_critical, effective_confidence, reduce_outputs, view_notes,
 )
-from linesieve.sources.staging import stage, unstaged
+from linesieve.sources.staging import seal, sealed_staging, stage, unseal, unstaged
 
 RESULT = [
     ID, "kind", "profile", "transformed", "quality_passed", "fallback_reason", "artifact_id", "output",
@@ -219,32 +219,33 @@ def compact_corpus(
 
     One pass finds everything that holds for an output whatever its profile (kind, size, secret) and writes
     it, cut by route, profile and secret: the reducers read only their own part, none repeats the detection,
-    and routes that do not occur are not planned. Texts of skipped outputs and of outputs with a probable
-    secret are not written; they are read again from ``outputs``. With ``profiles`` every output is judged
-    under each of them (see ``under_profiles``).
+    and routes that do not occur are not planned. Texts of outputs with a probable secret are written encrypted,
+    here and by their reducers; those of skipped outputs are read again from ``outputs``. With ``profiles`` every
+    output is judged under each of them (see ``under_profiles``).
     """
     sized = eligibility(outputs)
     secret = F.when(F.col("skip_reason").isNull(), contains_secret(F.col("raw").cast("string"))).otherwise(False)
     found = classify(sized.withColumn("secret", F.coalesce(secret, F.lit(False))), profiles).drop("text")
     found = found.withColumn("route", F.when(F.col("skip_reason").isNull(), custom_route(F.col("route"))))
-    open_text = F.col("skip_reason").isNull() & ~F.col("secret")
+    judged = F.col("skip_reason").isNull()
     small = skipped(sized if profiles is None else under_profiles(sized, profiles))
     if not staged:
         with unstaged():
-            work = found.where(F.col("skip_reason").isNull())
-            return _reduced(work, None, store_available, allow_secrets).unionByName(small)
-    written = stage(found.withColumn("raw", F.when(open_text, F.col("raw"))), "classified", ["route", "profile", "secret"])
+            return _reduced(found.where(judged), None, store_available, allow_secrets).unionByName(small)
+    raw = F.col("raw")
+    kept = {"raw": F.when(judged & ~F.col("secret"), raw), "sealed": F.when(judged & F.col("secret"), seal(raw))}
+    written = stage(found.withColumns(kept), "classified", ["route", "profile", "secret"])
+    work = written.where(F.col("route").isNotNull())
     done = []
-    with_secret = found.where(F.col("secret") & F.col("skip_reason").isNull())
     parts = _parts(written)
     plain = [(route, profile) for route, profile, held in parts if route is not None and not held]
     held_back = [(route, profile) for route, profile, held in parts if route is not None and held]
     if plain:
-        work = written.where(~F.col("secret") & F.col("route").isNotNull())
-        done.append(_reduced(work, plain, store_available, allow_secrets))
+        done.append(_reduced(work.where(~F.col("secret")).drop("sealed"), plain, store_available, allow_secrets))
     if held_back:
-        with unstaged():
-            done.append(_reduced(with_secret, held_back, store_available, allow_secrets))
+        with sealed_staging():
+            secrets = work.where("secret").withColumn("raw", unseal(F.col("sealed"))).drop("sealed")
+            done.append(_reduced(secrets, held_back, store_available, allow_secrets))
     if not done or any(route is None for route, _, _ in parts):
         done.append(small)
     return reduce(DataFrame.unionByName, done)

@@ -501,12 +501,24 @@ ORACLES = {
     "artifact_ids": "SELECT sha256(text) AS sha256, left(sha256(text), 16) AS id, min(doc_id) AS created_at FROM documents GROUP BY 1, 2",
     "artifact_short_ids": short_ids([2, 3, 4, 64]),
     "artifact_prefix_lookup": """
-        WITH ids AS (SELECT DISTINCT left(sha256(text), 16) AS id FROM documents),
-        asked AS (SELECT DISTINCT CASE WHEN source = 'src1' THEN '%' || source ELSE left(sha256(text), length(source)) END AS prefix FROM documents),
-        met AS (SELECT prefix, count(id) AS n, min(id) AS id FROM asked LEFT JOIN ids
-                  ON regexp_matches(prefix, '^[0-9a-fA-F]{4,64}$') AND starts_with(id, prefix) GROUP BY 1)
+        WITH docs AS (SELECT doc_id, source, sha256(coalesce(text, '')) AS sha FROM documents),
+        ids AS (SELECT sha AS id FROM docs UNION SELECT left(sha, 16) FROM docs WHERE sha < '8'),
+        asked AS (SELECT DISTINCT CASE WHEN source = 'src1' THEN '%' || source WHEN doc_id % 7 = 0 THEN upper(left(sha, 4 + doc_id % 61))
+                    ELSE left(sha, 4 + doc_id % 61) END AS prefix FROM docs),
+        met AS (SELECT prefix, count(id) AS n, min(id) AS id, bool_or(id = lower(prefix)) AS exact FROM asked LEFT JOIN ids
+                  ON regexp_matches(prefix, '^[0-9a-fA-F]{4,64}$') AND starts_with(id, lower(prefix)) GROUP BY 1)
         SELECT prefix, CASE WHEN NOT regexp_matches(prefix, '^[0-9a-fA-F]{4,64}$') THEN 'invalid' WHEN n = 0 THEN 'not found'
-                 WHEN n = 1 THEN 'found' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN id END AS id, n AS matches FROM met""",
+                 WHEN n = 1 OR exact THEN 'found' ELSE 'ambiguous' END AS status,
+               CASE WHEN exact THEN lower(prefix) WHEN n = 1 THEN id END AS id, n AS matches FROM met""",
+    "store_second_put": """
+        WITH puts AS (SELECT sha256(text) AS sha256, 1700000000 + doc_id AS put_at, source FROM documents
+            UNION ALL SELECT sha256(text), 1700000000 + doc_id + 86400, source FROM documents WHERE doc_id % 2 = 0)
+        SELECT left(sha256, 16) AS id, sha256, max(put_at) AS put_at, arg_max(source, put_at) AS cwd, sha256 AS payload_sha256
+        FROM puts GROUP BY sha256""",
+    "store_purge": """
+        WITH puts AS (SELECT left(sha256(text), 16) AS id, 1700000000 + doc_id * 3600 AS put_at FROM documents),
+        kept AS (SELECT * FROM puts WHERE put_at >= (SELECT max(put_at) FROM puts) - 3 * 86400)
+        SELECT 'artifact' AS part, id, max(put_at) AS put_at FROM kept GROUP BY id UNION ALL SELECT 'run', id, put_at FROM kept""",
     "artifact_verify": "SELECT doc_id FROM documents WHERE regexp_matches(text, '[0-9]{3}')",
     "artifact_recovery": "SELECT doc_id, left(sha256(text), 16) AS artifact_id, true AS recovered FROM documents",
     "secret_not_stored": f"SELECT doc_id AS output_id, false AS stored FROM documents WHERE regexp_matches(text, {q(SECRET)})",
