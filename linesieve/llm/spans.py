@@ -15,7 +15,7 @@ WHITE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Bytes of text worked on at a time, and bytes under one running sum of hashes.
-SLICE = 2 << 20
+SLICE = 1 << 20
 SUM = 1 << 20
 #: Bytes from which a word is hashed apart.
 LONG_WORD = 1 << 16
