@@ -2,7 +2,8 @@
 
 Documents are indexed in blocks. A block's grid has a row for each of its terms and a column for each of its documents;
 a point holds the impact of a term in a document. The grid is cut into four again and again. Of each cell that isn't
-empty the index keeps four bits, for the quarters that aren't empty, and its maximum as the difference from the parent's.
+empty the index keeps four bits, for the quarters that aren't empty, and its maximum as the difference from the parent's,
+unless it is the only quarter of its parent and so has the parent's maximum.
 
 A search follows, for each term of an item, the path of its row through the tree. The terms' paths go down together by
 ranges of documents: a range's bound is the weighted sum of the maxima of its cells. The ranges with the highest bounds
@@ -28,12 +29,12 @@ BREAK = np.zeros(256, bool)
 BREAK[:128] = True
 BREAK[48:58] = BREAK[65:91] = BREAK[97:123] = False
 #: Text and documents of one block, at most; a longer text is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 BLOCK_DOCS = 4096
 #: Text of the items that are searched for in one pass; a single item may be longer.
 PASS_BYTES = 2 << 20
 #: Items searched together in a task, and ranges of each that go down at a time, at least.
-TOGETHER = 64
+TOGETHER = 32
 BEAM = 16
 _COUNT = np.array([bin(k).count("1") for k in range(16)], np.int64)
 
@@ -79,7 +80,7 @@ class Treap:
 
     `levels` counts the cells of each level, root first. `bits` has four bits a cell above the last level: bit 2 * r + c
     is set if the quarter of its lower (r = 0) or upper rows and lower or upper columns isn't empty. `drops` has, root
-    first, what a cell's maximum lacks of its parent's; the root's own maximum stands in `peak`.
+    first, what the maximum of each cell with brothers lacks of its parent's; the root's own maximum stands in `peak`.
     """
 
     def __init__(self, height: int, levels: list[int], bits: np.ndarray, drops: np.ndarray, peak: int):
@@ -96,7 +97,8 @@ class Treap:
             first = np.flatnonzero(np.append(True, above[1:] != above[:-1]))
             best = np.maximum.reduceat(top, first)
             bits.append(np.bitwise_or.reduceat(1 << quarter, first).astype(np.uint8))
-            drops.append(np.repeat(best, np.diff(np.append(first, len(cells)))) - top)
+            size = np.diff(np.append(first, len(cells)))
+            drops.append((np.repeat(best, size) - top)[np.repeat(size > 1, size)])
             cells, top = above[first], best
             levels.append(len(cells))
         join = lambda parts, kind: np.concatenate([*parts[::-1], np.empty(0, kind)]).astype(kind)
@@ -105,13 +107,25 @@ class Treap:
     def unfold(self) -> tuple[np.ndarray, np.ndarray]:
         """First child and maximum of every cell, cells numbered level by level."""
         child = np.concatenate((1 + np.cumsum(_COUNT[self.bits]) - _COUNT[self.bits], np.zeros(self.levels[-1], np.int64)))
-        top, at, cell = np.empty(sum(self.levels), np.int64), 1, 0
+        top, at, cell, drop = np.empty(sum(self.levels), np.int64), 1, 0, 0
         top[0] = self.peak
         for n, below in zip(self.levels, self.levels[1:]):
-            top[at:at + below] = np.repeat(top[cell:cell + n], _COUNT[self.bits[cell:cell + n]]) - self.drops[at - 1:at - 1 + below]
-            cell, at = cell + n, at + below
+            size = _COUNT[self.bits[cell:cell + n]]
+            best, lower = np.repeat(top[cell:cell + n], size), np.flatnonzero(np.repeat(size > 1, size))
+            best[lower] -= self.drops[drop:drop + len(lower)]
+            top[at:at + below] = best
+            cell, at, drop = cell + n, at + below, drop + len(lower)
         return child, top
 
+    def packed_bits(self) -> bytes:
+        """The cells' bits, two cells a byte."""
+        even = np.append(self.bits, np.zeros(len(self.bits) % 2, np.uint8))
+        return (even[::2] | even[1::2] << 4).tobytes()
+
+    @staticmethod
+    def unpacked_bits(packed: np.ndarray, levels: list[int]) -> np.ndarray:
+        return np.stack((packed & 15, packed >> 4), axis=1).ravel()[:sum(levels[:-1])]
+
 
 _INDEX_ARROW = pa.schema([
     ("ids", pa.list_(pa.int64())), ("terms", pa.binary()), ("held_by", pa.binary()), ("height", pa.int32()),
@@ -139,7 +153,7 @@ def _index(documents: int, total: int):
                 yield pa.RecordBatch.from_arrays([
                     pa.array([batch.column("id").slice(first, end - first).to_pylist()], pa.list_(pa.int64())), pa.array([terms.tobytes()], pa.binary()),
                     pa.array([np.bincount(row, minlength=len(terms)).astype(np.uint32).tobytes()], pa.binary()), pa.array([height], pa.int32()),
-                    pa.array([treap.levels], pa.list_(pa.int64())), pa.array([treap.bits.tobytes()], pa.binary()),
+                    pa.array([treap.levels], pa.list_(pa.int64())), pa.array([treap.packed_bits()], pa.binary()),
                     pa.array([treap.drops.tobytes()], pa.binary()), pa.array([treap.peak], pa.int64()),
                 ], schema=_INDEX_ARROW)
 
@@ -316,8 +330,9 @@ def _search(items: Items, names: list[int | None], k: int):
                 ids = cells["ids"].values
                 null = np.asarray(ids.is_null())
                 ids = np.asarray(ids.fill_null(0))
+                levels = cells["levels"].as_py()
                 treap = Treap(
-                    cells["height"].as_py(), cells["levels"].as_py(), np.frombuffer(cells["bits"].as_buffer(), np.uint8),
+                    cells["height"].as_py(), levels, Treap.unpacked_bits(np.frombuffer(cells["bits"].as_buffer(), np.uint8), levels),
                     np.frombuffer(cells["drops"].as_buffer(), np.uint32), cells["peak"].as_py(),
                 )
                 for first in range(0, items.count, TOGETHER):
