@@ -143,15 +143,20 @@ def portable_exit_code(code) -> Column:
     return F.when(code < 0, F.lit(128) + F.abs(code)).otherwise(code)
 
 
+def view_header(kind, artifact_id, exit_code, raw_lines, view_lines, omitted) -> Column:
+    """The line above a view; NULL without an id."""
+    return F.concat(
+        F.lit("[view "), _c(kind), F.lit("; exit="), _c(exit_code).cast("string"),
+        F.lit("; lines="), _c(raw_lines).cast("string"), F.lit("->"), _c(view_lines).cast("string"),
+        F.lit("; omitted="), _c(omitted).cast("string"), F.lit(" | exact: "), _c(artifact_id), F.lit("]"),
+    )
+
+
 def render_view(text, kind, artifact_id, exit_code, raw_lines, omitted) -> Column:
     """Final view: one header line when an id exists, the body, exactly one final newline."""
-    text, artifact_id = _c(text), _c(artifact_id)
+    text = _c(text)
     body = F.regexp_replace(text, "\n+\\z", "")
-    header = F.concat(
-        F.lit("[view "), _c(kind), F.lit("; exit="), _c(exit_code).cast("string"),
-        F.lit("; lines="), _c(raw_lines).cast("string"), F.lit("->"), line_count(text).cast("string"),
-        F.lit("; omitted="), _c(omitted).cast("string"), F.lit(" | exact: "), artifact_id, F.lit("]"),
-    )
+    header = view_header(kind, artifact_id, exit_code, raw_lines, line_count(text), omitted)
     closed = lambda s: F.when((s == "") | F.endswith(s, F.lit("\n")), s).otherwise(F.concat(s, F.lit("\n")))
     return let(body, lambda b: let(F.concat_ws("\n", header, F.when(b != "", b)), closed))
 

@@ -38,11 +38,29 @@ def detect_struct(command: Column, text: Column, hint: Column) -> Column:
             F.struct(lower.alias("words"), strip_ansi(text).alias("clean")),
             lambda s: F.struct(s["words"], s["clean"], F.lower(s["clean"]).alias("low")),
         ),
-        lambda s: _rules(s["words"], s["clean"], s["low"], text, hint),
+        lambda s: detect_by(s["words"], hint, _text_signs(s["clean"], s["low"], text)),
     )
 
 
-def _rules(words: Column, clean: Column, low: Column, text: Column, hint: Column) -> Column:
+def _text_signs(clean: Column, low: Column, text: Column) -> dict[str, Column]:
+    """What the rules ask of a text that is one cell."""
+    severity_dense = let(
+        split_lines(clean),
+        lambda ls: F.size(F.filter(ls, lambda x: x.rlike(P.SEVERITY_WORDS)))
+        >= F.greatest(F.lit(8), F.floor(F.size(ls) / 8)),
+    )
+    return {
+        "diff_head": F.startswith(clean, F.lit("diff --git ")),
+        "hunk": F.contains(clean, F.lit("@@ ")) & clean.rlike(P.GIT_HUNK),
+        "test_words": F.contains(low, F.lit("test")) | F.contains(low, F.lit("passed")) | F.contains(low, F.lit("failed")),
+        "markers": sum((F.contains(low, F.lit(m)).cast("int") for m in P.TEST_MARKERS), F.lit(0)),
+        "json": is_valid_json(text),
+        "dense": clean.rlike(P.SEVERITY_WORDS) & severity_dense,
+    }
+
+
+def detect_by(words: Column, hint: Column, signs: dict[str, Column]) -> Column:
+    """Struct(kind, confidence, reason) from the command's words in lower case and the signs of the text."""
     base = F.coalesce(F.regexp_extract(F.get(words, F.lit(0)), r"(?s)([^/\\]*)\z", 1), F.lit(""))
     args = F.slice(words, 2, F.greatest(F.size(words), F.lit(1)))
     has = lambda w: F.array_contains(words, w)
@@ -50,7 +68,7 @@ def _rules(words: Column, clean: Column, low: Column, text: Column, hint: Column
     log_file = F.exists(args, lambda w: F.endswith(w, F.lit(".log")) | F.endswith(w, F.lit(".out")))
 
     gitlike = (base == "git") | (base.isin("hub", "gh") & has("diff"))
-    is_diff_text = F.startswith(clean, F.lit("diff --git "))
+    is_diff_text = signs["diff_head"]
 
     test_word = (
         F.when(base == "cargo", arg_in("test", "nextest"))
@@ -59,14 +77,6 @@ def _rules(words: Column, clean: Column, low: Column, text: Column, hint: Column
         .otherwise(True)
     )
     script = F.exists(args, lambda w: w.isin(P.PACKAGE_TEST_WORDS) | F.startswith(w, F.lit("test:")))
-    test_text = F.contains(low, F.lit("test")) | F.contains(low, F.lit("passed")) | F.contains(low, F.lit("failed"))
-
-    marker_hits = sum((F.contains(low, F.lit(m)).cast("int") for m in P.TEST_MARKERS), F.lit(0))
-    severity_dense = let(
-        split_lines(clean),
-        lambda ls: F.size(F.filter(ls, lambda x: x.rlike(P.SEVERITY_WORDS)))
-        >= F.greatest(F.lit(8), F.floor(F.size(ls) / 8)),
-    )
     return (
         F.when(
             hint.isNotNull() & (hint != ""),
@@ -76,7 +86,7 @@ def _rules(words: Column, clean: Column, low: Column, text: Column, hint: Column
         .when(gitlike & (has("diff") | is_diff_text), detection("git_diff", 0.99, "git diff command"))
         .when(gitlike & has("log"), detection("git_log", 0.96, "git log command"))
         .when(base.isin(P.TEST_COMMANDS) & test_word, detection("test", 0.98, "test command"))
-        .when(base.isin(P.PACKAGE_COMMANDS) & script & test_text, detection("test", 0.94, "package test output"))
+        .when(base.isin(P.PACKAGE_COMMANDS) & script & signs["test_words"], detection("test", 0.94, "package test output"))
         .when(base.isin(P.SEARCH_COMMANDS), detection("search", 0.96, "search command"))
         .when(base.isin(P.TREE_COMMANDS) & log_file, detection("log", 0.92, "log file command"))
         .when(base.isin(P.TREE_COMMANDS), detection("tree", 0.9, "filesystem listing command"))
@@ -89,12 +99,10 @@ def _rules(words: Column, clean: Column, low: Column, text: Column, hint: Column
             ),
             detection("log", 0.92, "log command"),
         )
-        .when(is_valid_json(text), detection("json", 0.99, "valid JSON"))
-        .when(is_diff_text | (F.contains(clean, F.lit("@@ ")) & clean.rlike(P.GIT_HUNK)), detection("git_diff", 0.96, "diff markers"))
-        .when(marker_hits >= 2, detection("test", 0.86, "test markers"))
-        .when(
-            clean.rlike(P.SEVERITY_WORDS) & severity_dense, detection("log", 0.82, "log severity density")
-        )
+        .when(signs["json"], detection("json", 0.99, "valid JSON"))
+        .when(is_diff_text | signs["hunk"], detection("git_diff", 0.96, "diff markers"))
+        .when(signs["markers"] >= 2, detection("test", 0.86, "test markers"))
+        .when(signs["dense"], detection("log", 0.82, "log severity density"))
         .otherwise(detection("generic", 0.55, "no strong format match"))
     )
 
@@ -160,24 +168,26 @@ def _hierarchy_holds(lines: Column) -> Column:
     return let(F.filter(lines, lambda x: ~is_tree_noise(x)), check)
 
 
-def _listing_route(text: Column, lines: Column) -> Column:
+def listing_by(n: Column, long_rows: Column, marked: Column, holds: Column) -> Column:
     """``tree_flat``, ``tree_nested``, or ``generic`` with the note why."""
+    return (
+        F.when(n < P.TREE_MIN_LINES, "generic")
+        .when(long_rows >= F.greatest(F.lit(4), F.floor(n / 3)), "generic:long listing protected")
+        .when(marked & ~holds, "generic:unrecognized hierarchy protected")
+        .when(marked, "tree_nested")
+        .otherwise("tree_flat")
+    )
+
+
+def _listing_route(text: Column, lines: Column) -> Column:
     marked = F.lit(False)
     for mark in P.TREE_MARKS:
         marked = marked | F.contains(text, F.lit(mark))
-
-    def choose(rows):
-        n = F.size(rows)
-        long_rows = F.size(F.filter(rows, lambda x: strip(x).rlike(P.LONG_LISTING)))
-        return (
-            F.when(n < P.TREE_MIN_LINES, "generic")
-            .when(long_rows >= F.greatest(F.lit(4), F.floor(n / 3)), "generic:long listing protected")
-            .when(marked & ~_hierarchy_holds(rows), "generic:unrecognized hierarchy protected")
-            .when(marked, "tree_nested")
-            .otherwise("tree_flat")
-        )
-
-    return let(F.filter(lines, lambda x: strip(x) != ""), choose)
+    long_row = lambda x: strip(x).rlike(P.LONG_LISTING)
+    return let(
+        F.filter(lines, lambda x: strip(x) != ""),
+        lambda rows: listing_by(F.size(rows), F.size(F.filter(rows, long_row)), marked, _hierarchy_holds(rows)),
+    )
 
 
 def under_profiles(outputs: DataFrame, profiles: list[str] = PROFILES) -> DataFrame:
@@ -190,6 +200,23 @@ def under_profiles(outputs: DataFrame, profiles: list[str] = PROFILES) -> DataFr
     )
 
 
+def route_by(kind: Column, profile: Column, parses: Column, many_paths: Column, listing: Column) -> Column:
+    """The reducer for a kind under a profile; ``listing`` is the route of a file listing, with a note after a colon."""
+    strict = profile == STRICT
+    return (
+        F.when(kind == "git_diff", "git_diff")
+        .when(kind == "git_log", F.when(profile == MAX, "git_log").otherwise("duplicates"))
+        .when(kind == "git_status", F.when(strict, "duplicates").otherwise("git_status"))
+        .when(kind == "json", F.when(~parses, "generic").when(strict, "json_strict").otherwise("json"))
+        .when(kind == "test", F.when(strict, "test_strict").otherwise("test"))
+        .when(strict, "generic")
+        .when(kind == "log", "log")
+        .when(kind == "search", F.when(many_paths, "search").otherwise("generic"))
+        .when(kind == "tree", listing)
+        .otherwise("generic")
+    )
+
+
 def classify(outputs: DataFrame, profiles: list[str] | None = None) -> DataFrame:
     """Add the detection, the clean text ``text``, the reducer ``route`` and an optional ``route_note``.
 
@@ -209,23 +236,10 @@ def classify(outputs: DataFrame, profiles: list[str] | None = None) -> DataFrame
     ).drop("_d")
     if profiles is not None:
         known = under_profiles(known, profiles)
-    kind, profile = F.col("kind"), F.col("profile")
-    strict = profile == STRICT
     lines = split_lines("text")
-    route = (
-        F.when(kind == "git_diff", "git_diff")
-        .when(kind == "git_log", F.when(profile == MAX, "git_log").otherwise("duplicates"))
-        .when(kind == "git_status", F.when(strict, "duplicates").otherwise("git_status"))
-        .when(
-            kind == "json",
-            F.when(json_value(strip_ansi(text)).isNull(), "generic").when(strict, "json_strict").otherwise("json"),
-        )
-        .when(kind == "test", F.when(strict, "test_strict").otherwise("test"))
-        .when(strict, "generic")
-        .when(kind == "log", "log")
-        .when(kind == "search", F.when(_many_paths(lines), "search").otherwise("generic"))
-        .when(kind == "tree", _listing_route(F.col("text"), lines))
-        .otherwise("generic")
+    route = route_by(
+        F.col("kind"), F.col("profile"), json_value(strip_ansi(text)).isNotNull(), _many_paths(lines),
+        _listing_route(F.col("text"), lines),
     )
     if "skip_reason" in outputs.columns:
         route = F.when(F.col("skip_reason").isNull(), route)

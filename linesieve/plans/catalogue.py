@@ -18,6 +18,7 @@ from linesieve.functions.text import (
 from linesieve.operators.chunks import numbered
 from linesieve.operators.containment import anchor_gate, containment_check, label_lookup, recovery_check
 from linesieve.operators.detect import eligibility
+from linesieve.operators.detect_lines import classify_lines, line_signs
 from linesieve.operators.lines import (
     ID, LINE, N, NO, VIEW, anchor_rows, assemble_view, carry_section, collapse_consecutive_duplicates,
     collapse_progress, count_lines, duplicate_runs, expand_windows, extract_critical_lines, grep_context, head_lines,
@@ -32,11 +33,13 @@ from linesieve.operators.reduce_search import alias_repeated_bodies, parse_match
 from linesieve.operators.reduce_text import log_template_counts, reduce_generic, reduce_log, reduce_test
 from linesieve.operators.store import assign_ids, expire, latest, latest_puts, lookup_artifacts, verify_artifacts
 from linesieve.plans.compact import compact_corpus
+from linesieve.plans.long_outputs import compact_lines
 from linesieve.plans.put import compact_and_store
 from linesieve.plans.retention import purge_store
 from linesieve.plans.retrieve import show
 from linesieve.sources.bucketed_store import BucketedStore
-from linesieve.sources.outputs import explode_lines, outputs_from_text, spread
+from linesieve.sources.captures import read_capture_lines
+from linesieve.sources.outputs import explode_lines, outputs_from_text, spread, with_output_defaults
 from linesieve.sources.store_tables import append_runs, read_artifacts, read_runs, write_artifacts
 from linesieve.streaming.jobs import current_artifacts, stream_run_totals, stream_upsert_artifacts
 
@@ -431,6 +434,61 @@ def event_log_lines(spark, sf_dir):
     )
 
 
+def capture_line_table(spark, sf_dir):
+    """Captures of a hundred documents each, written as text files and read in byte ranges: lines, bytes and a checksum
+    that holds every line to its number."""
+    docs = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 100).cast("long").alias("capture"), "doc_id", "text")
+    path = f"{_work_dir(spark)}/captures"
+    docs.repartition("capture").sortWithinPartitions("capture", "doc_id").select("capture", "text").write.partitionBy("capture").text(path)
+    lines = read_capture_lines(spark, path).withColumn("capture", F.regexp_extract(ID, "capture=([0-9]+)", 1).cast("long"))
+    size = F.length(LINE).cast("long")
+    return lines.groupBy("capture").agg(
+        F.count(F.lit(1)).alias("lines"), F.max(N).alias("n_lines"), F.sum(F.octet_length(LINE).cast("long")).alias("bytes"),
+        F.sum((F.col(NO) + 1) * size).alias("checksum"),
+    )
+
+
+def kinds_by_line_statistics(spark, sf_dir):
+    """Kind and route of outputs without a telling command, found from counts over their lines."""
+    block = lambda key, span: F.floor(F.col(key) / span).cast("string")
+    made = [
+        ("log", "events", block("event_id", 200), "event_id", F.lit(0), "concat(if(event_id % 40 = 0, 'ERROR ', 'saw '), event_type)"),
+        ("dense", "events", block("event_id", 200), "event_id", F.lit(0), "concat('INFO ', event_type)"),
+        ("test", "lineitem", block("l_orderkey", 100), "l_orderkey", F.col("l_linenumber"),
+         "if(l_linenumber = 1, concat('collected ', l_orderkey, ' items'), concat('Tests: ', l_partkey))"),
+        ("diff", "supplier", block("s_suppkey", 50), "s_suppkey", F.lit(0), "concat('@@ -', s_suppkey, ' +1 @@')"),
+        ("plain", "part", block("p_partkey", 200), "p_partkey", F.lit(0), "concat('row ', p_partkey)"),
+    ]
+    rows = []
+    for name, source, part, first, second, line in made:
+        rows.append(table(spark, sf_dir, source).select(
+            F.concat(F.lit(f"{name}-"), part).alias(ID), F.col(first).cast("long").alias("a"), second.cast("long").alias("b"), F.expr(line).alias(LINE)
+        ))
+    lines = numbered(reduce(DataFrame.unionByName, rows), [ID], ["a", "b"], "a", 1 << 16, NO, N).select(ID, NO, N, LINE)
+    facts = with_output_defaults(lines.select(ID).distinct())
+    found = classify_lines(facts, line_signs(lines))
+    return found.select(ID, "kind", "detection_reason", "route", "raw_lines", "severe", "markers")
+
+
+def long_log_parts(spark, sf_dir):
+    """The logs of all users, given as lines, through the whole job: the parts of the accepted views, 20 lines each, and
+    the places of their first bytes."""
+    lines = event_lines(spark, sf_dir).select(ID, NO, N, LINE)
+    sizes = lines.groupBy(ID).agg(F.sum(F.octet_length(LINE) + 1).cast("long").alias("raw_bytes"))
+    facts = with_output_defaults(sizes, min_bytes=0, min_lines=0, min_savings_ratio=0.0)
+    _, parts = compact_lines(lines, facts, part_lines=20)
+    return parts.where("part > 0").select(ID, "part", "offset", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def long_log_results(spark, sf_dir):
+    """Decisions for the logs of all users, given as lines."""
+    lines = event_lines(spark, sf_dir).select(ID, NO, N, LINE)
+    sizes = lines.groupBy(ID).agg(F.sum(F.octet_length(LINE) + 1).cast("long").alias("raw_bytes"))
+    facts = with_output_defaults(sizes, min_bytes=0, min_lines=0, min_savings_ratio=0.0)
+    results, _ = compact_lines(lines, facts, part_lines=20)
+    return results.select(ID, "kind", "detection_reason", "transformed", "quality_passed", "raw_bytes", "compact_bytes", "raw_lines", "compact_lines", "omitted_lines")
+
+
 def event_critical_lines(spark, sf_dir):
     """Decisive lines of each user's log, without the time stamps (which would all count as places)."""
     bare = event_lines(spark, sf_dir).withColumn(LINE, F.expr("substring(line, 26)"))
@@ -738,7 +796,7 @@ QUERIES = [
     doc_generic_reduce, doc_eligibility, doc_decision, doc_run_totals, doc_savings_by_kind, doc_corpus_summary,
     doc_savings_by_profile, doc_containment_check, doc_containment_whole, doc_label_lookup, doc_anchor_gate, artifact_upsert,
     artifact_ids, artifact_short_ids, artifact_prefix_lookup, artifact_verify, artifact_recovery, secret_not_stored, artifact_show,
-    store_second_put, store_purge,
+    store_second_put, store_purge, capture_line_table, kinds_by_line_statistics, long_log_parts, long_log_results,
     artifact_expire, newest_orders, event_log_lines, event_critical_lines, event_log_reduce, event_template_counts, event_severity_density,
     event_progress_families, event_progress_reduce, event_props_numeric_summary, event_json_nodes, event_json_minify,
     event_argv_redact, doc_json_reduce, doc_json_critical, order_record_sample, order_numeric_summary,

@@ -36,26 +36,34 @@ def first_missing(needed: Column, view: Column) -> Column:
     return F.get(F.filter(left, lambda x: ~F.contains(view, x)), F.lit(0))
 
 
+def guard_ladder(
+    failing: Column, decisive: Column, decisive_gone: Column, declared_gone: Column, protected_gone: Column, omitted: Column,
+    retrieval: Column, confidence: Column, emptied: Column,
+) -> Column:
+    """The first reason against a view: ``decisive`` counts the decisive lines, the three ``gone`` texts are missing ones."""
+    shown = lambda label, x: F.concat(F.lit(label), x)
+    return (
+        F.when(failing & (decisive == 0), "non-zero exit without identifiable decisive lines")
+        .when(failing & decisive_gone.isNotNull(), shown("critical line omitted: ", decisive_gone))
+        .when(declared_gone.isNotNull(), shown("filter-declared critical line omitted: ", declared_gone))
+        .when(protected_gone.isNotNull(), shown("protected line omitted: ", protected_gone))
+        .when((omitted > 0) & ~retrieval, "omission without exact-retrieval store")
+        .when((confidence < P.MIN_OMISSION_CONFIDENCE) & (omitted > 0), "format confidence too low for selective omission")
+        .when(emptied, "candidate became empty")
+    )
+
+
 def guard_reason(
     exit_code: Column, raw_text: Column, view: Column, critical: Column, protected: Column, omitted: Column,
     confidence: Column, retrieval: Column,
 ) -> Column:
     """Why a view must not replace its original, or NULL."""
     compact = strip_ansi(view)
-    shown = lambda label, x: F.concat(F.lit(label), x)
 
     def checks(c):
-        return (
-            F.when(c["failing"] & (F.size(c["decisive"]) == 0), "non-zero exit without identifiable decisive lines")
-            .when(c["failing"] & c["m1"].isNotNull(), shown("critical line omitted: ", c["m1"]))
-            .when(c["m2"].isNotNull(), shown("filter-declared critical line omitted: ", c["m2"]))
-            .when(c["m3"].isNotNull(), shown("protected line omitted: ", c["m3"]))
-            .when((omitted > 0) & ~retrieval, "omission without exact-retrieval store")
-            .when(
-                (confidence < P.MIN_OMISSION_CONFIDENCE) & (omitted > 0),
-                "format confidence too low for selective omission",
-            )
-            .when((strip(view) == "") & (strip(raw_text) != ""), "candidate became empty")
+        return guard_ladder(
+            c["failing"], F.size(c["decisive"]), c["m1"], c["m2"], c["m3"], omitted, retrieval, confidence,
+            (strip(view) == "") & (strip(raw_text) != ""),
         )
 
     decisive = F.when(exit_code != 0, decisive_lines(raw_text)).otherwise(F.array().cast("array<string>"))
@@ -111,6 +119,25 @@ def percent(x: Column) -> Column:
     return F.format_string("%.1f%%", x * 100)
 
 
+def fallback(
+    omitted: Column, store_allowed: Column, secret: Column, guard: Column, unchanged: Column, new_n: Column, raw_n: Column, least: Column
+) -> Column:
+    """Why the original is shown, or NULL; the first reason wins."""
+    ratio = saved_ratio(raw_n, new_n)
+    return (
+        F.when(
+            (omitted > 0) & ~store_allowed,
+            F.when(secret, "probable secret: exact-recovery storage not permitted").otherwise("exact-recovery store unavailable"),
+        )
+        .when(guard.isNotNull(), F.concat(F.lit("quality guard: "), guard))
+        .when(unchanged, "filter found no safe reduction")
+        .when(
+            (new_n >= raw_n) | (ratio < least),
+            F.concat(F.lit("net savings "), percent(ratio), F.lit(" below minimum "), percent(least)),
+        )
+    )
+
+
 def decide(candidates: DataFrame, store_available: bool = True, allow_secrets: bool = False) -> DataFrame:
     """The fallback ladder, first reason wins; the header counts against the savings. ``secret`` comes with the rows."""
     raw, view = F.col("raw"), F.col("view")
@@ -124,23 +151,10 @@ def decide(candidates: DataFrame, store_available: bool = True, allow_secrets: b
     )
     sized = rendered.withColumns(
         {"_raw_n": F.octet_length(raw).cast("long"), "_new_n": F.octet_length("rendered").cast("long")}
-    ).withColumn("_ratio", saved_ratio("_raw_n", "_new_n"))
-    reason = (
-        F.when(
-            (omitted > 0) & ~F.col("store_allowed"),
-            F.when(F.col("secret"), "probable secret: exact-recovery storage not permitted").otherwise(
-                "exact-recovery store unavailable"
-            ),
-        )
-        .when(~F.col("guard.passed"), F.concat(F.lit("quality guard: "), F.col("guard.reason")))
-        .when(view.cast("binary") == raw, "filter found no safe reduction")
-        .when(
-            (F.col("_new_n") >= F.col("_raw_n")) | (F.col("_ratio") < F.col("min_savings_ratio")),
-            F.concat(
-                F.lit("net savings "), percent(F.col("_ratio")), F.lit(" below minimum "),
-                percent(F.col("min_savings_ratio")),
-            ),
-        )
+    )
+    reason = fallback(
+        omitted, F.col("store_allowed"), F.col("secret"), F.col("guard.reason"), view.cast("binary") == raw, F.col("_new_n"),
+        F.col("_raw_n"), F.col("min_savings_ratio"),
     )
     allowed = (omitted <= 0) | F.col("store_allowed")
     return sized.withColumn("fallback_reason", reason).withColumns(

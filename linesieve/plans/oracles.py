@@ -657,3 +657,46 @@ ORACLES = {
     "doc_stream_upsert": f"""
         WITH {PUTS} SELECT left(sha256, 16) AS id, sha256, created_at AS put_no, cwd, raw_bytes FROM newest""",
 }
+
+_CAPTURES = "(SELECT doc_id // 100 AS capture, string_agg(text, chr(10) ORDER BY doc_id) || chr(10) AS body FROM documents GROUP BY 1)"
+ORACLES["capture_line_table"] = f"""
+    SELECT output_id AS capture, count(*) AS lines, max(n_lines) AS n_lines, CAST(sum(strlen(line)) AS BIGINT) AS bytes,
+           CAST(sum((line_no + 1) * len(line)) AS BIGINT) AS checksum
+    FROM ({lines_of(_CAPTURES, 'capture', 'body')}) GROUP BY 1"""
+
+
+def _kinds(name: str, source: str, part: str, severe: str, test: str, hunk: str) -> str:
+    return f"""SELECT '{name}-' || ({part}) AS output_id, count(*) AS raw_lines, CAST(count_if({severe}) AS BIGINT) AS severe,
+        CAST({test} AS INT) AS markers, {hunk} AS hunk FROM {source} GROUP BY 1"""
+
+
+ORACLES["kinds_by_line_statistics"] = f"""
+    WITH c AS ({" UNION ALL ".join([
+        _kinds("log", "events", "event_id // 200", "event_id % 40 = 0 OR event_type = 'error'", "0", "false"),
+        _kinds("dense", "events", "event_id // 200", "true", "0", "false"),
+        _kinds("test", "lineitem", "l_orderkey // 100", "false", "max(CASE WHEN l_linenumber = 1 THEN 1 ELSE 0 END) + max(CASE WHEN l_linenumber > 1 THEN 1 ELSE 0 END)", "false"),
+        _kinds("diff", "supplier", "s_suppkey // 50", "false", "0", "true"),
+        _kinds("plain", "part", "p_partkey // 200", "false", "0", "false"),
+    ])}),
+    d AS (SELECT *, CASE WHEN hunk THEN 'git_diff' WHEN markers >= 2 THEN 'test'
+            WHEN severe > 0 AND severe >= greatest(8, raw_lines // 8) THEN 'log' ELSE 'generic' END AS kind FROM c)
+    SELECT output_id, kind, CASE kind WHEN 'git_diff' THEN 'diff markers' WHEN 'test' THEN 'test markers' WHEN 'log' THEN 'log severity density'
+             ELSE 'no strong format match' END AS detection_reason, kind AS route, raw_lines, severe, markers FROM d"""
+
+_LOG_VIEWS = f"""
+    WITH {EVENT_LINES},
+    raw AS (SELECT output_id, count(*) AS n, CAST(sum(strlen(line) + 1) AS BIGINT) AS raw_bytes, count_if(level <> 'INFO') AS decisive,
+              CAST(count_if(regexp_matches(line, '(?i)\\b(trace|debug|info|warn|warning|error|fatal|critical|panic)\\b')) AS BIGINT) AS severe FROM lines GROUP BY 1),
+    rows AS ({ORACLES["event_log_reduce"]}),
+    placed AS (SELECT output_id, line, dropped, row_number() OVER (PARTITION BY output_id ORDER BY o1, o2) - 1 AS pos FROM rows),
+    sized AS (SELECT output_id, count(*) AS shown, CAST(sum(strlen(line) + 1) AS BIGINT) AS bytes, CAST(sum(dropped) AS BIGINT) AS omitted FROM placed GROUP BY 1),
+    judged AS (SELECT *, len('[view log; exit=0; lines=' || n || '->' || shown || '; omitted=' || omitted || ' | exact: ]') + 16 + 1 AS head,
+                 head + bytes < raw_bytes AS done FROM raw JOIN sized USING (output_id))"""
+ORACLES["long_log_results"] = _LOG_VIEWS.replace("rows AS", "view_rows AS").replace("FROM rows", "FROM view_rows") + """
+    SELECT output_id, 'log' AS kind, CASE WHEN done THEN 'log severity density' END AS detection_reason, done AS transformed, true AS quality_passed, raw_bytes,
+           CASE WHEN done THEN CAST(head + bytes AS BIGINT) ELSE raw_bytes END AS compact_bytes, n AS raw_lines,
+           CASE WHEN done THEN shown + 1 ELSE n END AS compact_lines, CASE WHEN done THEN omitted END AS omitted_lines FROM judged"""
+ORACLES["long_log_parts"] = _LOG_VIEWS.replace("rows AS", "view_rows AS").replace("FROM rows", "FROM view_rows") + """,
+    cut AS (SELECT output_id, pos // 20 + 1 AS part, string_agg(line, chr(10) ORDER BY pos) || chr(10) AS body FROM placed GROUP BY 1, 2)
+    SELECT cut.output_id, part, CAST(head + coalesce(sum(strlen(body)) OVER (PARTITION BY cut.output_id ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)
+             AS "offset", sha256(body) AS text_sha256 FROM cut JOIN judged USING (output_id) WHERE done"""

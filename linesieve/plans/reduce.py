@@ -15,7 +15,7 @@ from linesieve.functions.predicates import (
 from linesieve.functions.text import (
     json_value, let, minify_json, normalize_newlines, split_lines, strip_ansi,
 )
-from linesieve.operators.lines import ID, LINE, assemble_view
+from linesieve.operators.lines import ID, LINE, NO, assemble_view
 from linesieve.operators.reduce_git import cap_commit_bodies, git_status_facts, group_git_status
 from linesieve.operators.reduce_json import critical_values, reduce_json
 from linesieve.operators.reduce_listing import listing_key_files, reduce_listing
@@ -55,33 +55,38 @@ def _has_failure(text: Column) -> Column:
     return F.exists(split_lines(text), lambda x: is_test_failure(x))
 
 
-def reduce_route(outputs: DataFrame, route: str, profile: str | None = None) -> DataFrame:
-    """Views of the outputs of one route: view, omitted_lines, tags and optional protected texts."""
-    raw_text = F.col("raw").cast("string")
+def reduce_lines(lines: DataFrame, route: str, profile: str | None = None) -> DataFrame:
+    """View table of the line tables of one route; lines carry ``profile`` and, for test runs, ``failed`` or ``exit_code``."""
     if route.startswith("custom_"):
-        return assemble_view(_custom[route.removeprefix("custom_")](_lines(outputs)))
+        return _custom[route.removeprefix("custom_")](lines)
     if route == "generic":
-        return assemble_view(reduce_generic(_lines(outputs), profile))
-    if route == "duplicates":
-        return assemble_view(reduce_duplicates(_lines(outputs)))
-    if route == "log":
-        return assemble_view(reduce_log(_lines(outputs)))
-    if route == "test":
-        failed = (F.col("exit_code") != 0) | _has_failure(normalize_newlines(raw_text))
-        return assemble_view(reduce_test(_lines(outputs, failed.alias("failed"))))
-    if route == "test_strict":
-        return assemble_view(reduce_test_strict(_lines(outputs)))
+        return reduce_generic(lines, profile)
+    if route in ("tree_flat", "tree_nested"):
+        return reduce_listing(lines.withColumn("nested", F.lit(route == "tree_nested")))
+    if route == "git_diff":
+        zero = F.lit(0).cast("long")
+        return lines.select(
+            ID, F.col(NO).alias("o1"), zero.alias("o2"), zero.alias("o3"), LINE, zero.alias("dropped"), F.lit(None).cast("string").alias("tag")
+        )
+    table = {
+        "duplicates": reduce_duplicates, "log": reduce_log, "test": reduce_test, "test_strict": reduce_test_strict,
+        "search": reduce_search, "git_status": group_git_status, "git_log": cap_commit_bodies,
+    }
+    return table[route](lines)
+
+
+def protected_lines(lines: DataFrame, route: str) -> DataFrame | None:
+    """Texts that the view of a route must hold, or None."""
     if route == "search":
-        lines = _lines(outputs)
-        return _with_facts(assemble_view(reduce_search(lines)), search_paths(lines))
+        return search_paths(lines)
     if route in ("tree_flat", "tree_nested"):
-        lines = _lines(outputs, F.lit(route == "tree_nested").alias("nested"))
-        return _with_facts(assemble_view(reduce_listing(lines)), listing_key_files(lines))
-    if route == "git_status":
-        lines = _lines(outputs)
-        return _with_facts(assemble_view(group_git_status(lines)), git_status_facts(lines))
-    if route == "git_log":
-        return assemble_view(cap_commit_bodies(_lines(outputs)))
+        return listing_key_files(lines.withColumn("nested", F.lit(route == "tree_nested")))
+    return git_status_facts(lines) if route == "git_status" else None
+
+
+def reduce_route(outputs: DataFrame, route: str, profile: str | None = None) -> DataFrame:
+    """Views of the outputs of one route: view, omitted_lines, tags and optional protected texts."""
+    raw_text = F.col("raw").cast("string")
     texts = outputs.select(ID, "profile", raw_text.alias("text"))
     if route == "json":
         return reduce_json(texts)
@@ -89,7 +94,13 @@ def reduce_route(outputs: DataFrame, route: str, profile: str | None = None) ->
         return texts.select(
             ID, minify_json(strip_ansi("text")).alias("view"), F.lit(0).cast("long").alias("omitted_lines")
         )
-    return texts.select(ID, F.col("text").alias("view"), F.lit(0).cast("long").alias("omitted_lines"))
+    if route == "git_diff":
+        return texts.select(ID, F.col("text").alias("view"), F.lit(0).cast("long").alias("omitted_lines"))
+    failed = (F.col("exit_code") != 0) | _has_failure(normalize_newlines(raw_text))
+    lines = _lines(outputs, failed.alias("failed")) if route == "test" else _lines(outputs)
+    views = assemble_view(reduce_lines(lines, route, profile))
+    facts = protected_lines(lines, route)
+    return views if facts is None else _with_facts(views, facts)
 
 
 def reduce_outputs(classified: DataFrame, parts: list[tuple[str, str]] | None = None) -> DataFrame:
