@@ -74,20 +74,18 @@ def crossover(first: Packing, second: Packing, lengths: list[int], capacity: int
 
 
 def evolve(lengths: list[int], capacity: int, seeds: list[Packing], rng: random.Random) -> list[Packing]:
-    """The best packings after some generations from the given ones and random new ones; stops at the lower bound."""
+    """The best packings after some generations from the given ones and packings of random orders. At least one generation
+    is bred; then it ends at the lower bound."""
     n = len(lengths)
     bound = -(-sum(lengths) // capacity)
     population = list(seeds)
-    if not population:
-        population.append(best_fit(sorted(range(n), key=lambda i: -lengths[i]), lengths, capacity, []))
     rank = lambda bins: fitness(bins, lengths, capacity)
-    for _ in range(GENERATIONS):
-        if min(map(len, population)) <= bound:
-            break
+    for generation in range(GENERATIONS):
         while len(population) < POPULATION:
-            noise = [lengths[i] * rng.uniform(0.8, 1.2) for i in range(n)]
-            population.append(best_fit(sorted(range(n), key=lambda i: -noise[i]), lengths, capacity, []))
+            population.append(best_fit(rng.sample(range(n), n), lengths, capacity, []))
         population.sort(key=rank, reverse=True)
+        if generation and len(population[0]) <= bound:
+            break
         children = [
             crossover(population[0], population[k], lengths, capacity, rng) for k in range(1, len(population))
         ] + [crossover(population[1], population[0], lengths, capacity, rng)]
