@@ -9,12 +9,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Letters written behind `\\` for the usual first characters of control strings; other ones get the next free letter.
+_LETTERS = {"<": "l", "[": "b"}
+
+
 @dataclass(frozen=True)
 class Template:
     """What stands before and after a turn's text, by role; roles not listed are written out between `other` marks.
 
     `moves` lists the roles that may follow each state; a state is the last role, or `start`. Texts of `loss_roles` are
-    trained on. Every mark is a control string: inside texts its first character is escaped, so none occurs there.
+    trained on. Every mark, without white space at its ends, is a control string: inside texts its first character is
+    escaped, so none occurs there. Templates are refused whose marks could arise where a text meets a mark, or could not
+    be told apart: a mark may not be blank, hold `\\`, begin with a letter or digit, stand inside another one, or end as
+    another one begins.
     """
 
     turns: Mapping[str, tuple[str, str]] = field(default_factory=lambda: {
@@ -26,6 +33,28 @@ class Template:
     })
     loss_roles: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self) -> None:
+        opening, between, closing = self.other
+        opens = [marks[0] for marks in self.turns.values()] + [opening, between]
+        closes = {marks[1] for marks in self.turns.values()} | {closing}
+        if len({m.strip() for m in opens}) < len(opens) or {m.strip() for m in opens} & {m.strip() for m in closes}:
+            raise ValueError("marks of different meaning are equal")
+        whole, controls = [*opens, *closes], self.controls()
+        for mark in controls:
+            if not mark or "\\" in mark or mark[0].isalnum():
+                raise ValueError(f"{mark!r} can't be a mark")
+            if any(mark in other for other in controls if other != mark):
+                raise ValueError(f"{mark!r} stands inside another mark")
+            for other in whole:
+                if any(other.startswith(mark[k:]) or other.endswith(mark[:k]) for k in range(1, len(mark))):
+                    raise ValueError(f"{mark!r} and {other!r} begin and end alike")
+
+    def codes(self) -> dict[str, str]:
+        """What is written for the first characters of control strings."""
+        firsts = sorted({m[0] for m in self.controls()})
+        free = iter("acdefghijkmnopqrstuvwxyz")
+        return {first: "\\" + (_LETTERS.get(first) or next(free)) for first in firsts}
+
     def controls(self) -> list[str]:
         """Every control string, longest first."""
         marks = {m.strip() for pair in self.turns.values() for m in pair} | set(self.other)
@@ -39,26 +68,22 @@ def _quote(text: str) -> str:
     return "".join("\\" + c if c in "\\^$.|?*+()[]{}" else c for c in text)
 
 
-#: Written for `\`, and for the first character of a control string.
-_ESCAPES = {"<": "\\l", "[": "\\b"}
-
-
 def escape(text: Column, template: Template) -> Column:
-    """The text with `\\` doubled and `\\l` or `\\b` for the first character of every control string."""
+    """The text with `\\` doubled, and `\\` and a letter for the first character of every control string."""
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    for first, code in _ESCAPES.items():
+    for first, code in template.codes().items():
         tails = [_quote(m[1:]) for m in template.controls() if m[0] == first]
-        if tails:
-            out = F.regexp_replace(out, f"{_quote(first)}(?={'|'.join(tails)})", code.replace("\\", "\\\\"))
+        out = F.regexp_replace(out, f"{_quote(first)}(?={'|'.join(tails)})", code.replace("\\", "\\\\"))
     return out
 
 
-def unescape(text: Column) -> Column:
+def unescape(text: Column, template: Template | None = None) -> Column:
     """The text that `escape` was given. Pairs of `\\` are cut out first, so a single one starts a code."""
     parts = F.split(text, r"\\\\", -1)
+    codes = (template or Template()).codes()
 
     def single(part: Column) -> Column:
-        for first, code in _ESCAPES.items():
+        for first, code in codes.items():
             part = F.replace(part, F.lit(code), F.lit(first))
         return part
 
@@ -138,9 +163,9 @@ def parse_turns(formatted: Column, template: Template | None = None) -> Column:
         out = None
         for name, (mark, _) in template.turns.items():
             body = F.substr(piece, F.lit(len(mark) + 1))
-            found = F.struct(F.lit(name).alias("role"), unescape(body).alias("text"))
+            found = F.struct(F.lit(name).alias("role"), unescape(body, template).alias("text"))
             out = F.when(piece.startswith(mark), found) if out is None else out.when(piece.startswith(mark), found)
-        return out.otherwise(F.struct(unescape(role).alias("role"), unescape(rest).alias("text")))
+        return out.otherwise(F.struct(unescape(role, template).alias("role"), unescape(rest, template).alias("text")))
 
     return F.transform(pieces, turn)
 
@@ -150,7 +175,7 @@ def chat_digests(chats: DataFrame, template: Template | None = None, id_col: str
     turns = F.array_join(F.transform(
         parse_turns(F.col("formatted"), template), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
     ), "")
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], template)), "")
     return chats.select(
         F.col(id_col), F.col("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), "valid",

@@ -371,12 +371,53 @@ def test_evolution_beats_its_start():
     assert packing.fitness(best, lengths, 100) >= packing.fitness(start, lengths, 100)
 
 
+def test_evolution_needs_fewer_bins_than_best_fit():
+    rng = random.Random(11)
+    for _ in range(3):
+        lengths = [rng.randint(900, 2000) for _ in range(1200)]
+        falling = packing.best_fit(sorted(range(1200), key=lambda i: -lengths[i]), lengths, 4096, [])
+        best = packing.evolve(lengths, 4096, [], rng)[0]
+        assert sorted(i for b in best for i in b) == list(range(1200))
+        assert all(sum(lengths[i] for i in b) <= 4096 for b in best)
+        assert len(best) < len(falling)
+
+
+def test_evolution_breeds_on_easy_lengths(monkeypatch):
+    born, crossover = [], packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *a: born.append(1) or crossover(*a))
+    rng = random.Random(12)
+    lengths = [rng.randint(1, 900) for _ in range(600)]
+    best = packing.evolve(lengths, 4096, [], rng)[0]
+    assert born and len(best) == -(-sum(lengths) // 4096)
+    assert packing.evolve([5], 10, [], rng)[0] == [[0]]
+
+
 def test_pack_refuses_impossible_lengths(spark):
     items = spark.createDataFrame([(1, 5), (2, None), (3, 0), (4, 11), (5, 10)], "item long, length long")
     got = {r.item: (r.sequence_id is None, r.offset) for r in packing.pack(items, 10).collect()}
     assert got == {1: (False, 0), 2: (True, None), 3: (True, None), 4: (True, None), 5: (False, 0)}
 
 
+def test_chat_templates_of_other_marks(spark):
+    good = chat_format.Template(
+        turns={"user": ("{user}", "{/user}"), "assistant": ("~a: ", " ~z")}, other=("{r}", "{/r}", "~end!"),
+    )
+    evil = ["{user} a {/user}{user}", "~a: x ~z", "\\~a:\\\\{/r}", "{/", "~", "{/user", "plain", "", "~en", "\\c \\a"]
+    rows = [(k, 2 * j + t, role, text) for k, text in enumerate(evil) for j in range(1) for t, role in enumerate(["user", "assistant", "tool{r}"])]
+    chats = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat_format.format_chats(chats, good).select("conv_id", chat_format.parse_turns(F.col("formatted"), good).alias("turns"))
+    want = {k: [(role, text) for role in ("user", "assistant", "tool{r}")] for k, text in enumerate(evil)}
+    assert {r.conv_id: [tuple(t) for t in r.turns] for r in out.collect()} == want
+    marks = lambda a, b: {"user": a, "assistant": b}
+    for turns in (
+        marks(("|u|", "|/u|"), ("|a|", "|/a|")), marks(("<u>", "</u>"), ("<u>", "</a>")), marks(("<u>", ""), ("<a>", "</a>")),
+        marks(("u:", "</u>"), ("<a>", "</a>")), marks(("<u>", "\\n"), ("<a>", "</a>")), marks(("<u>", "<u><"), ("<a>", "</a>")),
+        marks(("<u>", "</u>"), ("<a>", "<u>")),
+    ):
+        with pytest.raises(ValueError):
+            chat_format.Template(turns=turns)
+
+
 # embeddings
 
 def test_embeddings_match_brute_force(spark, monkeypatch):
