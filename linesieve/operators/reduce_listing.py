@@ -17,28 +17,61 @@ from linesieve.sources.staging import stage
 KEYS, TOPS, GROUPS, BODY, SUFFIXES = 1, 2, 3, 4, 5
 
 
-def rebuild_tree_paths(lines: DataFrame, size: int = BLOCK) -> DataFrame:
+TREE_BLOCK = 256  # lines of a tree folded in one step
+
+
+def rebuild_tree_paths(lines: DataFrame, size: int = BLOCK, block: int = TREE_BLOCK) -> DataFrame:
     """Full paths of a drawn tree: ``line_no``, ``depth``, ``value``.
 
-    A node's ancestor at level k is the latest earlier node of level k. Each node is repeated for
-    the levels 0..depth; it defines its own level and asks for the levels above.
+    A node's ancestor at level k is the latest earlier node of level k. A block of lines is folded over a stack that
+    holds the latest name of every level; the stack it ends with is the block's summary. Of two neighbouring summaries
+    the later one's names count, and the earlier one's where it has none, so what a block finds open at its begin is,
+    level by level, the latest name in the summaries before. There is a row per block and level, none per node and level.
     """
     extra = [c for c in lines.columns if c not in (ID, NO, LINE)]
-    nodes = (
-        lines.where(~is_tree_noise(F.col(LINE)) & F.col(LINE).rlike(P.TREE_NODE))
-        .withColumns({"depth": tree_depth(F.col(LINE)), "name": F.regexp_extract(LINE, P.TREE_NODE, 2)})
+    nodes = lines.where(~is_tree_noise(F.col(LINE)) & F.col(LINE).rlike(P.TREE_NODE)).select(
+        ID, *extra, F.floor(F.col(NO) / block).cast("long").alias("block"),
+        F.struct(NO, tree_depth(F.col(LINE)).cast("int").alias("depth"), F.regexp_extract(LINE, P.TREE_NODE, 2).alias("name")).alias("node"),
     )
-    levels = nodes.select(ID, NO, "depth", "name", *extra, F.explode(F.sequence(F.lit(0).cast("long"), "depth")).alias("level"))
-    named = carry_section(
-        levels, [ID, "level"], NO, F.when(F.col("level") == F.col("depth"), F.col("name")), size, "part"
+    # At most ``block`` nodes of a block come together.
+    blocks = nodes.groupBy(ID, "block").agg(F.array_sort(F.collect_list("node")).alias("nodes"), *[F.first(c).alias(c) for c in extra])
+    blocks = blocks.withColumn("fold", _fold_nodes(F.col("nodes")))
+    last, deepest = F.col("fold.stack"), F.array_max(F.transform("nodes", lambda x: x["depth"]))
+    at = lambda order, level, name: F.struct(order.alias("at"), level.cast("int").alias("level"), name.cast("string").alias("name"))
+    given = F.transform(last, lambda name, k: at(F.col("block") * 2 + 1, k, name))
+    asked = F.transform(F.sequence(F.lit(0), deepest), lambda k: at(F.col("block") * 2, k, F.lit(None)))
+    levels = blocks.select(ID, F.explode(F.concat(F.filter(given, lambda g: g["name"].isNotNull()), asked)).alias("l")).select(ID, "l.*")
+    known = carry_section(levels, [ID, "level"], "at", F.col("name"), size, "part").where("at % 2 = 0")
+    open_ = known.groupBy(ID, F.floor(F.col("at") / 2).cast("long").alias("block")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("level", "part"))), lambda s: s["part"]).alias("before")
     )
-    return named.groupBy(ID, NO, "depth", *extra).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("level", "part"))), lambda s: s["part"]), "/"
-        ).alias("value")
+    parts = lambda x: F.concat(
+        F.transform(x["above"], lambda name, k: F.coalesce(name, F.get(F.col("before"), k))), F.array(x["name"])
+    )
+    rows = blocks.join(open_, [ID, "block"]).select(ID, *extra, "before", F.explode("fold.out").alias("x"))
+    return rows.select(
+        ID, F.col(f"x.{NO}").alias(NO), F.col("x.depth").cast("long").alias("depth"), *extra, F.array_join(parts(F.col("x")), "/").alias("value")
     )
 
 
+def _fold_nodes(nodes: Column) -> Column:
+    """The stack after all nodes, and each node with the names of the levels above it, NULL where the block has none."""
+    level = lambda stack, k: F.get(stack, k)
+    text = F.array().cast("array<string>")
+    out = F.array().cast(f"array<struct<{NO}:bigint,depth:int,name:string,above:array<string>>>")
+
+    def step(state, x):
+        upto = F.greatest(F.size(state["stack"]), x["depth"] + 1) - 1
+        stack = F.transform(F.sequence(F.lit(0), upto), lambda k: F.when(k == x["depth"], x["name"]).otherwise(level(state["stack"], k)))
+        above = F.when(
+            x["depth"] > 0, F.transform(F.sequence(F.lit(0), x["depth"] - 1), lambda k: level(state["stack"], k))
+        ).otherwise(text)
+        row = F.struct(x[NO].alias(NO), x["depth"].alias("depth"), x["name"].alias("name"), above.alias("above"))
+        return F.struct(stack.alias("stack"), F.concat(state["out"], F.array(row)).alias("out"))
+
+    return F.aggregate(nodes, F.struct(text.alias("stack"), out.alias("out")), step)
+
+
 def listing_items(lines: DataFrame, size: int = BLOCK) -> DataFrame:
     """Listed paths in order; rows with ``nested`` set come from a drawn tree."""
     if "nested" not in lines.columns:

@@ -7,21 +7,22 @@ from pyspark.sql import functions as F
 
 from linesieve.functions import patterns as P
 from linesieve.functions.predicates import is_key_file
-from linesieve.functions.text import compact_template, is_binary, normalize_line, normalize_newlines, portable_exit_code, strip_ansi
+from linesieve.functions.text import compact_template, content_digest, is_binary, normalize_line, normalize_newlines, portable_exit_code, strip_ansi
 from linesieve.operators.chunks import numbered
 from linesieve.operators.detect import detect_kind
 from linesieve.operators.lines import ID, LINE, N, NO
 from linesieve.operators.reduce_listing import rebuild_tree_paths
 from linesieve.operators.reduce_text import reduce_generic
 from linesieve.operators.store import artifact_metadata
-from linesieve.plans.catalogue import _stream, _work_dir, doc_results, documents, route_outputs, stored_documents, table
+from linesieve.plans.catalogue import _put_rows, _stream, _work_dir, doc_results, documents, route_outputs, stored_documents, table
 from linesieve.plans.compact import compact_corpus
 from linesieve.plans.evaluate import critical_retention, expected_passthrough, required_facts, strict_gate
 from linesieve.plans.oracles import ORACLES as BASE
 from linesieve.plans.oracles import cover, q, windows
 from linesieve.sources.outputs import outputs_from_text
+from linesieve.sources.run_partials import RunTable
 from linesieve.sources.store_tables import write_report
-from linesieve.streaming.jobs import stream_compact
+from linesieve.streaming.jobs import stored_state, stream_compact, stream_store_state
 
 ESC = "\x1b"
 #: Base names of the paths that the key-file rule is asked about.
@@ -168,6 +169,61 @@ def artifact_listing(spark, sf_dir):
     return artifact_metadata(stored_documents(spark, sf_dir).select("id", "sha256", "created_at", "cwd", "payload"))
 
 
+def _event_runs(spark, sf_dir) -> DataFrame:
+    size = F.col("value").cast("long")
+    return _events(spark, sf_dir).select(
+        "event_id", F.col("ts").cast("timestamp").alias("created_at"), F.col("event_type").alias("kind"),
+        F.when(F.col("event_id") % 2 == 0, "safe").otherwise("max").alias("profile"), (F.col("event_type") != "error").alias("transformed"),
+        (F.col("event_type") != "signup").alias("quality_passed"), (size + 10).alias("raw_bytes"), size.alias("compact_bytes"),
+        (size + 20).alias("raw_tokens_est"), (size + 1).alias("compact_tokens_est"),
+    )
+
+
+def _three_batches(spark, sf_dir) -> RunTable:
+    runs, kept = _event_runs(spark, sf_dir), RunTable(spark, f"{_work_dir(spark)}/runs")
+    for k in (0, 1, 2, 1):
+        kept.append(runs.where(F.col("event_id") % 3 == k).drop("event_id"), f"b{k}")
+    return kept
+
+
+def run_totals_kept_up(spark, sf_dir):
+    """Savings by kind over the last days, from partial aggregates after three appends, one of them made twice."""
+    kept = _three_batches(spark, sf_dir)
+    last = _events(spark, sf_dir).agg(F.max("ts").cast("timestamp")).first()[0]
+    return kept.savings_by_kind(last, 3)
+
+
+def run_profiles_kept_up(spark, sf_dir):
+    """Runs and sizes by profile and kind with subtotals, from partial aggregates."""
+    return _three_batches(spark, sf_dir).savings_by_profile().select(
+        "profile", "kind", F.col("level").cast("long").alias("level"), "cases", "transformed", "raw_bytes", "compact_bytes",
+        F.round("byte_savings_ratio", 9).alias("byte_savings_ratio"),
+    )
+
+
+def run_summary_kept_up(spark, sf_dir):
+    """Totals of the last day and a half, from partial aggregates and the rows of the first day."""
+    kept = _three_batches(spark, sf_dir)
+    last = _events(spark, sf_dir).agg(F.max("ts").cast("timestamp")).first()[0]
+    return kept.run_totals(last, 1)
+
+
+def doc_stream_state(spark, sf_dir):
+    """The store after three batches of puts held in state: all documents, later puts of half of them, late puts of a third."""
+    docs = documents(spark, sf_dir, "text", "source")
+    path = _work_dir(spark)
+    for k, (part, shift) in enumerate(((docs, 0), (docs.where("doc_id % 2 = 0"), 100_000), (docs.where("doc_id % 3 = 0"), -50_000))):
+        rows = _put_rows(part, F.timestamp_seconds(F.lit(1_700_000_000 + shift) + F.col("doc_id"))).withColumn("cwd", F.concat("cwd", F.lit(f"/{k}")))
+        rows.write.parquet(f"{path}/puts/{k}")
+        for query in stream_store_state(
+            spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(f"{path}/puts"), f"{path}/out", f"{path}/ck"
+        ):
+            query.awaitTermination()
+    return stored_state(spark, f"{path}/out").select(
+        "id", "sha256", F.unix_seconds("created_at").alias("put_at"), "cwd", content_digest("payload").alias("payload_sha256")
+    )
+
+
 def doc_stream_compact(spark, sf_dir):
     """Documents that arrive as a stream, compacted batch by batch."""
     docs = _stream(spark, sf_dir, "documents")
@@ -183,6 +239,7 @@ def doc_stream_compact(spark, sf_dir):
 QUERIES = [
     event_text_shapes, event_mask_templates, part_key_files, page_tree_paths, event_generic_max, kinds_by_text, log_critical_retention,
     log_strict_gate, doc_required_facts, diffs_stay, report_files, artifact_listing, doc_stream_compact,
+    run_totals_kept_up, run_profiles_kept_up, run_summary_kept_up, doc_stream_state,
 ]
 
 _LOG_LINE = "CASE event_type WHEN 'error' THEN 'ERROR ' ELSE 'INFO ' END || event_type || ' event=' || event_id"
@@ -194,7 +251,28 @@ _KINDS = [
     ("git_log", "customer", "c_custkey // 200", "'generic'"), ("git_diff", "supplier", "s_suppkey // 100", "'generic'"), ("generic", "part", "p_partkey // 200", "'generic'"),
 ]
 
+_RUNS = """runs AS (SELECT ts, event_type AS kind, CASE WHEN event_id % 2 = 0 THEN 'safe' ELSE 'max' END AS profile, event_type <> 'error' AS transformed,
+    event_type <> 'signup' AS quality_passed, CAST(trunc(value) AS BIGINT) AS size FROM events),
+    late AS (SELECT * FROM runs WHERE ts >= (SELECT max(ts) FROM runs) - INTERVAL (days) DAY)"""
+
 ORACLES = {
+    "run_totals_kept_up": f"""
+        WITH {_RUNS.replace("(days)", "3")} SELECT kind, count(*) AS runs, CAST(sum(size + 10) AS BIGINT) AS raw_bytes, CAST(sum(size) AS BIGINT) AS compact_bytes
+        FROM late GROUP BY kind""",
+    "run_profiles_kept_up": f"""
+        WITH {_RUNS.replace("(days)", "3")} SELECT profile, kind, CAST(grouping(profile, kind) AS BIGINT) AS level, count(*) AS cases, count_if(transformed) AS transformed,
+               CAST(sum(size + 10) AS BIGINT) AS raw_bytes, CAST(sum(size) AS BIGINT) AS compact_bytes,
+               round(10 * count(*) / CAST(sum(size + 10) AS DOUBLE), 9) AS byte_savings_ratio
+        FROM runs GROUP BY ROLLUP (profile, kind)""",
+    "doc_stream_state": """
+        WITH puts AS (SELECT sha256(text) AS sha256, 1700000000 + doc_id AS put_at, source || '/0' AS cwd FROM documents
+            UNION ALL SELECT sha256(text), 1700100000 + doc_id, source || '/1' FROM documents WHERE doc_id % 2 = 0
+            UNION ALL SELECT sha256(text), 1699950000 + doc_id, source || '/2' FROM documents WHERE doc_id % 3 = 0)
+        SELECT left(sha256, 16) AS id, sha256, max(put_at) AS put_at, arg_max(cwd, put_at) AS cwd, sha256 AS payload_sha256 FROM puts GROUP BY sha256""",
+    "run_summary_kept_up": f"""
+        WITH {_RUNS.replace("(days)", "1")} SELECT count(*) AS runs, count_if(transformed) AS transformed, count_if(NOT quality_passed) AS guard_failures,
+               CAST(sum(size + 10) AS BIGINT) AS raw_bytes, CAST(sum(size) AS BIGINT) AS compact_bytes,
+               CAST(sum(size + 20) AS BIGINT) AS raw_tokens_est, CAST(sum(size + 1) AS BIGINT) AS compact_tokens_est FROM late""",
     "event_text_shapes": """
         SELECT event_id, event_type || chr(13) || chr(10) || 'id ' || event_id || chr(13) || 'end' AS plain,
                event_type || chr(10) || 'id ' || event_id || chr(10) || 'end' AS broken, event_type AS line, event_id % 5 < 2 AS binary,

@@ -48,6 +48,44 @@ def current_artifacts(spark, path: str) -> DataFrame:
     return latest(rows, "sha256", ["created_at"]).join(ids, "sha256").select(*ARTIFACT)
 
 
+FACTS = ["created_at", "command", "cwd", "exit_code", "kind"]
+
+
+def stream_store_state(
+    puts: DataFrame, path: str, checkpoint: str, retention: str = "7 days", trigger: dict | None = None
+) -> list[StreamingQuery]:
+    """Puts into a store whose keys are held by the state store: what a batch costs follows the batch alone.
+
+    Two queries over the same puts. One lets each content through once (a content not put within ``retention`` may come
+    again, which does no harm); one keeps the first and the newest put of each digest, without bytes, and writes those
+    that a batch changed. Late and repeated puts change what they should and nothing else. ``stored_state`` reads both.
+    """
+    trigger = trigger or {"availableNow": True}
+    contents = puts.withWatermark("created_at", retention).dropDuplicatesWithinWatermark(["sha256"])
+    facts = puts.groupBy("sha256").agg(
+        F.min("created_at").alias("first_put"), F.max_by(F.struct(*FACTS), F.struct("created_at", "cwd")).alias("newest")
+    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/facts/batch_id={batch_id}")
+
+    return [
+        contents.select("sha256", "encoding", "payload", "raw_bytes", "raw_lines").writeStream.format("parquet")
+        .option("checkpointLocation", f"{checkpoint}/contents").trigger(**trigger).start(f"{path}/contents"),
+        facts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{checkpoint}/facts").trigger(**trigger).start(),
+    ]
+
+
+def stored_state(spark, path: str) -> DataFrame:
+    """The store after all batches: of each content the facts that were written last, its bytes and its id."""
+    facts = spark.read.option("basePath", f"{path}/facts").parquet(f"{path}/facts")
+    last = facts.groupBy("sha256").agg(F.max_by(F.struct("first_put", "newest"), "batch_id").alias("f"))
+    ids = assign_ids(last.select("sha256", F.col("f.first_put").alias("created_at"))).select("sha256", "id")
+    # The same bytes may have come more than once.
+    contents = latest(spark.read.parquet(f"{path}/contents"), "sha256", ["raw_bytes"])
+    return last.select("sha256", "f.newest.*").join(contents, "sha256").join(ids, "sha256").select(*ARTIFACT)
+
+
 def stream_compact(
     outputs: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, **options
 ) -> StreamingQuery:

@@ -6,10 +6,12 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from linesieve.operators.metrics import run_totals, savings_by_kind, savings_by_profile
 from linesieve.operators.store import lookup_artifacts
 from linesieve.plans.retention import purge_store
 from linesieve.sources import staging
 from linesieve.sources.bucketed_store import BucketedStore
+from linesieve.sources.run_partials import RunTable
 from linesieve.sources.store_tables import read_artifacts, write_artifacts
 
 
@@ -119,3 +121,31 @@ def test_successor_search_equals_a_scan(spark):
         else:
             want[a] = ("ambiguous" if found else "not found", None, len(found))
     assert got == want
+
+
+def test_totals_are_merged_from_partials(spark, tmp_path):
+    rows = [
+        (datetime(2024, 1, 1 + k % 9, k % 24), "log" if k % 3 else "json", "safe" if k % 2 else "max", k % 4 > 0, k % 7 > 0, 100 + k, 10 + k, 50 + k, 5 + k)
+        for k in range(300)
+    ]
+    schema = "created_at timestamp, kind string, profile string, transformed boolean, quality_passed boolean, raw_bytes long, compact_bytes long, raw_tokens_est long, compact_tokens_est long"
+    kept = RunTable(spark, str(tmp_path / "runs"))
+    assert kept.run_totals().first().runs == 0
+    for k in range(3):
+        kept.append(spark.createDataFrame(rows[k::3], schema), f"b{k}")
+    kept.append(spark.createDataFrame(rows[1::3], schema), "b1")
+    # An append that broke off before its partials were written.
+    spark.createDataFrame(rows, schema).withColumn("run_date", F.to_date("created_at")).write.partitionBy("run_date").parquet(f"{tmp_path}/runs/runs/batch=broken")
+    every = spark.createDataFrame(rows, schema)
+    as_of = datetime(2024, 1, 9, 13, 30)
+    for days in (None, 0, 1, 3, 20):
+        at = F.lit("2024-01-09 13:30:00").cast("timestamp")
+        got, want = kept.run_totals(as_of if days is not None else None, days).first(), run_totals(every, at, days).first()
+        assert {c: got[c] for c in want.asDict()} == want.asDict(), days
+        kinds = [tuple(r) for r in savings_by_kind(every, at, days).collect()]
+        assert [tuple(r) for r in kept.savings_by_kind(as_of if days is not None else None, days).collect()] == kinds
+    want = {(r.profile, r.kind, r.level, r.cases, r.transformed, r.raw_bytes) for r in savings_by_profile(every).collect()}
+    assert {(r.profile, r.kind, r.level, r.cases, r.transformed, r.raw_bytes) for r in kept.savings_by_profile().collect()} == want
+    assert all("/partials/" in f for f in kept.run_totals().inputFiles())
+    read = kept.run_totals(as_of, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(run_date" in read
