@@ -24,8 +24,10 @@ STATES = 8
 FREQUENT, ENDINGS = 1024, 1024
 CLASSES = FREQUENT + ENDINGS
 ITERATIONS = 5
-#: Tokens of a training sequence; longer documents are trained in pieces, and scored whole.
+#: Tokens that a training sequence counts; longer documents are trained in pieces and scored whole. A piece sees AROUND
+#: tokens of its document before and behind its own, so that the states at a cut follow from both sides of it.
 PIECE = 256
+AROUND = 16
 #: Text whose words share one dictionary.
 BLOCK_BYTES = 16 << 20
 
@@ -185,9 +187,24 @@ def forward_score(sequences: list[np.ndarray], p: Parameters) -> np.ndarray:
     return out
 
 
-def expected_counts(sequences: list[np.ndarray], fresh: np.ndarray, p: Parameters) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch counts of starts (of sequences that are `fresh`), moves and emissions over the sequences."""
+def pieces_of(words: np.ndarray, size: int = PIECE, around: int = AROUND) -> list[tuple[np.ndarray, int, int]]:
+    """The document in pieces with their surroundings: (tokens, first and end of the piece's own tokens). Every token, and
+    the move into it, is some piece's own; the first piece begins with the document."""
+    out = []
+    for at in range(0, len(words), size):
+        low, end = max(0, at - around), min(len(words), at + size)
+        out.append((words[low:end + around], at - low, end - low))
+    return out
+
+
+def expected_counts(
+    sequences: list[np.ndarray], fresh: np.ndarray, p: Parameters, own: list[tuple[int, int]] | None = None
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Baum-Welch counts of starts (of sequences that are `fresh`), moves and emissions over the sequences, or over the
+    `own` range of each: emissions there, and moves into its tokens."""
     order, flat, begins = _batched(sequences)
+    own = own or [(0, len(s)) for s in sequences]
+    low, high = (np.array(x)[order] for x in zip(*own))
     emit = np.ascontiguousarray(p.emit.T.astype(np.float32))
     move = p.move.astype(np.float32)
     ahead = np.empty((len(flat), len(p.start)), np.float32)
@@ -206,13 +223,17 @@ def expected_counts(sequences: list[np.ndarray], fresh: np.ndarray, p: Parameter
         if t < len(begins) - 2:
             c = begins[t + 2]
             weighted = back * emit[flat[b:c]] / sizes[b:c, None]
-            moves += ahead[a:a + c - b].T @ weighted
+            mine = ((low[:c - b] <= t + 1) & (t + 1 < high[:c - b])).astype(np.float32)
+            moves += (ahead[a:a + c - b] * mine[:, None]).T @ weighted
             back = np.ones((b - a, len(p.start)), np.float32)
             back[:c - b] = weighted @ move.T
         if t < len(begins) - 2:
             ahead[a:b] *= back
     ahead /= ahead.sum(1, keepdims=True)
     start = ahead[:begins[1]][fresh[order]].sum(0)
+    for t in range(len(begins) - 1):
+        n = begins[t + 1] - begins[t]
+        ahead[begins[t]:begins[t + 1]] *= ((low[:n] <= t) & (t < high[:n]))[:, None]
     emitted = np.stack([np.bincount(flat, ahead[:, k], p.emit.shape[1]) for k in range(len(p.start))])
     return start.astype(np.float64), moves * p.move, emitted
 
@@ -223,10 +244,10 @@ def _count(p: Parameters, batch_tokens: int = 400_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(p.start)
         totals = np.zeros((k, 1 + k + p.emit.shape[1]))
-        pieces, fresh, size = [], [], 0
+        pieces, fresh, own, size = [], [], [], 0
 
         def add() -> None:
-            start, moves, emitted = expected_counts(pieces, np.array(fresh), p)
+            start, moves, emitted = expected_counts(pieces, np.array(fresh), p, own)
             totals[:, 0] += start
             totals[:, 1:1 + k] += moves
             totals[:, 1 + k:] += emitted
@@ -234,13 +255,14 @@ def _count(p: Parameters, batch_tokens: int = 400_000):
         for batch in batches:
             for body in batch.column(0).to_pylist():
                 words = np.frombuffer(body, np.uint16)
-                for at in range(0, len(words), PIECE):
-                    pieces.append(words[at:at + PIECE])
+                for at, (piece, low, high) in enumerate(pieces_of(words)):
+                    pieces.append(piece)
                     fresh.append(at == 0)
+                    own.append((low, high))
                 size += len(words)
                 if size >= batch_tokens:
                     add()
-                    pieces, fresh, size = [], [], 0
+                    pieces, fresh, own, size = [], [], [], 0
         if pieces:
             add()
         yield pa.RecordBatch.from_arrays(

@@ -532,6 +532,23 @@ def test_forward_recursion_equals_path_sum():
     assert hmm.forward_score(sequences, hmm.Parameters.from_counts(start + 1e-9, moves, emitted)).sum() > before - 0.5
 
 
+def test_counts_of_pieces_equal_those_of_whole_documents():
+    rng = np.random.default_rng(8)
+    share = lambda x: x / x.sum(-1, keepdims=True)
+    p = hmm.Parameters(share(rng.random(3)), share(rng.random((3, 3)) + np.eye(3)), share(rng.random((3, 9)) ** 3))
+    documents = [rng.integers(0, 9, n).astype(np.uint16) for n in (1, 30, 31, 200, 1000, 59, 60)]
+    whole = hmm.expected_counts(documents, np.ones(len(documents), bool), p)
+    parts = [(k == 0, *piece) for d in documents for k, piece in enumerate(hmm.pieces_of(d, 30, 16))]
+    assert sum(high - low for _, _, low, high in parts) == sum(map(len, documents))
+    fresh, pieces, low, high = zip(*parts)
+    got = hmm.expected_counts(list(pieces), np.array(fresh), p, list(zip(low, high)))
+    assert abs(got[1].sum() - sum(len(d) - 1 for d in documents)) < 0.05
+    for a, b in zip(got, whole):
+        assert np.abs(a - b).max() < 0.02 * max(1, np.abs(b).max())
+    cut = hmm.expected_counts(list(pieces), np.array(fresh), p)
+    assert np.abs(cut[1] - whole[1]).max() > np.abs(got[1] - whole[1]).max()
+
+
 @pytest.mark.parametrize("name", ["exact", "near", "suffix", "bpe", "pack", "hmm", "quality", "tokens", "vectors", "chat"])
 def test_empty_tables(spark, tmp_path, name):
     docs = docs_of(spark, [])
