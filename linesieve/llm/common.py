@@ -16,6 +16,8 @@ BROADCAST_BYTES = 32 << 20
 
 
 _SHIPPED: set[str] = set()
+#: Folders of the workspaces of each application.
+_ROOTS: dict[str, list[str]] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -44,6 +46,7 @@ class Workspace:
         root = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
         self.spark = spark
         self.root = f"{root.rstrip('/')}/linesieve-{name}-{uuid.uuid4().hex}"
+        _ROOTS.setdefault(spark.sparkContext.applicationId, []).append(self.root)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -66,6 +69,16 @@ class Workspace:
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def clear_workspaces(spark: SparkSession) -> int:
+    """Deletes the tables that the application's operators have left, once their results are written; returns the number
+    of folders. Results read from them can't be read any more."""
+    roots = _ROOTS.pop(spark.sparkContext.applicationId, [])
+    for root in roots:
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(roots)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """The name, with underscores in front until no column of `df` has it in any case."""
     taken = {c.lower() for c in df.columns}
