@@ -644,15 +644,14 @@ def match_lines(spark, sf_dir) -> DataFrame:
     docs = documents(spark, sf_dir, "lang", "source", "text")
     lines = explode_lines(docs, normalize=True)
     path = F.concat_ws("/", "source", "doc_id")
-    # A running number over (document, line): documents have fewer lines than the factor.
     rows = lines.select(
-        F.col("lang").alias(ID), (F.col("doc_id") * 1_000_000 + F.col(NO)).alias("at"),
+        F.col("lang").alias(ID), "doc_id", F.col(NO).alias("at"),
         F.concat(path, F.lit(":"), (F.col(NO) + 1).cast("string"), F.lit(":"), F.col(LINE)).alias(LINE),
     )
-    return rows.withColumnRenamed("at", NO)
+    return numbered(rows, [ID], ["doc_id", "at"], "doc_id", 4096, NO, N).select(ID, NO, LINE)
 
 
-MATCH_SPAN = 1_000_000 * 4096
+MATCH_SPAN = 1 << 16
 
 
 def match_parse(spark, sf_dir):
@@ -679,7 +678,7 @@ def search_reduce(spark, sf_dir):
 
 def section_carry(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    header = F.when(F.col("role") == "user", F.substring("text", 1, 20))
+    header = F.when(F.col("role") == "user", F.col("text"))
     return carry_section(turns, ["conv_id"], "turn", header).select("conv_id", "turn", "section")
 
 

@@ -200,7 +200,7 @@ SYMBOL = (
 MATCHES = f"""
   doc_lines AS ({lines_of("documents", "lang", "text", "doc_id, source,")}),
   matches AS (
-    SELECT output_id, doc_id * 1000000 + line_no AS line_no, source || '/' || doc_id AS path,
+    SELECT output_id, row_number() OVER (PARTITION BY output_id ORDER BY doc_id, line_no) - 1 AS line_no, source || '/' || doc_id AS path,
            CAST(line_no + 1 AS VARCHAR) AS match_line, ':' AS sep, line AS body,
            source || '/' || doc_id || ':' || (line_no + 1) || ':' || line AS raw
     FROM doc_lines)"""
@@ -636,7 +636,7 @@ ORACLES = {
         UNION ALL SELECT output_id, -2, alias_no, 0, '@' || alias_no || ' = ' || body, 0 FROM aliases
         UNION ALL SELECT output_id, -1, 0, 0, '', 0 FROM aliases GROUP BY 1""",
     "section_carry": """
-        SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN left(text, 20) END IGNORE NULLS)
+        SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN text END IGNORE NULLS)
                OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS section FROM conversations""",
     "commit_body_cap": f"""
         WITH {COMMITS} SELECT output_id, line_no AS o1, line, dropped FROM view""",

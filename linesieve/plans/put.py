@@ -46,7 +46,7 @@ def with_final_ids(results: DataFrame, ids: DataFrame, min_savings: str = "min_s
         F.when(lost, F.col("raw_lines")).otherwise(F.col("compact_lines")).alias("compact_lines"),
         F.when(lost, F.col("raw_tokens_est")).otherwise(F.col("compact_tokens_est")).alias("compact_tokens_est"),
         F.when(lost, False).otherwise(F.col("transformed")).alias("transformed"),
-        F.when(lost, "collision-expanded recovery ID removed net savings").otherwise(F.col("fallback_reason"))
+        F.when(lost, "the longer id takes up what the view saves").otherwise(F.col("fallback_reason"))
         .alias("fallback_reason"),
     )
 

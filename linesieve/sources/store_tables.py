@@ -14,6 +14,12 @@ RUN = [
 ]
 
 
+SCHEMA = (
+    "id string, sha256 string, created_at timestamp, command array<string>, cwd string, exit_code int, kind string, encoding string, "
+    "payload binary, raw_bytes long, raw_lines long, run_date date"
+)
+
+
 def write_artifacts(artifacts: DataFrame, path: str, mode: str = "append") -> None:
     """Exact originals and their facts, cut by day, compressed by the file format."""
     dated = artifacts.select(*ARTIFACT, F.to_date("created_at").alias("run_date"))
@@ -30,8 +36,11 @@ def append_runs(runs: DataFrame, path: str) -> None:
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
-    """The newest row of each artifact: a put of known bytes appends a row that refreshes the earlier one."""
-    return latest(spark.read.parquet(path), "id", ["created_at"])
+    """The newest row of each artifact: a put of known bytes appends a row that refreshes the earlier one.
+
+    A store without any artifact has no files yet and reads as no rows.
+    """
+    return latest(spark.read.schema(SCHEMA).parquet(path), "id", ["created_at"])
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:

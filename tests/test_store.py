@@ -105,7 +105,7 @@ def test_longer_id_can_undo_a_view(spark):
     assert bytes(got["keep"].output) == b"[view id00123456789]\nshort\n" and got["keep"].artifact_id == "id00123456789"
     assert got["keep"].compact_bytes == len(bytes(got["keep"].output))
     assert not got["undo"].transformed and bytes(got["undo"].output) == (raw + "y").encode() and got["undo"].artifact_id is None
-    assert got["undo"].fallback_reason == "collision-expanded recovery ID removed net savings"
+    assert got["undo"].fallback_reason == "the longer id takes up what the view saves"
 
 
 def test_expiry_and_purge(spark):
