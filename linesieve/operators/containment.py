@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from linesieve.functions.text import content_digest, let
 from linesieve.operators.lines import ID, LINE
+from linesieve.sources.staging import stage
 
 
 #: (least length, characters of a gram, grams of a window): a needed line belongs to the first class that it is long enough
@@ -53,13 +54,13 @@ def _class_of(line: Column) -> Column:
     return out
 
 
-def with_keys(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Adds ``_key``: the minimizers of the line for the windows of its ``_class``, one a row; with ``limit`` the least ones."""
+def line_keys(limit: int | None = None) -> Column:
+    """The minimizers of the line for the windows of its ``_class``; with ``limit`` the least ones."""
     pick = lambda at: F.element_at(F.array(*[F.lit(c[at]) for c in CLASSES]), F.col("_class") + 1)
     gram, window = pick(1), pick(2)
     pieces = F.transform(_pieces(F.col(LINE), gram + window - 2), lambda x: minimizers(x, gram, window))
-    keys = F.array_distinct(F.flatten(pieces))
-    return df.withColumn("_key", F.explode(keys if limit is None else F.slice(F.array_sort(keys), 1, limit)))
+    keys = F.transform(F.array_distinct(F.flatten(pieces)), lambda k: F.xxhash64(k, F.col("_class")))
+    return keys if limit is None else F.slice(F.array_sort(keys), 1, limit)
 
 
 def lines_holding(parts: DataFrame, lines: DataFrame) -> DataFrame:
@@ -68,26 +69,31 @@ def lines_holding(parts: DataFrame, lines: DataFrame) -> DataFrame:
     Lines are indexed by minimizers: of every window of neighbouring grams the one with the least hash, about one in
     sixteen characters of a long line. A line that holds a part holds the part's windows, so it has all of the part's
     minimizers; the part meets only the lines with its rarest one, by equality of output and key. An output with very
-    many parts and lines spreads over all tasks. Every pair is then compared in full. Empty parts are in no line.
+    many parts and lines spreads over all tasks. Every pair is then compared in full. An empty part is in every line.
     """
     asked = parts.where(F.col(LINE) != "").select(ID, F.col(LINE)).distinct().withColumns(
         {"_class": _class_of(F.col(LINE)), "_asked": F.xxhash64(LINE)}
     )
     texts = lines.select(ID, LINE).distinct().join(asked.select(ID, "_class").distinct(), ID)
-    held = with_keys(texts).select(ID, "_class", "_key", F.xxhash64(LINE).alias("_text"))
-    often = held.groupBy(ID, "_class", "_key").agg(F.count(F.lit(1)).alias("_n"))
-    found = F.coalesce("_n", F.lit(0))
+    # Three branches read each side, so both are written once; what is written is far less than what they are made of.
+    held = stage(texts.select(ID, F.xxhash64(LINE).alias("_text"), F.explode(line_keys()).alias("_key")), "held-keys")
+    often = held.groupBy(ID, "_key").agg(F.count(F.lit(1)).alias("_n"))
+    offered = asked.select(ID, "_asked", line_keys(KEYS).alias("_keys"))
+    offered = offered.select(ID, "_asked", F.size("_keys").alias("_of"), F.explode("_keys").alias("_key"))
+    # A part that lacks one of its keys is in no line; only keys that some line holds go on.
     rarest = (
-        with_keys(asked, KEYS).select(ID, "_class", "_key", "_asked").join(often, [ID, "_class", "_key"], "left")
-        .groupBy(ID, "_class", "_asked").agg(F.min_by("_key", found).alias("_key"), F.min(found).alias("_n"))
-        .where(F.col("_n") > 0)
+        offered.join(often, [ID, "_key"])
+        .groupBy(ID, "_asked").agg(F.min_by("_key", "_n").alias("_key"), F.count(F.lit(1)).alias("_met"), F.max("_of").alias("_of"))
+        .where(F.col("_met") == F.col("_of"))
     )
-    pairs = rarest.join(held, [ID, "_class", "_key"]).select(ID, "_asked", "_text").distinct()
+    pairs = rarest.join(held, [ID, "_key"]).select(ID, "_asked", "_text").distinct()
     named = pairs.join(asked.select(ID, "_asked", F.col(LINE).alias("_part")), [ID, "_asked"]).drop("_asked")
-    return (
+    found = (
         lines.withColumn("_text", F.xxhash64(LINE)).join(named, [ID, "_text"])
         .where(F.contains(F.col(LINE), F.col("_part"))).drop("_text")
     )
+    empty = parts.where(F.col(LINE) == "").select(ID, F.col(LINE).alias("_part")).distinct()
+    return found.unionByName(lines.join(empty, ID).where(F.col(LINE).isNotNull()))
 
 
 def missing_lines(needed: DataFrame, view_lines: DataFrame) -> DataFrame:
@@ -97,7 +103,7 @@ def missing_lines(needed: DataFrame, view_lines: DataFrame) -> DataFrame:
     """
     wanted = needed.select(ID, LINE).distinct()
     shown = view_lines.where(F.col(LINE).isNotNull()).select(ID, LINE)
-    left = wanted.join(shown, [ID, LINE], "left_anti")
+    left = stage(wanted.join(shown, [ID, LINE], "left_anti"), "not-whole")
     hits = lines_holding(left, shown).select(ID, F.col("_part").alias(LINE))
     return left.join(hits, [ID, LINE], "left_anti")
 
