@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import random
 import zlib
 
@@ -453,8 +454,44 @@ def test_quantisation_bound_holds():
     x /= np.linalg.norm(x, axis=1)[:, None]
     q = embedding_dedup.quantise(x)
     for threshold in (0.1, 0.3):
-        found = {(i, j) for a, b in embedding_dedup.possible_pairs(q, q, threshold) for i, j in zip(a.tolist(), b.tolist())}
-        assert set(zip(*map(np.ndarray.tolist, np.nonzero(x @ x.T >= threshold)))) <= found
+        parts = list(embedding_dedup.possible_pairs(q, q, threshold))
+        found = {(i, j): c for a, b, certain in parts for i, j, c in zip(a.tolist(), b.tolist(), certain.tolist())}
+        true = set(zip(*map(np.ndarray.tolist, np.nonzero(x @ x.T >= threshold))))
+        assert true <= set(found) and {pair for pair, certain in found.items() if certain} <= true
+        open_pairs = [pair for pair, certain in found.items() if not certain]
+        assert 0 < len(open_pairs) < len(true) / 2
+
+
+def test_embeddings_near_the_threshold(spark, monkeypatch):
+    """Pairs that int8 codes leave open, of two lengths and with a shared id, beside pairs that they make certain."""
+    monkeypatch.setattr(embedding_dedup, "TILE_ROWS", 8)
+    rng = np.random.default_rng(5)
+    rows = []
+    for dims in (12, 1100):
+        base = rng.normal(size=dims)
+        base /= np.linalg.norm(base)
+        for cosine in [0.9 + (k + 0.5) * 1e-4 for k in range(-12, 12)] + [0.5, 0.99, 0.999]:
+            side = rng.normal(size=dims)
+            side -= (side @ base) * base
+            side /= np.linalg.norm(side)
+            rows.append((len(rows), [float(x) for x in 3 * (cosine * base + math.sqrt(1 - cosine ** 2) * side)]))
+        rows.append((len(rows), [float(x) for x in base]))
+    rows.append((rows[0][0], rows[3][1]))
+    out = embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    x = [np.array(v) / np.linalg.norm(v) for _, v in rows]
+    links, parent = [0] * len(rows), {i: i for i, _ in rows}
+    for a in range(len(rows)):
+        for b in range(len(rows)):
+            if a != b and len(x[a]) == len(x[b]) and x[a] @ x[b] >= 0.9:
+                links[a] += 1
+                old, new = sorted((parent[rows[a][0]], parent[rows[b][0]]), reverse=True)
+                parent = {i: new if c == old else c for i, c in parent.items()}
+    # Row 0's id is on two vectors, and row 3's vector is on two ids, whose smaller one stands for both.
+    got = {r.vec_id: (r.n_links, r.component_id) for r in out.collect() if r.vec_id not in (0, 3)}
+    assert got == {i: (links[k], parent[i]) for k, (i, _) in enumerate(rows) if i not in (0, 3)}
+    q = embedding_dedup.quantise(np.array([v for v in x if len(v) == 12]))
+    certain = np.concatenate([c for _, _, c in embedding_dedup.possible_pairs(q, q, 0.9)])
+    assert certain.any() and not certain.all()
 
 
 # chat text
