@@ -2,113 +2,196 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from linesieve.functions.text import content_digest, let
+from linesieve.functions.text import content_digest
 from linesieve.operators.lines import ID, LINE
+from linesieve.sources.staging import stage
 
 
-#: (least length, characters of a gram, grams of a window): a needed line belongs to the first class that it is long enough
-#: for, so that it holds a whole window. A window needs gram + window - 1 characters; both are powers of two.
-CLASSES = [(47, 16, 32), (23, 8, 16), (11, 4, 8), (5, 2, 4), (2, 2, 1), (1, 1, 1)]
-PIECE = 4096  # characters of a line worked on at a time
+#: (least length, bytes of a gram, grams of a window): a needed line belongs to the first class that it is long enough for,
+#: so that it holds a whole window. A window needs gram + window - 1 bytes; both are powers of two.
+CLASSES = [
+    (383, 128, 256), (191, 64, 128), (95, 32, 64), (47, 16, 32), (23, 8, 16), (11, 4, 8), (5, 2, 4), (2, 2, 1), (1, 1, 1),
+]
+PIECE = 1 << 20  # bytes of text whose windows are hashed at a time
 KEYS = 16  # windows of a needed line among which the rarest is chosen
 
 
-def _pieces(line: Column, overlap: Column) -> Column:
-    """The line in pieces that share ``overlap`` characters with the next one; short lines are one piece."""
-    cut = F.regexp_extract_all(line, F.lit("(?s)(.{1,%d})" % PIECE), F.lit(1))
-    joined = let(cut, lambda parts: F.transform(
-        parts, lambda x, i: F.concat(x, F.coalesce(F.left(F.get(parts, i + 1), overlap), F.lit("")))
-    ))
-    return F.when(F.length(line) <= PIECE, F.array(line)).otherwise(joined)
-
-
-def _doubled(values: Column, width: Column, combine) -> Column:
-    """Combines runs of ``width`` neighbours, a power of two, by combining runs of 1, 2, 4, .. neighbours."""
-    for k in (1, 2, 4, 8, 16):
-        values = let(values, lambda v, k=k: F.when(
-            width > k, F.zip_with(v, F.slice(v, k + 1, F.size(v)), combine)
-        ).otherwise(v))
-    return values
-
+def _minimizer_batches(classes: list[tuple[int, int, int]], piece: int, limit: int | None):
+    """Arrow batches with ``_bytes`` and ``_class`` to one row per line and minimizer, ``_key`` in place of ``_bytes``.
 
-def minimizers(text: Column, gram: Column, window: Column) -> Column:
-    """The least gram hash of every window of the text, each once; a text without a whole window has none.
-
-    A text that stands inside another one has its windows there too, so it shares each of these with it.
+    All of it is nested, so that Spark ships it with the task and executors need not have this package.
     """
-    codes = F.transform(F.split(text, ""), lambda c: F.xxhash64(c, gram))
-    grams = _doubled(codes, gram, lambda a, b: F.xxhash64(a, b))
-    whole = let(grams, lambda g: F.slice(g, 1, F.greatest(F.lit(0), F.length(text) - gram + 1)))
-    least = _doubled(whole, window, lambda a, b: F.least(a, b))
-    return let(least, lambda m: F.array_distinct(F.slice(m, 1, F.greatest(F.lit(0), F.length(text) - gram - window + 2))))
+
+    def doubled(values: np.ndarray, width: int, combine) -> np.ndarray:
+        k = 1
+        while k < width:
+            values = combine(values[:-k], values[k:])
+            k *= 2
+        return values
+
+    def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        h = a * np.uint64(0x9E3779B97F4A7C15) + b
+        h ^= h >> np.uint64(29)
+        return h * np.uint64(0xBF58476D1CE4E5B9)
+
+    def pieces(first: np.ndarray, windows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Line, place of the first window and number of windows of pieces, some at a time; long lines are several pieces."""
+        parts = -(-windows // piece)
+        line = np.repeat(np.arange(len(first)), parts)
+        skip = (np.arange(len(line)) - np.repeat(np.cumsum(parts) - parts, parts)) * piece
+        n = np.minimum(windows[line] - skip, piece)
+        group = np.cumsum(n) // piece
+        for some in np.split(np.arange(len(line)), np.flatnonzero(np.diff(group)) + 1):
+            yield line[some], first[line[some]] + skip[some], n[some]
+
+    def keys(data: np.ndarray, first: np.ndarray, length: np.ndarray, least: int, gram: int, window: int):
+        for line, start, n in pieces(first, length - least + 1) if len(first) else ():
+            size = n + least - 1
+            ends = np.cumsum(size)
+            at = np.arange(ends[-1]) - np.repeat(ends - size, size)
+            codes = mixed(data[at + np.repeat(start, size)].astype(np.uint64), np.uint64(gram))
+            low = doubled(doubled(codes, gram, mixed), window, np.minimum)
+            new = np.ones(len(low), bool)
+            new[1:] = low[1:] != low[:-1]
+            at, line = at[:len(low)], np.repeat(line, size)[:len(low)]
+            take = (at < np.repeat(n, size)[:len(low)]) & (new | (at == 0))
+            yield line[take], low[take]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index("_bytes")).cast(pa.large_binary())
+            _, ends, data = column.buffers()
+            ends = np.frombuffer(ends, np.int64)[column.offset:column.offset + len(column) + 1]
+            data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+            kinds = batch.column(batch.schema.get_field_index("_class")).to_numpy(zero_copy_only=False)
+            line, key = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for k, (least, gram, window) in enumerate(classes):
+                rows = np.flatnonzero((kinds == k) & (np.diff(ends) >= least))
+                for at, low in keys(data, ends[rows], np.diff(ends)[rows], least, gram, window):
+                    line.append(rows[at])
+                    key.append(low)
+            line, key = np.concatenate(line), np.concatenate(key)
+            order = np.lexsort((key, line))
+            line, key = line[order], key[order]
+            once = np.ones(len(line), bool)
+            once[1:] = (line[1:] != line[:-1]) | (key[1:] != key[:-1])
+            line, key = line[once], key[once]
+            if limit is not None:
+                rank = np.arange(len(line)) - np.searchsorted(line, line)
+                line, key = line[rank < limit], key[rank < limit]
+            out = batch.drop_columns(["_bytes"]).take(pa.array(line))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(key.view(np.int64))], names=[*out.schema.names, "_key"])
+
+    return run
 
 
 def _class_of(line: Column) -> Column:
     out = F.lit(None).cast("int")
     for k, (least, _, _) in reversed(list(enumerate(CLASSES))):
-        out = F.when(F.length(line) >= least, k).otherwise(out)
+        out = F.when(F.octet_length(line) >= least, k).otherwise(out)
     return out
 
 
-def with_keys(df: DataFrame, limit: int | None = None) -> DataFrame:
-    """Adds ``_key``: the minimizers of the line for the windows of its ``_class``, one a row; with ``limit`` the least ones."""
-    pick = lambda at: F.element_at(F.array(*[F.lit(c[at]) for c in CLASSES]), F.col("_class") + 1)
-    gram, window = pick(1), pick(2)
-    pieces = F.transform(_pieces(F.col(LINE), gram + window - 2), lambda x: minimizers(x, gram, window))
-    keys = F.array_distinct(F.flatten(pieces))
-    return df.withColumn("_key", F.explode(keys if limit is None else F.slice(F.array_sort(keys), 1, limit)))
+def with_keys(df: DataFrame, keep: list[str], limit: int | None = None) -> DataFrame:
+    """``keep``, ``_class`` and ``_key``: the minimizers of the line for the windows of its ``_class``, one a row; with
+    ``limit`` the least ones.
 
+    Of every window of neighbouring grams the gram with the least hash is a minimizer. A text that stands inside another
+    one has its windows there too, so it shares each of its minimizers with it; a text without a whole window has none.
+    """
+    kept = df.select(*keep, "_class")
+    schema = T.StructType([*kept.schema.fields, T.StructField("_key", T.LongType())])
+    run = _minimizer_batches(CLASSES, PIECE, limit)
+    return df.select(*keep, "_class", F.col(LINE).cast("binary").alias("_bytes")).where("_bytes is not null").mapInArrow(run, schema)
 
-def lines_holding(parts: DataFrame, lines: DataFrame) -> DataFrame:
-    """Rows of ``lines`` with ``_part``: each text of ``parts`` that occurs in them, within one output.
 
-    Lines are indexed by minimizers: of every window of neighbouring grams the one with the least hash, about one in
-    sixteen characters of a long line. A line that holds a part holds the part's windows, so it has all of the part's
-    minimizers; the part meets only the lines with its rarest one, by equality of output and key. An output with very
-    many parts and lines spreads over all tasks. Every pair is then compared in full. An empty part is in every line.
-    """
-    asked = parts.where(F.col(LINE) != "").select(ID, F.col(LINE)).distinct().withColumns(
-        {"_class": _class_of(F.col(LINE)), "_asked": F.xxhash64(LINE)}
-    )
-    texts = lines.select(ID, LINE).distinct().join(asked.select(ID, "_class").distinct(), ID)
-    held = with_keys(texts).select(ID, "_class", "_key", F.xxhash64(LINE).alias("_text"))
+def _classed(parts: DataFrame) -> DataFrame:
+    return parts.where(F.col(LINE) != "").select(ID, F.col(LINE)).withColumn("_class", _class_of(F.col(LINE)))
+
+
+def _index(asked: DataFrame, lines: DataFrame) -> DataFrame:
+    """Minimizers of ``lines`` for the classes that their output asks for: output, class, key, hash of the text."""
+    texts = lines.select(ID, LINE, F.xxhash64(LINE).alias("_text")).join(asked.select(ID, "_class").distinct(), ID)
+    return stage(with_keys(texts, [ID, "_text"]).distinct(), "line-keys")
+
+
+def _possible(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """Asked texts, each once, whose least minimizer occurs in a line of the output; no other one can stand in a line."""
+    first = with_keys(asked, [ID, LINE], 1)
+    return first.join(held, [ID, "_class", "_key"], "left_semi").select(ID, LINE, "_class").distinct()
+
+
+def _holding(asked: DataFrame, held: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows of ``lines`` with ``_part``, compared in full where the rarest minimizer of an asked text occurs."""
+    asked = stage(asked.withColumn("_asked", F.xxhash64(LINE)), "asked-lines")
     often = held.groupBy(ID, "_class", "_key").agg(F.count(F.lit(1)).alias("_n"))
     found = F.coalesce("_n", F.lit(0))
     rarest = (
-        with_keys(asked, KEYS).select(ID, "_class", "_key", "_asked").join(often, [ID, "_class", "_key"], "left")
+        with_keys(asked, [ID, "_asked"], KEYS).join(often, [ID, "_class", "_key"], "left")
         .groupBy(ID, "_class", "_asked").agg(F.min_by("_key", found).alias("_key"), F.min(found).alias("_n"))
         .where(F.col("_n") > 0)
     )
     pairs = rarest.join(held, [ID, "_class", "_key"]).select(ID, "_asked", "_text").distinct()
     named = pairs.join(asked.select(ID, "_asked", F.col(LINE).alias("_part")), [ID, "_asked"]).drop("_asked")
-    found = (
+    return (
         lines.withColumn("_text", F.xxhash64(LINE)).join(named, [ID, "_text"])
         .where(F.contains(F.col(LINE), F.col("_part"))).drop("_text")
     )
+
+
+def lines_holding(parts: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows of ``lines`` with ``_part``: each text of ``parts`` that occurs in them, within one output.
+
+    Lines are indexed by minimizers, one in 8 bytes of a short line's windows to one in 128 of a long one's. A line that
+    holds a part has all of the part's minimizers: parts whose least one occurs nowhere go first, and the others meet only
+    the lines with their rarest one, by equality of output and key. An output with very many parts and lines spreads over
+    all tasks. Every pair is then compared in full. An empty part is in every line.
+    """
+    asked = _classed(parts)
+    held = _index(asked, lines)
+    found = _holding(_possible(asked, held), held, lines)
     empty = parts.where(F.col(LINE) == "").select(ID, F.col(LINE).alias("_part")).distinct()
     return found.unionByName(lines.join(empty, ID).where(F.col(LINE).isNotNull()))
 
 
-def missing_lines(needed: DataFrame, view_lines: DataFrame) -> DataFrame:
-    """Needed lines that are part of no view line of the same output.
+def _inside(needed: DataFrame, shown: DataFrame) -> DataFrame:
+    """Needed lines, each once, that stand inside a shown line but are none themselves."""
+    asked = _classed(needed)
+    held = _index(asked, shown)
+    found = _holding(_possible(asked, held).join(shown, [ID, LINE], "left_anti"), held, shown).select(ID, F.col("_part").alias(LINE))
+    empty = needed.where(F.col(LINE) == "").select(ID, LINE).join(shown, ID, "left_semi")
+    return found.unionByName(empty).distinct()
 
-    Equal lines are ruled out first by a join on the line itself; what is left is looked for inside lines.
-    """
-    wanted = needed.select(ID, LINE).distinct()
+
+def missing_lines(needed: DataFrame, view_lines: DataFrame) -> DataFrame:
+    """Needed lines, each once, that are part of no view line of the same output."""
     shown = view_lines.where(F.col(LINE).isNotNull()).select(ID, LINE)
-    left = wanted.join(shown, [ID, LINE], "left_anti")
-    hits = lines_holding(left, shown).select(ID, F.col("_part").alias(LINE))
-    return left.join(hits, [ID, LINE], "left_anti")
+    left = needed.select(ID, LINE).distinct().join(shown, [ID, LINE], "left_anti")
+    return left.join(_inside(needed, shown), [ID, LINE], "left_anti")
 
 
 def containment_check(needed: DataFrame, view_lines: DataFrame) -> DataFrame:
-    """Per output: number of needed lines, number missing, passed."""
-    total = needed.select(ID, LINE).distinct().groupBy(ID).agg(F.count(F.lit(1)).alias("needed"))
-    missing = missing_lines(needed, view_lines).groupBy(ID).agg(F.count(F.lit(1)).alias("missing"))
-    joined = total.join(missing, ID, "left").withColumn("missing", F.coalesce("missing", F.lit(0).cast("long")))
+    """Per output: number of needed lines, number missing, passed.
+
+    Lines are counted by 128 bits of hashes, so that texts travel only where a needed line may stand inside another one.
+    """
+    shown = view_lines.where(F.col(LINE).isNotNull()).select(ID, LINE)
+    names = ["_one", "_two"]
+    hashed = lambda df: df.select(
+        ID, F.xxhash64(LINE).alias(names[0]), F.xxhash64(F.lit(1), LINE).alias(names[1])
+    ).distinct()
+    met = hashed(shown).unionByName(hashed(_inside(needed, shown))).distinct().withColumn("_met", F.lit(1))
+    joined = hashed(needed.where(F.col(LINE).isNotNull())).join(met, [ID, *names], "left").groupBy(ID).agg(
+        F.count(F.lit(1)).alias("needed"), F.count_if(F.col("_met").isNull()).alias("missing")
+    )
     return joined.withColumn("passed", F.col("missing") == 0)
 
 

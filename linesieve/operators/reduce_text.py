@@ -15,6 +15,7 @@ from linesieve.functions.predicates import (
 )
 from linesieve.functions.text import compact_template, strip
 from linesieve.operators.chunks import ALL, BLOCK, carry, numbered, with_chunk
+from linesieve.operators.containment import lines_holding
 from linesieve.operators.lines import (
     ID, LINE, N, NO, VIEW, anchor_rows, collapse_consecutive_duplicates, collapse_progress, emit, expand_windows,
     extract_critical_lines, marker, render_windows, view_row,
@@ -64,16 +65,12 @@ def window_generic(rows: DataFrame, lines: DataFrame, size: int = BLOCK) -> Data
     )
     as_lines = long.select(ID, F.col("pos").alias(NO), F.col("n_view").alias(N), LINE)
     # A decisive line hits by its own text. Another line can only hold one whose match lies at its edge,
-    # so those few texts (each a line of this output) are looked up, and only for the remaining lines.
-    edge = (
-        extract_critical_lines(lines.select(ID, NO, LINE)).where(needs_edge(LINE) & (F.col(LINE) != ""))
-        .groupBy(ID).agg(F.collect_list(LINE).alias("_edge"))
-    )
+    # so those few texts (each a line of this output) are looked up in the remaining lines, by a join.
+    edge = extract_critical_lines(lines.select(ID, NO, LINE)).where(needs_edge(LINE) & (F.col(LINE) != ""))
     at_border = (F.col(NO) < P.GENERIC_HEAD) | (F.col(NO) >= F.col(N) - P.GENERIC_TAIL)
     direct = at_border | is_critical_line(LINE)
-    holds = F.exists("_edge", lambda part: F.contains(F.col(LINE), part))
-    nested = as_lines.where(~direct).join(edge, ID).where(holds)
-    hits = as_lines.where(direct).select(ID, NO, N).unionByName(nested.select(ID, NO, N))
+    nested = lines_holding(edge.select(ID, LINE), as_lines.where(~direct)).select(ID, NO, N).distinct()
+    hits = as_lines.where(direct).select(ID, NO, N).unionByName(nested)
     view = render_windows(as_lines, expand_windows(hits, P.GENERIC_RADIUS), size).select(*VIEW)
     return short.unionByName(counts).unionByName(view)
 

@@ -2,19 +2,47 @@
 
 import random
 
-from linesieve.operators.containment import PIECE
+import pytest
+
+from linesieve.operators import containment
+from linesieve.operators.containment import containment_check, lines_holding, missing_lines
 from linesieve.plans import catalogue
 
 
+@pytest.mark.parametrize("piece", [7, 1 << 20])
+def test_lines_inside_lines(spark, monkeypatch, piece):
+    """Parts of every class, of one byte to thousands, in lines that are cut into tiny pieces and in whole ones."""
+    monkeypatch.setattr(containment, "PIECE", piece)
+    rng = random.Random(6)
+    alphabet = "aé🙂 b"
+    text = lambda n: "".join(rng.choice(alphabet) for _ in range(n))
+    lines = [(k % 3, k, text(rng.choice([0, 1, 2, 6, 20, 60, 300, 2000]))) for k in range(90)]
+    parts = [(9, "a"), (1, "")]
+    for i, _, line in lines:
+        at, size = rng.randint(0, len(line)), rng.choice([1, 2, 4, 9, 17, 33, 70, 130, 400])
+        parts += [(i, line[at:at + size]), ((i + 1) % 3, line[at:at + size]), (i, line), (i, line[:-1] + "c")]
+    need = spark.createDataFrame(parts, "output_id int, line string")
+    view = spark.createDataFrame([*lines, (1, 400, None)], "output_id int, line_no int, line string")
+    got = [(r.output_id, r.line_no, r._part) for r in lines_holding(need, view).collect()]
+    want = {(i, n, part) for i, n, line in lines for j, part in parts if i == j and part in line}
+    assert len(got) == len(set(got)) and set(got) == want
+    met = {(i, part) for i, _, part in want}
+    assert {(r.output_id, r.line) for r in missing_lines(need, view).collect()} == set(parts) - met
+    checked = {r.output_id: (r.needed, r.missing, r.passed) for r in containment_check(need, view).collect()}
+    for i in (0, 1, 2, 9):
+        mine = {p for p in parts if p[0] == i}
+        assert checked[i] == (len(mine), len(mine - met), mine <= met)
+
+
 def test_needed_lines_are_whole(spark, tmp_path):
     rng = random.Random(4)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
-    long = [" ".join(word() for _ in range(PIECE // 2)) for _ in range(2)]
+    long = [" ".join(word() for _ in range(4096 // 2)) for _ in range(2)]
     texts = [
         long[0] + "\nno number",                   # first line shown whole, second one without its last character
         "start\n" + long[1] + "\nend",             # only the last character of a long line is missing
         "\n".join(f"line {k:02d}" for k in range(10)),
-        "a\n\nb" + "\n" * 3, "x" * (PIECE + 15), "", None,
+        "a\n\nb" + "\n" * 3, "x" * (4096 + 15), "", None,
     ]
     rows = list(enumerate(texts))
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
