@@ -18,8 +18,11 @@ from linesieve.sources.staging import stage
 #: (least length, bytes of a gram, grams of a window): a needed line belongs to the first class that it is long enough for,
 #: so that it holds a whole window. A window needs gram + window - 1 bytes; both are powers of two.
 CLASSES = [
-    (383, 128, 256), (191, 64, 128), (95, 32, 64), (47, 16, 32), (23, 8, 16), (11, 4, 8), (5, 2, 4), (2, 2, 1), (1, 1, 1),
+    (271, 16, 256), (143, 16, 128), (79, 16, 64), (47, 16, 32), (23, 8, 16), (11, 4, 8), (5, 2, 4), (2, 2, 1), (1, 1, 1),
 ]
+#: The classes up to this one have grams of one length. The least gram of a window is also the least one of each smaller window
+#: around it, so the minimizers of the class with the smallest windows hold those of the others.
+NESTED = 3
 PIECE = 1 << 20  # bytes of text whose windows are hashed at a time
 KEYS = 16  # windows of a needed line among which the rarest is chosen
 
@@ -117,29 +120,36 @@ def _classed(parts: DataFrame) -> DataFrame:
     return parts.where(F.col(LINE) != "").select(ID, F.col(LINE)).withColumn("_class", _class_of(F.col(LINE)))
 
 
+def _met_by(df: DataFrame, *keep: str) -> DataFrame:
+    """``keep`` and ``_place``, a hash of output, kind of gram and minimizer; equal hashes only propose what is then compared."""
+    return df.select(*keep, F.xxhash64(ID, F.greatest("_class", F.lit(NESTED)), "_key").alias("_place"))
+
+
 def _index(asked: DataFrame, lines: DataFrame) -> DataFrame:
-    """Minimizers of ``lines`` for the classes that their output asks for: output, class, key, hash of the text."""
-    texts = lines.select(ID, LINE, F.xxhash64(LINE).alias("_text")).join(asked.select(ID, "_class").distinct(), ID)
-    return stage(with_keys(texts, [ID, "_text"]).distinct(), "line-keys")
+    """Where the minimizers of ``lines`` are, for the classes that their output asks for: place and hash of the text."""
+    kinds = asked.groupBy(ID, F.greatest("_class", F.lit(NESTED)).alias("_kind")).agg(F.max("_class").alias("_class")).drop("_kind")
+    texts = lines.select(ID, LINE, F.xxhash64(LINE).alias("_text")).join(kinds, ID)
+    # Dealt by place once: the counts and both joins need no further exchange of it.
+    return stage(_met_by(with_keys(texts, [ID, "_text"]), "_text"), "line-keys").repartition("_place").distinct()
 
 
 def _possible(asked: DataFrame, held: DataFrame) -> DataFrame:
     """Asked texts, each once, whose least minimizer occurs in a line of the output; no other one can stand in a line."""
-    first = with_keys(asked, [ID, LINE], 1)
-    return first.join(held, [ID, "_class", "_key"], "left_semi").select(ID, LINE, "_class").distinct()
+    first = _met_by(with_keys(asked, [ID, LINE], 1), ID, LINE, "_class")
+    return first.join(held, "_place", "left_semi").select(ID, LINE, "_class").distinct()
 
 
 def _holding(asked: DataFrame, held: DataFrame, lines: DataFrame) -> DataFrame:
     """Rows of ``lines`` with ``_part``, compared in full where the rarest minimizer of an asked text occurs."""
     asked = stage(asked.withColumn("_asked", F.xxhash64(LINE)), "asked-lines")
-    often = held.groupBy(ID, "_class", "_key").agg(F.count(F.lit(1)).alias("_n"))
+    often = held.groupBy("_place").agg(F.count(F.lit(1)).alias("_n"))
     found = F.coalesce("_n", F.lit(0))
     rarest = (
-        with_keys(asked, [ID, "_asked"], KEYS).join(often, [ID, "_class", "_key"], "left")
-        .groupBy(ID, "_class", "_asked").agg(F.min_by("_key", found).alias("_key"), F.min(found).alias("_n"))
+        _met_by(with_keys(asked, [ID, "_asked"], KEYS), ID, "_asked").join(often, "_place", "left")
+        .groupBy(ID, "_asked").agg(F.min_by("_place", found).alias("_place"), F.min(found).alias("_n"))
         .where(F.col("_n") > 0)
     )
-    pairs = rarest.join(held, [ID, "_class", "_key"]).select(ID, "_asked", "_text").distinct()
+    pairs = rarest.join(held, "_place").select(ID, "_asked", "_text").distinct()
     named = pairs.join(asked.select(ID, "_asked", F.col(LINE).alias("_part")), [ID, "_asked"]).drop("_asked")
     return (
         lines.withColumn("_text", F.xxhash64(LINE)).join(named, [ID, "_text"])
@@ -150,8 +160,8 @@ def _holding(asked: DataFrame, held: DataFrame, lines: DataFrame) -> DataFrame:
 def lines_holding(parts: DataFrame, lines: DataFrame) -> DataFrame:
     """Rows of ``lines`` with ``_part``: each text of ``parts`` that occurs in them, within one output.
 
-    Lines are indexed by minimizers, one in 8 bytes of a short line's windows to one in 128 of a long one's. A line that
-    holds a part has all of the part's minimizers: parts whose least one occurs nowhere go first, and the others meet only
+    Lines are indexed by minimizers, one in 8 bytes where a part of 23 bytes is asked for, one in 128 where all parts are
+    long. A line that holds a part has all of the part's minimizers: parts whose least one occurs nowhere go first, and the others meet only
     the lines with their rarest one, by equality of output and key. An output with very many parts and lines spreads over
     all tasks. Every pair is then compared in full. An empty part is in every line.
     """
