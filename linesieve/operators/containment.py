@@ -24,6 +24,7 @@ CLASSES = [
 #: around it, so the minimizers of the class with the smallest windows hold those of the others.
 NESTED = 3
 PIECE = 1 << 20  # bytes of text whose windows are hashed at a time
+HASHES = ["_one", "_two"]
 KEYS = 16  # windows of a needed line among which the rarest is chosen
 
 
@@ -172,11 +173,18 @@ def lines_holding(parts: DataFrame, lines: DataFrame) -> DataFrame:
     return found.unionByName(lines.join(empty, ID).where(F.col(LINE).isNotNull()))
 
 
+def _hashed(df: DataFrame, *keep: str) -> DataFrame:
+    """128 bits of hashes in place of the line, next to ``keep``."""
+    return df.select(ID, F.xxhash64(LINE).alias(HASHES[0]), F.xxhash64(F.lit(1), LINE).alias(HASHES[1]), *keep)
+
+
 def _inside(needed: DataFrame, shown: DataFrame) -> DataFrame:
     """Needed lines, each once, that stand inside a shown line but are none themselves."""
     asked = _classed(needed)
     held = _index(asked, shown)
-    found = _holding(_possible(asked, held).join(shown, [ID, LINE], "left_anti"), held, shown).select(ID, F.col("_part").alias(LINE))
+    # Equal lines are told by hashes, so that the shown texts stay where they are.
+    left = _hashed(_possible(asked, held), LINE, "_class").join(_hashed(shown), [ID, *HASHES], "left_anti").select(ID, LINE, "_class")
+    found = _holding(left, held, shown).select(ID, F.col("_part").alias(LINE))
     empty = needed.where(F.col(LINE) == "").select(ID, LINE).join(shown, ID, "left_semi")
     return found.unionByName(empty).distinct()
 
@@ -194,12 +202,8 @@ def containment_check(needed: DataFrame, view_lines: DataFrame) -> DataFrame:
     Lines are counted by 128 bits of hashes, so that texts travel only where a needed line may stand inside another one.
     """
     shown = view_lines.where(F.col(LINE).isNotNull()).select(ID, LINE)
-    names = ["_one", "_two"]
-    hashed = lambda df: df.select(
-        ID, F.xxhash64(LINE).alias(names[0]), F.xxhash64(F.lit(1), LINE).alias(names[1])
-    ).distinct()
-    met = hashed(shown).unionByName(hashed(_inside(needed, shown))).distinct().withColumn("_met", F.lit(1))
-    joined = hashed(needed.where(F.col(LINE).isNotNull())).join(met, [ID, *names], "left").groupBy(ID).agg(
+    met = _hashed(shown).unionByName(_hashed(_inside(needed, shown))).distinct().withColumn("_met", F.lit(1))
+    joined = _hashed(needed.where(F.col(LINE).isNotNull())).distinct().join(met, [ID, *HASHES], "left").groupBy(ID).agg(
         F.count(F.lit(1)).alias("needed"), F.count_if(F.col("_met").isNull()).alias("missing")
     )
     return joined.withColumn("passed", F.col("missing") == 0)
