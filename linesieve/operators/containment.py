@@ -192,8 +192,9 @@ def _inside(needed: DataFrame, shown: DataFrame) -> DataFrame:
 def missing_lines(needed: DataFrame, view_lines: DataFrame) -> DataFrame:
     """Needed lines, each once, that are part of no view line of the same output."""
     shown = view_lines.where(F.col(LINE).isNotNull()).select(ID, LINE)
-    left = needed.select(ID, LINE).distinct().join(shown, [ID, LINE], "left_anti")
-    return left.join(_inside(needed, shown), [ID, LINE], "left_anti")
+    # Most needed lines are view lines: only the others are looked for inside, in views of outputs that have such lines.
+    left = stage(needed.select(ID, LINE).distinct().join(shown, [ID, LINE], "left_anti"), "not-equal")
+    return left.join(_inside(left, shown), [ID, LINE], "left_anti")
 
 
 def containment_check(needed: DataFrame, view_lines: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from linesieve.functions import patterns as P
-from linesieve.functions.predicates import is_critical_line, is_error_match, is_test_warning, match_head, match_parts, severity_class
+from linesieve.functions.predicates import contains_secret, is_critical_line, is_error_match, is_test_warning, match_head, match_parts, severity_class
 from linesieve.functions.text import let, normalize_line, strip, token_parts, tokens_from_parts, view_header
 from linesieve.operators.chunks import numbered
 from linesieve.operators.containment import missing_lines
@@ -131,24 +131,37 @@ def compact_lines(
     line; the id is a digest of the digests of the original's parts; an original that needs no change but lacks or has
     its last line feed counts as changed.
 
-    Staged tables of outputs with a probable secret are encrypted, like those of all others in the same call.
+    Outputs with a probable secret are worked on apart, and only their staged tables are encrypted: each read of those
+    decrypts every line anew.
     """
-    with sealed_staging():
-        lines = stage(lines.select(ID, NO, N, LINE), "lines")
-        known = stage(_known(facts, lines, store_available, allow_secrets), "known")
-        parts = [tuple(r) for r in known.where("skip_reason is null").select("route", "profile").distinct().collect()]
-        if not parts:
-            return _skipped(known), lines.select(ID, F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("offset"), F.col(LINE).alias("text")).limit(0)
-        open_ = known.where("skip_reason is null")
-        work = lines.join(open_.select(ID, "route", "profile", "exit_code", "failed"), ID)
-        views, needed = _by_route(work, parts)
-        body, sizes = _body(views)
-        judged = _judge(open_, body, sizes, needed, lines, part_lines)
-        judged = stage(judged, "judged")
-        header = judged.where("transformed and header is not null").select(ID, F.lit(0).cast("long").alias("part"), F.concat("header", F.lit("\n")).alias("text"))
-        shown = body.join(judged.where("transformed").select(ID), ID, "left_semi")
-        texts = text_parts(shown, "pos", part_lines).withColumn("part", F.col("part") + 1)
-        return judged.drop("header").unionByName(_skipped(known)), with_offsets(header.unionByName(texts))
+    held = stage(lines.where(contains_secret(LINE)).select(ID).distinct(), "secret-outputs")
+    options = (store_available, allow_secrets, part_lines)
+    results, parts = _compacted(lines.join(held, ID, "left_anti"), facts.join(held, ID, "left_anti"), *options)
+    if not held.isEmpty():
+        with sealed_staging():
+            more, further = _compacted(lines.join(held, ID, "left_semi"), facts.join(held, ID, "left_semi"), *options)
+            results, parts = results.unionByName(more), parts.unionByName(further)
+    return results, parts
+
+
+def _compacted(
+    lines: DataFrame, facts: DataFrame, store_available: bool, allow_secrets: bool, part_lines: int
+) -> tuple[DataFrame, DataFrame]:
+    lines = stage(lines.select(ID, NO, N, LINE), "lines")
+    known = stage(_known(facts, lines, store_available, allow_secrets), "known")
+    parts = [tuple(r) for r in known.where("skip_reason is null").select("route", "profile").distinct().collect()]
+    if not parts:
+        return _skipped(known), lines.select(ID, F.lit(0).cast("long").alias("part"), F.lit(0).cast("long").alias("offset"), F.col(LINE).alias("text")).limit(0)
+    open_ = known.where("skip_reason is null")
+    work = lines.join(open_.select(ID, "route", "profile", "exit_code", "failed"), ID)
+    views, needed = _by_route(work, parts)
+    body, sizes = _body(views)
+    judged = _judge(open_, body, sizes, needed, lines, part_lines)
+    judged = stage(judged, "judged")
+    header = judged.where("transformed and header is not null").select(ID, F.lit(0).cast("long").alias("part"), F.concat("header", F.lit("\n")).alias("text"))
+    shown = body.join(judged.where("transformed").select(ID), ID, "left_semi")
+    texts = text_parts(shown, "pos", part_lines).withColumn("part", F.col("part") + 1)
+    return judged.drop("header").unionByName(_skipped(known)), with_offsets(header.unionByName(texts))
 
 
 def _known(facts: DataFrame, lines: DataFrame, store_available: bool, allow_secrets: bool) -> DataFrame:

@@ -11,8 +11,10 @@ from linesieve.operators.detect_lines import classify_lines, line_signs
 from linesieve.plans.compact import compact_corpus
 from linesieve.plans.evaluate import under_profiles
 from linesieve.plans.long_outputs import compact_lines
+from linesieve.sources import staging
 from linesieve.sources.captures import capture_sizes, read_capture_lines
 from linesieve.sources.outputs import explode_lines, with_output_defaults
+from linesieve.sources.staging import clear_staged
 
 
 @pytest.mark.parametrize("size", ["37b", "1000b", "128m"])
@@ -125,3 +127,22 @@ def test_views_in_parts_equal_views_in_cells(spark, outputs):
             text = bytes(cell.output).decode()
             want = text.replace(cell.artifact_id, mine.artifact_id, 1) if cell.artifact_id else text
             assert texts[name] == want, name
+
+
+def test_only_secrets_are_sealed_and_view_lines_are_not_looked_up(spark):
+    """Outputs without a secret are staged as they are; needed lines that are view lines need no index of the view."""
+    log = lambda mark: [f"INFO {mark} step" for _ in range(40)] + [f"ERROR {mark} broke", f"INFO {mark} end"]
+    texts = {"plain": log("openly"), "held": [*log("hidden"), "password=hunter2hunter2"]}
+    rows = [(i, n, len(ls), line) for i, ls in texts.items() for n, line in enumerate(ls)]
+    lines = spark.createDataFrame(rows, "output_id string, line_no long, n_lines long, line string")
+    sizes = spark.createDataFrame([(i, sum(len(x) + 1 for x in ls)) for i, ls in texts.items()], "output_id string, raw_bytes long")
+    clear_staged(spark)
+    results, _ = compact_lines(lines, with_output_defaults(sizes, min_bytes=0, min_lines=0, min_savings_ratio=0.0))
+    got = {r.output_id: r for r in results.collect()}
+    assert got["plain"].transformed and not got["held"].transformed
+    assert got["held"].fallback_reason == "probable secret: exact-recovery storage not permitted"
+    tables = [spark.read.parquet(p) for p in staging._written[spark.sparkContext.applicationId]]
+    stored = [v if isinstance(v, str) else bytes(v).decode("latin-1") for t in tables for r in t.collect() for v in r if isinstance(v, (str, bytes, bytearray))]
+    assert any("openly" in v for v in stored) and not any("hidden" in v or "hunter2" in v for v in stored)
+    keys = [t for p, t in zip(staging._written[spark.sparkContext.applicationId], tables) if "line-keys" in p]
+    assert keys and all(t.count() == 0 for t in keys)
