@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linesieve.functions.knobs import PROFILES
+from linesieve.functions.text import content_digest
 from linesieve.operators.containment import anchor_gate
 from linesieve.operators.detect import under_profiles  # noqa: F401  (part of this module's interface)
 from linesieve.operators.metrics import savings_by_profile
@@ -35,11 +36,14 @@ def expected_passthrough(results: DataFrame, cases: DataFrame) -> DataFrame:
 
 def strict_gate(results: DataFrame, outputs: DataFrame, cases: DataFrame, anchors: DataFrame) -> DataFrame:
     """All visible conditions of a case at once; ``cases`` has exact_visible and sensitive flags."""
-    facts = required_facts(results, anchors).withColumnRenamed("case", "output_id")
-    joined = (
-        results.join(outputs.select("output_id", "raw"), "output_id").join(cases, "output_id").join(facts, "output_id", "left")
+    facts = required_facts(results, anchors).withColumnRenamed("case", "output_id").select("output_id", "anchors_ok")
+    # Texts are compared by their digests, so none of them is sorted for a join.
+    views = results.select(
+        "output_id", "kind", "transformed", "fallback_reason", "artifact_id", "quality_passed", content_digest("output").alias("_view")
     )
-    same = F.col("output") == F.col("raw")
+    originals = outputs.select("output_id", content_digest("raw").alias("_raw"))
+    joined = views.join(originals, "output_id").join(cases, "output_id").join(facts, "output_id", "left")
+    same = F.col("_view") == F.col("_raw")
     anchors_ok = F.coalesce("anchors_ok", F.lit(True))
     exact = ~F.col("exact_visible") | same
     sensitive = ~F.col("sensitive") | (same & F.col("artifact_id").isNull())
