@@ -101,10 +101,10 @@ def group_git_status(lines: DataFrame, size: int = BLOCK) -> DataFrame:
 
 def git_status_facts(lines: DataFrame, size: int = BLOCK) -> DataFrame:
     """Labels, paths, branch and state notes must stay visible."""
-    rows = git_status_rows(lines.select(ID, NO, LINE), size).where("guarded")
-    return (
-        rows.select(ID, F.explode(F.filter(F.array("label", "text"), lambda x: x.isNotNull())).alias(LINE)).distinct()
-    )
+    rows = git_status_rows(lines.select(ID, NO, LINE), size)
+    # A filter on ``guarded`` would be moved below the parsing and repeat its patterns for every use of the parsed row.
+    held = F.filter(F.array("label", "text"), lambda x: F.col("guarded") & x.isNotNull())
+    return rows.select(ID, F.explode(held).alias(LINE)).distinct()
 
 
 def cap_commit_bodies(lines: DataFrame, size: int = BLOCK, body_lines: int = P.COMMIT_BODY_LINES) -> DataFrame:
