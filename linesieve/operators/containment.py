@@ -23,8 +23,10 @@ CLASSES = [
 #: The classes up to this one have grams of one length. The least gram of a window is also the least one of each smaller window
 #: around it, so the minimizers of the class with the smallest windows hold those of the others.
 NESTED = 3
+EMPTY = len(CLASSES)  # class of the empty text, which stands in every line; its key is 0
 PIECE = 1 << 20  # bytes of text whose windows are hashed at a time
 HASHES = ["_one", "_two"]
+FEW = 8  # lines with the least minimizer of a needed line that are compared without a look at its others
 KEYS = 16  # windows of a needed line among which the rarest is chosen
 
 
@@ -56,13 +58,22 @@ def _minimizer_batches(classes: list[tuple[int, int, int]], piece: int, limit: i
         for some in np.split(np.arange(len(line)), np.flatnonzero(np.diff(group)) + 1):
             yield line[some], first[line[some]] + skip[some], n[some]
 
+    def least_keys(grams: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """The least gram of each piece, which is the least one of every window that it stands in."""
+        between = np.stack([starts, stops], axis=1).ravel()
+        return np.minimum.reduceat(np.append(grams, np.uint64(0)), between)[::2]
+
     def keys(data: np.ndarray, first: np.ndarray, length: np.ndarray, least: int, gram: int, window: int):
+        byte = mixed(np.arange(256, dtype=np.uint64), np.uint64(gram))
         for line, start, n in pieces(first, length - least + 1) if len(first) else ():
             size = n + least - 1
             ends = np.cumsum(size)
             at = np.arange(ends[-1]) - np.repeat(ends - size, size)
-            codes = mixed(data[at + np.repeat(start, size)].astype(np.uint64), np.uint64(gram))
-            low = doubled(doubled(codes, gram, mixed), window, np.minimum)
+            grams = doubled(byte[data[at + np.repeat(start, size)]], gram, mixed)
+            if limit == 1:
+                yield line, least_keys(grams, ends - size, ends - gram + 1)
+                continue
+            low = doubled(grams, window, np.minimum)
             new = np.ones(len(low), bool)
             new[1:] = low[1:] != low[:-1]
             at, line = at[:len(low)], np.repeat(line, size)[:len(low)]
@@ -76,7 +87,8 @@ def _minimizer_batches(classes: list[tuple[int, int, int]], piece: int, limit: i
             ends = np.frombuffer(ends, np.int64)[column.offset:column.offset + len(column) + 1]
             data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
             kinds = batch.column(batch.schema.get_field_index("_class")).to_numpy(zero_copy_only=False)
-            line, key = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            line = [np.flatnonzero(kinds == len(classes))]
+            key = [np.zeros(len(line[0]), np.uint64)]
             for k, (least, gram, window) in enumerate(classes):
                 rows = np.flatnonzero((kinds == k) & (np.diff(ends) >= least))
                 for at, low in keys(data, ends[rows], np.diff(ends)[rows], least, gram, window):
@@ -98,7 +110,7 @@ def _minimizer_batches(classes: list[tuple[int, int, int]], piece: int, limit: i
 
 
 def _class_of(line: Column) -> Column:
-    out = F.lit(None).cast("int")
+    out = F.lit(EMPTY)
     for k, (least, _, _) in reversed(list(enumerate(CLASSES))):
         out = F.when(F.octet_length(line) >= least, k).otherwise(out)
     return out
@@ -110,6 +122,7 @@ def with_keys(df: DataFrame, keep: list[str], limit: int | None = None) -> DataF
 
     Of every window of neighbouring grams the gram with the least hash is a minimizer. A text that stands inside another
     one has its windows there too, so it shares each of its minimizers with it; a text without a whole window has none.
+    With class ``EMPTY`` every text has the key 0.
     """
     kept = df.select(*keep, "_class")
     schema = T.StructType([*kept.schema.fields, T.StructField("_key", T.LongType())])
@@ -117,41 +130,56 @@ def with_keys(df: DataFrame, keep: list[str], limit: int | None = None) -> DataF
     return df.select(*keep, "_class", F.col(LINE).cast("binary").alias("_bytes")).where("_bytes is not null").mapInArrow(run, schema)
 
 
+def _hashed(df: DataFrame, *keep: str) -> DataFrame:
+    """128 bits of hashes in place of the line, next to ``keep``."""
+    return df.select(ID, F.xxhash64(LINE).alias(HASHES[0]), F.xxhash64(F.lit(1), LINE).alias(HASHES[1]), *keep)
+
+
 def _classed(parts: DataFrame) -> DataFrame:
-    return parts.where(F.col(LINE) != "").select(ID, F.col(LINE)).withColumn("_class", _class_of(F.col(LINE)))
+    return _hashed(parts.where(F.col(LINE).isNotNull()), LINE).withColumn("_class", _class_of(F.col(LINE)))
 
 
-def _met_by(df: DataFrame, *keep: str) -> DataFrame:
-    """``keep`` and ``_place``, a hash of output, kind of gram and minimizer; equal hashes only propose what is then compared."""
-    return df.select(*keep, F.xxhash64(ID, F.greatest("_class", F.lit(NESTED)), "_key").alias("_place"))
+def _asked(parts: DataFrame) -> DataFrame:
+    """Each asked text once, by its hashes, with its class and least minimizer."""
+    return stage(with_keys(_classed(parts), [ID, *HASHES], 1).distinct(), "asked-keys")
 
 
 def _index(asked: DataFrame, lines: DataFrame) -> DataFrame:
-    """Where the minimizers of ``lines`` are, for the classes that their output asks for: place and hash of the text."""
+    """The minimizers of ``lines``, by the hashes of the line, for the classes that their output asks for."""
     kinds = asked.groupBy(ID, F.greatest("_class", F.lit(NESTED)).alias("_kind")).agg(F.max("_class").alias("_class")).drop("_kind")
-    texts = lines.select(ID, LINE, F.xxhash64(LINE).alias("_text")).join(kinds, ID)
-    # Dealt by place once: the counts and both joins need no further exchange of it.
-    return stage(_met_by(with_keys(texts, [ID, "_text"]), "_text"), "line-keys").repartition("_place").distinct()
+    return stage(with_keys(_hashed(lines, LINE).join(kinds, ID), [ID, *HASHES]), "line-keys")
 
 
-def _possible(asked: DataFrame, held: DataFrame) -> DataFrame:
-    """Asked texts, each once, whose least minimizer occurs in a line of the output; no other one can stand in a line."""
-    first = _met_by(with_keys(asked, [ID, LINE], 1), ID, LINE, "_class")
-    return first.join(held, "_place", "left_semi").select(ID, LINE, "_class").distinct()
+def _met_by(df: DataFrame, *keep: str | Column) -> DataFrame:
+    """``keep`` and ``_place``, a hash of output, kind of gram and minimizer; equal hashes only propose what is then compared."""
+    return df.where(F.col("_class") < EMPTY).select(*keep, F.xxhash64(ID, F.greatest("_class", F.lit(NESTED)), "_key").alias("_place"))
+
 
+def _pairs(parts: DataFrame, asked: DataFrame, index: DataFrame) -> DataFrame:
+    """Hashes of asked texts, with ``_text``, the hash of a line that may hold it; all lines that hold it are among them.
 
-def _holding(asked: DataFrame, held: DataFrame, lines: DataFrame) -> DataFrame:
-    """Rows of ``lines`` with ``_part``, compared in full where the rarest minimizer of an asked text occurs."""
-    asked = stage(asked.withColumn("_asked", F.xxhash64(LINE)), "asked-lines")
-    often = held.groupBy("_place").agg(F.count(F.lit(1)).alias("_n"))
+    No text moves but that of parts whose least minimizer is in more than ``FEW`` lines: those are looked up by their rarest one.
+    """
+    held = _met_by(index, F.col(HASHES[0]).alias("_text"))
+    first = _met_by(asked, ID, *HASHES)
+    hits = stage(held.join(first.select("_place"), "_place", "left_semi").distinct(), "met-keys")
+    often = hits.groupBy("_place").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW).select("_place")
+    if often.isEmpty():
+        return first.join(hits, "_place").drop("_place").distinct()
+    few = first.join(often, "_place", "left_anti").join(hits, "_place").drop("_place")
+    many = _classed(parts).join(first.join(often, "_place", "left_semi"), [ID, *HASHES], "left_semi")
+    places = stage(_met_by(with_keys(many, [ID, *HASHES], KEYS).distinct(), ID, *HASHES), "asked-often")
+    near = stage(held.join(places.select("_place"), "_place", "left_semi").distinct(), "met-often")
+    counts = near.groupBy("_place").agg(F.count(F.lit(1)).alias("_n"))
     found = F.coalesce("_n", F.lit(0))
-    rarest = (
-        _met_by(with_keys(asked, [ID, "_asked"], KEYS), ID, "_asked").join(often, "_place", "left")
-        .groupBy(ID, "_asked").agg(F.min_by("_place", found).alias("_place"), F.min(found).alias("_n"))
-        .where(F.col("_n") > 0)
-    )
-    pairs = rarest.join(held, "_place").select(ID, "_asked", "_text").distinct()
-    named = pairs.join(asked.select(ID, "_asked", F.col(LINE).alias("_part")), [ID, "_asked"]).drop("_asked")
+    rarest = places.join(counts, "_place", "left").groupBy(ID, *HASHES).agg(F.min_by("_place", found).alias("_place"), F.min(found).alias("_n"))
+    return few.unionByName(rarest.where(F.col("_n") > 0).drop("_n").join(near, "_place").drop("_place")).distinct()
+
+
+def _holding(parts: DataFrame, pairs: DataFrame, lines: DataFrame) -> DataFrame:
+    """Rows of ``lines`` with ``_part`` and its hashes, compared in full for each of ``pairs``."""
+    wanted = _hashed(parts, LINE).join(pairs.select(ID, *HASHES), [ID, *HASHES], "left_semi")
+    named = wanted.groupBy(ID, *HASHES).agg(F.first(LINE).alias("_part")).join(pairs, [ID, *HASHES])
     return (
         lines.withColumn("_text", F.xxhash64(LINE)).join(named, [ID, "_text"])
         .where(F.contains(F.col(LINE), F.col("_part"))).drop("_text")
@@ -162,31 +190,30 @@ def lines_holding(parts: DataFrame, lines: DataFrame) -> DataFrame:
     """Rows of ``lines`` with ``_part``: each text of ``parts`` that occurs in them, within one output.
 
     Lines are indexed by minimizers, one in 8 bytes where a part of 23 bytes is asked for, one in 128 where all parts are
-    long. A line that holds a part has all of the part's minimizers: parts whose least one occurs nowhere go first, and the others meet only
-    the lines with their rarest one, by equality of output and key. An output with very many parts and lines spreads over
-    all tasks. Every pair is then compared in full. An empty part is in every line.
+    long. A line that holds a part has all of the part's minimizers: parts whose least one occurs nowhere go first, those with
+    it in few lines meet these, and the others meet only the lines with their rarest one, by equality of output and key. An
+    output with very many parts and lines spreads over all tasks. Every pair is then compared in full. An empty part is in
+    every line.
     """
-    asked = _classed(parts)
-    held = _index(asked, lines)
-    found = _holding(_possible(asked, held), held, lines)
+    asked = _asked(parts.where(F.col(LINE) != ""))
+    pairs = stage(_pairs(parts, asked, _index(asked, lines)), "line-pairs")
+    found = _holding(parts, pairs, lines).drop(*HASHES)
     empty = parts.where(F.col(LINE) == "").select(ID, F.col(LINE).alias("_part")).distinct()
     return found.unionByName(lines.join(empty, ID).where(F.col(LINE).isNotNull()))
 
 
-def _hashed(df: DataFrame, *keep: str) -> DataFrame:
-    """128 bits of hashes in place of the line, next to ``keep``."""
-    return df.select(ID, F.xxhash64(LINE).alias(HASHES[0]), F.xxhash64(F.lit(1), LINE).alias(HASHES[1]), *keep)
-
-
-def _inside(needed: DataFrame, shown: DataFrame) -> DataFrame:
-    """Needed lines, each once, that stand inside a shown line but are none themselves."""
-    asked = _classed(needed)
-    held = _index(asked, shown)
-    # Equal lines are told by hashes, so that the shown texts stay where they are.
-    left = _hashed(_possible(asked, held), LINE, "_class").join(_hashed(shown), [ID, *HASHES], "left_anti").select(ID, LINE, "_class")
-    found = _holding(left, held, shown).select(ID, F.col("_part").alias(LINE))
-    empty = needed.where(F.col(LINE) == "").select(ID, LINE).join(shown, ID, "left_semi")
-    return found.unionByName(empty).distinct()
+def _inside(needed: DataFrame, asked: DataFrame, shown: DataFrame) -> DataFrame:
+    """Hashes of the asked texts, each once, that are a shown line or stand inside one."""
+    index = _index(asked, shown)
+    pairs = stage(_pairs(needed, asked, index), "line-pairs")
+    # Equal lines are told by hashes, so that their texts stay where they are.
+    same = pairs.select(ID, *HASHES).distinct().join(index.select(ID, *HASHES).distinct(), [ID, *HASHES], "left_semi")
+    same = stage(same, "equal-lines")
+    found = _holding(needed, pairs.join(same, [ID, *HASHES], "left_anti"), shown).select(ID, *HASHES).distinct()
+    # Where the empty text is asked for, every line is in the index.
+    empty = F.col("_class") == EMPTY
+    blank = asked.where(empty).join(index.where(empty).select(ID), ID, "left_semi").select(ID, *HASHES)
+    return found.unionByName(same).unionByName(blank)
 
 
 def missing_lines(needed: DataFrame, view_lines: DataFrame) -> DataFrame:
@@ -194,7 +221,7 @@ def missing_lines(needed: DataFrame, view_lines: DataFrame) -> DataFrame:
     shown = view_lines.where(F.col(LINE).isNotNull()).select(ID, LINE)
     # Most needed lines are view lines: only the others are looked for inside, in views of outputs that have such lines.
     left = stage(needed.select(ID, LINE).distinct().join(shown, [ID, LINE], "left_anti"), "not-equal")
-    return left.join(_inside(left, shown), [ID, LINE], "left_anti")
+    return _hashed(left, LINE).join(_inside(left, _asked(left), shown), [ID, *HASHES], "left_anti").select(ID, LINE)
 
 
 def containment_check(needed: DataFrame, view_lines: DataFrame) -> DataFrame:
@@ -203,8 +230,9 @@ def containment_check(needed: DataFrame, view_lines: DataFrame) -> DataFrame:
     Lines are counted by 128 bits of hashes, so that texts travel only where a needed line may stand inside another one.
     """
     shown = view_lines.where(F.col(LINE).isNotNull()).select(ID, LINE)
-    met = _hashed(shown).unionByName(_hashed(_inside(needed, shown))).distinct().withColumn("_met", F.lit(1))
-    joined = _hashed(needed.where(F.col(LINE).isNotNull())).distinct().join(met, [ID, *HASHES], "left").groupBy(ID).agg(
+    asked = _asked(needed)
+    met = _inside(needed, asked, shown).withColumn("_met", F.lit(1))
+    joined = asked.join(met, [ID, *HASHES], "left").groupBy(ID).agg(
         F.count(F.lit(1)).alias("needed"), F.count_if(F.col("_met").isNull()).alias("missing")
     )
     return joined.withColumn("passed", F.col("missing") == 0)

@@ -58,3 +58,45 @@ def test_needed_lines_are_whole(spark, tmp_path):
             want[i] = (len(needed), missing, missing == 0)
     assert want[0][1] == 1 and want[1][1] == 1 and want[2][1] > 2
     assert got == want
+
+
+@pytest.mark.parametrize("few", [0, 2, 8])
+def test_parts_in_many_lines(spark, monkeypatch, few):
+    """Parts whose least minimizer is in many lines of the output are looked up by their rarest one; repeated rows too."""
+    monkeypatch.setattr(containment, "FEW", few, raising=False)
+    rng = random.Random(8)
+    start = "2024-01-01 00:00:00 INFO worker started with the usual settings "
+    lines = [(k % 2, k, start + "".join(rng.choice("abc") for _ in range(40)) + " end") for k in range(60)]
+    lines += [(0, 60 + k, "x" * k) for k in range(12)] + [(1, 80, ""), (1, 81, None)]
+    parts = [(i, line[:-1]) for i, _, line in lines if line] + [(0, start), (0, "x"), (0, "xxx"), (0, ""), (2, ""), (1, ""), (1, "abc")]
+    parts += [(i, part + "?") for i, part in parts] + parts[:9]
+    need = spark.createDataFrame(parts, "output_id int, line string")
+    view = spark.createDataFrame([*lines, *lines[:5]], "output_id int, line_no int, line string")
+    want = sorted((i, n, p) for i, n, line in [*lines, *lines[:5]] if line is not None for j, p in set(parts) if i == j and p in line)
+    assert sorted((r.output_id, r.line_no, r._part) for r in lines_holding(need, view).collect()) == want
+    missing = set(parts) - {(i, p) for i, _, p in want}
+    assert sorted((r.output_id, r.line) for r in missing_lines(need, view).collect()) == sorted(missing)
+    got = {r.output_id: (r.needed, r.missing) for r in containment_check(need, view).collect()}
+    assert got == {i: (sum(j == i for j, _ in set(parts)), sum(j == i for j, _ in missing)) for i in (0, 1, 2)}
+
+
+def test_lines_are_made_twice_and_written_never(spark, monkeypatch):
+    """The lines of both sides are made for the keys and for the comparison only, and tables in between hold no text."""
+    kinds, staged = [], containment.stage
+    monkeypatch.setattr(containment, "stage", lambda df, *a: kinds.extend(t for c, t in df.dtypes) or staged(df, *a))
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice("abcdef ") for _ in range(50))) for i in range(40) for _ in range(3)]
+    made = [spark.sparkContext.accumulator(0) for _ in range(2)]
+
+    def counted(df, count):
+        def run(batches):
+            for batch in batches:
+                count.add(batch.num_rows)
+                yield batch
+        return df.mapInArrow(run, df.schema)
+
+    need = counted(spark.createDataFrame(rows, "output_id int, line string"), made[0])
+    view = counted(spark.createDataFrame([(i, f"> {line} <") for i, line in rows[::2]], "output_id int, line string"), made[1])
+    assert sum(r.missing for r in containment_check(need, view).collect()) == 60
+    assert made[0].value <= 2 * 120 and made[1].value <= 2 * 60
+    assert "string" not in kinds
