@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from linesieve.functions.text import content_digest
 from linesieve.operators.lines import ID, LINE
-from linesieve.sources.staging import stage
+from linesieve.sources.staging import stage, staging
 
 
 #: (least length, bytes of a gram, grams of a window): a needed line belongs to the first class that it is long enough for,
@@ -155,12 +155,23 @@ def _met_by(df: DataFrame, *keep: str | Column) -> DataFrame:
     return df.where(F.col("_class") < EMPTY).select(*keep, F.xxhash64(ID, F.greatest("_class", F.lit(NESTED)), "_key").alias("_place"))
 
 
+def _rarest(places: DataFrame, held: DataFrame) -> DataFrame:
+    """Hashes of asked texts, with ``_text`` for the lines at the place of their rarest minimizer."""
+    often = held.groupBy("_place").agg(F.count(F.lit(1)).alias("_n"))
+    found = F.coalesce("_n", F.lit(0))
+    rarest = places.join(often, "_place", "left").groupBy(ID, *HASHES).agg(F.min_by("_place", found).alias("_place"), F.min(found).alias("_n"))
+    return rarest.where(F.col("_n") > 0).drop("_n").join(held, "_place").drop("_place")
+
+
 def _pairs(parts: DataFrame, asked: DataFrame, index: DataFrame) -> DataFrame:
     """Hashes of asked texts, with ``_text``, the hash of a line that may hold it; all lines that hold it are among them.
 
     No text moves but that of parts whose least minimizer is in more than ``FEW`` lines: those are looked up by their rarest one.
     """
     held = _met_by(index, F.col(HASHES[0]).alias("_text"))
+    rare = lambda texts: _met_by(with_keys(texts, [ID, *HASHES], KEYS).distinct(), ID, *HASHES)
+    if not staging():  # no table would keep what the branches below share, and no job may run here
+        return _rarest(rare(_classed(parts)), held.distinct()).distinct()
     first = _met_by(asked, ID, *HASHES)
     hits = stage(held.join(first.select("_place"), "_place", "left_semi").distinct(), "met-keys")
     often = hits.groupBy("_place").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > FEW).select("_place")
@@ -168,12 +179,9 @@ def _pairs(parts: DataFrame, asked: DataFrame, index: DataFrame) -> DataFrame:
         return first.join(hits, "_place").drop("_place").distinct()
     few = first.join(often, "_place", "left_anti").join(hits, "_place").drop("_place")
     many = _classed(parts).join(first.join(often, "_place", "left_semi"), [ID, *HASHES], "left_semi")
-    places = stage(_met_by(with_keys(many, [ID, *HASHES], KEYS).distinct(), ID, *HASHES), "asked-often")
+    places = stage(rare(many), "asked-often")
     near = stage(held.join(places.select("_place"), "_place", "left_semi").distinct(), "met-often")
-    counts = near.groupBy("_place").agg(F.count(F.lit(1)).alias("_n"))
-    found = F.coalesce("_n", F.lit(0))
-    rarest = places.join(counts, "_place", "left").groupBy(ID, *HASHES).agg(F.min_by("_place", found).alias("_place"), F.min(found).alias("_n"))
-    return few.unionByName(rarest.where(F.col("_n") > 0).drop("_n").join(near, "_place").drop("_place")).distinct()
+    return few.unionByName(_rarest(places, near)).distinct()
 
 
 def _holding(parts: DataFrame, pairs: DataFrame, lines: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from linesieve.operators import containment
 from linesieve.operators.containment import containment_check, lines_holding, missing_lines
 from linesieve.plans import catalogue
+from linesieve.sources.staging import unstaged
 
 
 @pytest.mark.parametrize("piece", [7, 1 << 20])
@@ -74,6 +75,8 @@ def test_parts_in_many_lines(spark, monkeypatch, few):
     view = spark.createDataFrame([*lines, *lines[:5]], "output_id int, line_no int, line string")
     want = sorted((i, n, p) for i, n, line in [*lines, *lines[:5]] if line is not None for j, p in set(parts) if i == j and p in line)
     assert sorted((r.output_id, r.line_no, r._part) for r in lines_holding(need, view).collect()) == want
+    with unstaged():
+        assert sorted((r.output_id, r.line_no, r._part) for r in lines_holding(need, view).collect()) == want
     missing = set(parts) - {(i, p) for i, _, p in want}
     assert sorted((r.output_id, r.line) for r in missing_lines(need, view).collect()) == sorted(missing)
     got = {r.output_id: (r.needed, r.missing) for r in containment_check(need, view).collect()}
