@@ -13,11 +13,11 @@ from linesieve.functions.knobs import MAX, SAFE, STRICT, knob
 from linesieve.functions.predicates import (
     is_critical_line, is_test_failure, is_test_location, is_test_progress, is_test_summary, is_test_warning, severity_class,
 )
-from linesieve.functions.text import compact_template, strip
+from linesieve.functions.text import compact_template, let, split_lines, strip
 from linesieve.operators.chunks import ALL, BLOCK, carry, numbered, with_chunk
 from linesieve.operators.containment import lines_holding
 from linesieve.operators.lines import (
-    ID, LINE, N, NO, VIEW, anchor_rows, collapse_consecutive_duplicates, collapse_progress, emit, expand_windows,
+    ID, LINE, N, NO, VIEW, anchor_rows, collapse_cell, collapse_consecutive_duplicates, collapse_progress, emit, expand_windows,
     extract_critical_lines, marker, render_windows, view_row,
 )
 from linesieve.sources.staging import stage
@@ -38,9 +38,8 @@ def reduce_generic(lines: DataFrame, profile: str | None = None, size: int = BLO
     if profile is not None:
         lines = lines.withColumn("profile", F.lit(profile))
     lines = lines.select(ID, NO, N, LINE, "profile")
-    strict, most = F.col("profile") == STRICT, F.col("profile") == MAX
-    # A view has at most one row more than its output has lines: shorter outputs never need windows.
-    maybe_long = most & (F.col(N) >= P.GENERIC_WINDOW_ABOVE)
+    strict = F.col("profile") == STRICT
+    maybe_long = may_need_windows(F.col(N), F.col("profile"))
     loose = lambda part: collapse_progress(collapse_consecutive_duplicates(part, size))
     views = []
     if profile in (None, STRICT):
@@ -53,6 +52,17 @@ def reduce_generic(lines: DataFrame, profile: str | None = None, size: int = BLO
     return reduce(DataFrame.unionByName, views)
 
 
+def reduce_generic_cell(text: Column, profile: Column) -> Column:
+    """The assembled view of ``reduce_generic`` for a text that is one cell, unless it may need windows: those look needed
+    lines up by joins. Struct of ``view``, ``omitted_lines`` and ``tags``."""
+    return let(split_lines(text), lambda p: F.when(profile == STRICT, collapse_cell(p, False)).otherwise(collapse_cell(p, True)))
+
+
+def may_need_windows(n_lines: Column, profile: Column) -> Column:
+    """A view has at most one row more than its output has lines."""
+    return (profile == MAX) & (n_lines >= P.GENERIC_WINDOW_ABOVE)
+
+
 def window_generic(rows: DataFrame, lines: DataFrame, size: int = BLOCK) -> DataFrame:
     """Views above the line limit keep head, tail and lines holding a decisive line, with context."""
     placed = numbered(rows, [ID], ["o1", "o2"], F.least(F.col("o1"), F.col(N)), size, index="pos", total="n_view")

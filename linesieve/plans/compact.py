@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from linesieve.functions import patterns as P
 from linesieve.functions.predicates import contains_secret
 from linesieve.functions.text import (
-    content_digest, content_id, estimate_tokens, let, line_count, normalize_line, render_view, saved_ratio,
+    content_digest, content_id, estimate_tokens, let, line_count, normalize_line, normalize_newlines, render_view, saved_ratio,
     strip, strip_ansi,
 )
 from linesieve.operators.detect import SMALL, classify, detect_struct, eligibility, under_profiles
 from linesieve.operators.lines import ID
+from linesieve.operators.reduce_text import may_need_windows, reduce_generic_cell
 from linesieve.plans.reduce import (
     ROUTES, custom_route, decisive_lines, declared_critical, effective_confidence, reduce_outputs, view_notes,
 )
@@ -95,12 +96,26 @@ def validate(candidates: DataFrame) -> DataFrame:
 
 def candidates_of(staged: DataFrame, views: DataFrame, parts: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row per reduced output: the original, its view and everything the guard needs."""
-    routes = {r for r, _ in parts} if parts is not None else set(ROUTES)
-    raw_text = F.col("raw").cast("string")
     # A reducer that leaves nothing gives no row; its output is still judged, with an empty view.
     joined = staged.join(views, ID, "left").withColumns(
         {"view": F.coalesce("view", F.lit("")), "omitted_lines": F.coalesce("omitted_lines", F.lit(0))}
     )
+    return _with_needs(joined, {r for r, _ in parts} if parts is not None else set(ROUTES))
+
+
+def cell_candidates(staged: DataFrame) -> DataFrame:
+    """``candidates_of`` for outputs of the route ``generic`` whose view is made inside their row, so that no line and no
+    original moves."""
+    view = reduce_generic_cell(normalize_newlines(F.col("raw").cast("string")), F.col("profile"))
+    joined = staged.withColumn("_v", view).withColumns({
+        "view": F.coalesce("_v.view", F.lit("")), "omitted_lines": F.coalesce("_v.omitted_lines", F.lit(0)), "tags": F.col("_v.tags"),
+        "protected": F.lit(None).cast("array<string>"),
+    })
+    return _with_needs(joined.drop("_v"), {"generic"})
+
+
+def _with_needs(joined: DataFrame, routes: set[str]) -> DataFrame:
+    raw_text = F.col("raw").cast("string")
     none = F.array().cast("array<string>")
     return joined.withColumns(
         {
@@ -165,20 +180,20 @@ def decide(candidates: DataFrame, store_available: bool = True, allow_secrets: b
     )
 
 
-def as_results(decided: DataFrame) -> DataFrame:
-    """Result rows: the rendered view where accepted, else the exact original."""
+def as_results(decided: DataFrame, keep: list[str] = ()) -> DataFrame:
+    """Result rows, with the columns ``keep``: the rendered view where accepted, else the exact original."""
     done = F.col("transformed")
     raw_text = F.col("raw").cast("string")
-    keep = lambda name: F.when(done, F.col(name))
+    shown = lambda name: F.when(done, F.col(name))
     return decided.withColumns(
         {
             "output": F.when(done, F.col("rendered").cast("binary")).otherwise(F.col("raw")),
-            "artifact_id": keep("new_id"),
+            "artifact_id": shown("new_id"),
             "raw_bytes": F.octet_length("raw").cast("long"),
             "raw_tokens_est": estimate_tokens(raw_text),
-            "detection_reason": keep("detection_reason"),
-            "confidence": keep("detected_confidence"),
-            "omitted_lines": keep("omitted_lines"),
+            "detection_reason": shown("detection_reason"),
+            "confidence": shown("detected_confidence"),
+            "omitted_lines": shown("omitted_lines"),
         }
     ).withColumns(
         {
@@ -186,10 +201,10 @@ def as_results(decided: DataFrame) -> DataFrame:
             "compact_lines": F.when(done, line_count("rendered")).otherwise(F.col("raw_lines")),
             "compact_tokens_est": F.when(done, estimate_tokens("rendered")).otherwise(F.col("raw_tokens_est")),
         }
-    ).select(*RESULT)
+    ).select(*RESULT, *keep)
 
 
-def passthrough(outputs: DataFrame, kind: Column, reason: Column) -> DataFrame:
+def passthrough(outputs: DataFrame, kind: Column, reason: Column, keep: list[str] = ()) -> DataFrame:
     """Outputs shown exactly as they are, with equal sizes on both sides."""
     raw_text = F.col("raw").cast("string")
     blank = lambda t: F.lit(None).cast(t)
@@ -206,10 +221,10 @@ def passthrough(outputs: DataFrame, kind: Column, reason: Column) -> DataFrame:
             "compact_bytes": F.col("raw_bytes"), "compact_lines": F.col("raw_lines"),
             "compact_tokens_est": F.col("raw_tokens_est"),
         }
-    ).select(*RESULT)
+    ).select(*RESULT, *keep)
 
 
-def skipped(sized: DataFrame) -> DataFrame:
+def skipped(sized: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Empty, binary, undecodable and small outputs; only the small ones are classified."""
     small = sized.where(F.col("skip_reason").isNotNull())
     below = F.col("skip_reason") == SMALL
@@ -222,56 +237,94 @@ def skipped(sized: DataFrame) -> DataFrame:
         .when(plain == SMALL, F.col("kind"))
         .otherwise(F.coalesce(hint, F.lit("binary")))
     )
-    return passthrough(known, kind, plain)
+    return passthrough(known, kind, plain, keep)
 
 
 def compact_corpus(
     outputs: DataFrame, store_available: bool = True, allow_secrets: bool = False, staged: bool = True,
-    profiles: list[str] | None = None,
+    profiles: list[str] | None = None, keep: list[str] = (),
 ) -> DataFrame:
     """All outputs with their view or the reason for showing the original.
 
     One pass finds everything that holds for an output whatever its profile (kind, size, secret) and writes
     it, cut by route, profile and secret: the reducers read only their own part, none repeats the detection,
-    and routes that do not occur are not planned. Texts of outputs with a probable secret are written encrypted,
-    here and by their reducers; those of skipped outputs are read again from ``outputs``. With ``profiles`` every
-    output is judged under each of them (see ``under_profiles``).
+    and routes that do not occur are not planned. Generic views that need no windows are made inside the rows of that
+    table. Texts of outputs with a probable secret are written encrypted, here and by their reducers; those of skipped
+    outputs are read again from ``outputs``. With ``profiles`` every output is judged under each of them (see
+    ``under_profiles``). Results have the columns ``keep`` of the outputs as well.
     """
     sized = eligibility(outputs)
     secret = F.when(F.col("skip_reason").isNull(), contains_secret(F.col("raw").cast("string"))).otherwise(False)
-    found = classify(sized.withColumn("secret", F.coalesce(secret, F.lit(False))), profiles).drop("text")
+    found = classify(sized.withColumn("secret", F.coalesce(secret, F.lit(False))), profiles)
     found = found.withColumn("route", F.when(F.col("skip_reason").isNull(), custom_route(F.col("route"))))
     judged = F.col("skip_reason").isNull()
-    small = skipped(sized if profiles is None else under_profiles(sized, profiles))
+    small = skipped(sized if profiles is None else under_profiles(sized, profiles), keep)
+    options = {"store_available": store_available, "allow_secrets": allow_secrets, "keep": keep}
     if not staged:
         with unstaged():
-            return _reduced(found.where(judged), None, store_available, allow_secrets).unionByName(small)
+            return _reduced(found.drop("text").where(judged), None, **options).unionByName(small)
     raw = F.col("raw")
-    kept = {"raw": F.when(judged & ~F.col("secret"), raw), "sealed": F.when(judged & F.col("secret"), seal(raw))}
-    written = stage(found.withColumns(kept), "classified", ["route", "profile", "secret"])
+    long = judged & may_need_windows(line_count("text"), F.col("profile"))
+    kept = {
+        "raw": F.when(judged & ~F.col("secret"), raw), "sealed": F.when(judged & F.col("secret"), seal(raw)),
+        "cell": F.coalesce((F.col("route") == "generic") & F.col("profile").isNotNull() & ~long, F.lit(False)),
+    }
+    written = stage(found.withColumns(kept).drop("text"), "classified", ["route", "profile", "secret", "cell"])
     work = written.where(F.col("route").isNotNull())
     done = []
     parts = _parts(written)
-    plain = [(route, profile) for route, profile, held in parts if route is not None and not held]
-    held_back = [(route, profile) for route, profile, held in parts if route is not None and held]
+    again = repeated_ids(work)
+    plain = [(route, profile, cell) for route, profile, held, cell in parts if route is not None and not held]
+    held_back = [(route, profile, cell) for route, profile, held, cell in parts if route is not None and held]
     if plain:
-        done.append(_reduced(work.where(~F.col("secret")).drop("sealed"), plain, store_available, allow_secrets))
+        done += _judged(work.where(~F.col("secret")).drop("sealed"), plain, again, **options)
     if held_back:
         with sealed_staging():
             secrets = work.where("secret").withColumn("raw", unseal(F.col("sealed"))).drop("sealed")
-            done.append(_reduced(secrets, held_back, store_available, allow_secrets))
-    if not done or any(route is None for route, _, _ in parts):
+            done += _judged(secrets, held_back, again, **options)
+    if not done or any(part[0] is None for part in parts):
         done.append(small)
     return reduce(DataFrame.unionByName, done)
 
 
-def _parts(work: DataFrame) -> list[tuple[str | None, str, bool]]:
-    """The routes, profiles and secret marks that occur: at most one row for each combination of them."""
-    return [tuple(r) for r in work.select("route", "profile", "secret").distinct().collect()]
+def _parts(work: DataFrame) -> list[tuple[str | None, str, bool, bool]]:
+    """The routes, profiles, secret marks and cell marks that occur: at most one row for each combination of them."""
+    return [tuple(r) for r in work.select("route", "profile", "secret", "cell").distinct().collect()]
 
 
-def _reduced(
-    work: DataFrame, parts: list[tuple[str, str]] | None, store_available: bool, allow_secrets: bool
-) -> DataFrame:
-    views = reduce_outputs(work, parts)
-    return as_results(decide(candidates_of(work, views, parts), store_available, allow_secrets))
+def repeated_ids(rows: DataFrame) -> DataFrame | None:
+    """The ids of several rows, or none: what works inside one row would part what a reducer finds by the id."""
+    again = rows.groupBy(ID).agg(F.count(F.lit(1)).alias("_n")).where((F.col("_n") > 1) | F.col(ID).isNull())
+    again = stage(again.select(ID), "repeated-ids")
+    return None if again.isEmpty() else again
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``rows`` with (``left_semi``) or without (``left_anti``) the ids, of which one may be NULL."""
+    named = ids.select(F.col(ID).alias("_again"))
+    return rows.join(named, F.col(ID).eqNullSafe(F.col("_again")), how)
+
+
+def _judged(
+    work: DataFrame, parts: list[tuple[str, str, bool]], again: DataFrame | None, **options
+) -> list[DataFrame]:
+    """Results of outputs that are reduced inside their row, and of those whose lines are."""
+    cells, others = work.where("cell"), work.where(~F.col("cell"))
+    rest = [(route, profile) for route, profile, cell in parts if not cell or again is not None]
+    done = []
+    if any(cell for _, _, cell in parts):
+        if again is not None:
+            others = others.unionByName(with_ids(cells, again, "left_semi"))
+            cells = with_ids(cells, again, "left_anti")
+        done.append(_decided(cell_candidates(cells), **options))
+    if rest:
+        done.append(_reduced(others, list(dict.fromkeys(rest)), **options))
+    return done
+
+
+def _reduced(work: DataFrame, parts: list[tuple[str, str]] | None, **options) -> DataFrame:
+    return _decided(candidates_of(work, reduce_outputs(work, parts), parts), **options)
+
+
+def _decided(candidates: DataFrame, store_available: bool, allow_secrets: bool, keep: list[str]) -> DataFrame:
+    return as_results(decide(candidates, store_available, allow_secrets), keep)

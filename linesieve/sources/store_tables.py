@@ -35,12 +35,17 @@ def append_runs(runs: DataFrame, path: str) -> None:
     runs.withColumn("run_date", F.to_date("created_at")).write.mode("append").partitionBy("run_date").parquet(path)
 
 
-def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
+def read_artifacts(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
     """The newest row of each artifact: a put of known bytes appends a row that refreshes the earlier one.
 
-    A store without any artifact has no files yet and reads as no rows.
+    A store without any artifact has no files yet and reads as no rows. With ``columns`` no others are read, but for the id
+    and the time of the put, so that payloads are exchanged only where they are asked for.
     """
-    return latest(spark.read.schema(SCHEMA).parquet(path), "id", ["created_at"])
+    rows = spark.read.schema(SCHEMA).parquet(path)
+    if columns is None:
+        return latest(rows, "id", ["created_at"])
+    read = list(dict.fromkeys(["id", "created_at", *columns]))
+    return latest(rows.select(*read), "id", ["created_at"]).select(*columns)
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
