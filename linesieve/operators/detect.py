@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -192,7 +194,7 @@ def _listing_route(text: Column, lines: Column) -> Column:
 
 def under_profiles(outputs: DataFrame, profiles: list[str] = PROFILES) -> DataFrame:
     """Every output once per profile; ``source_id`` keeps the original id."""
-    each = F.explode(F.array(*[F.lit(p) for p in profiles]))
+    each = F.explode(F.array(*[F.lit(p) for p in profiles])) if len(profiles) > 1 else F.lit(profiles[0])
     return (
         outputs.drop("profile").withColumn("profile", each)
         .withColumn("source_id", F.col("output_id").cast("string"))
@@ -220,8 +222,8 @@ def route_by(kind: Column, profile: Column, parses: Column, many_paths: Column,
 def classify(outputs: DataFrame, profiles: list[str] | None = None) -> DataFrame:
     """Add the detection, the clean text ``text``, the reducer ``route`` and an optional ``route_note``.
 
-    Rows with a ``skip_reason`` get no route, and a kind only when they are merely small. With ``profiles``
-    each output comes once per profile; all that does not depend on the profile is found before.
+    Rows with a ``skip_reason`` get no route, and a kind only when they are merely small. With ``profiles`` each output
+    stays one row, with a route and a note for each profile, named after it (see ``by_profile``).
     """
     text = F.col("raw").cast("string")
     detected = detect_struct(F.col("command"), text, F.col("kind_hint"))
@@ -234,15 +236,27 @@ def classify(outputs: DataFrame, profiles: list[str] | None = None) -> DataFrame
             "text": normalize_newlines(text),
         }
     ).drop("_d")
-    if profiles is not None:
-        known = under_profiles(known, profiles)
     lines = split_lines("text")
-    route = route_by(
-        F.col("kind"), F.col("profile"), json_value(strip_ansi(text)).isNotNull(), _many_paths(lines),
-        _listing_route(F.col("text"), lines),
-    )
-    if "skip_reason" in outputs.columns:
-        route = F.when(F.col("skip_reason").isNull(), route)
-    return known.withColumn("_r", F.split(route, ":")).withColumns(
-        {"route": F.get("_r", F.lit(0)), "route_note": F.get("_r", F.lit(1))}
-    ).drop("_r")
+
+    def route(profile):
+        found = route_by(
+            F.col("kind"), profile, json_value(strip_ansi(text)).isNotNull(), _many_paths(lines), _listing_route(F.col("text"), lines)
+        )
+        return F.when(F.col("skip_reason").isNull(), found) if "skip_reason" in outputs.columns else found
+
+    wanted = {"": F.col("profile")} if profiles is None else {f"_{p}": F.lit(p) for p in profiles}
+    routed = known.withColumns({f"_r{name}": F.split(route(profile), ":") for name, profile in wanted.items()})
+    split = {f"{part}{name}": F.get(f"_r{name}", F.lit(k)) for name in wanted for k, part in enumerate(["route", "route_note"])}
+    return routed.withColumns(split).drop(*[f"_r{name}" for name in wanted])
+
+
+def by_profile(routed: DataFrame, profiles: list[str], marks: list[str] = ()) -> DataFrame:
+    """``under_profiles`` of outputs that were classified with ``profiles``: each row has the route and the note of its profile,
+    and of ``marks`` those that are named after it.
+
+    The profile is a constant of each part, so that a filter reaches the table that ``routed`` is read from.
+    """
+    names = ["route", "route_note", *marks]
+    common = [c for c in routed.columns if c not in {f"{n}_{p}" for n in names for p in profiles}]
+    part = lambda p: under_profiles(routed.select(*common, *[F.col(f"{n}_{p}").alias(n) for n in names]), [p])
+    return reduce(DataFrame.unionByName, [part(p) for p in profiles])

@@ -13,7 +13,7 @@ from linesieve.functions.text import (
     content_digest, content_id, estimate_tokens, let, line_count, normalize_line, normalize_newlines, render_view, saved_ratio,
     strip, strip_ansi,
 )
-from linesieve.operators.detect import SMALL, classify, detect_struct, eligibility, under_profiles
+from linesieve.operators.detect import SMALL, by_profile, classify, detect_struct, eligibility, under_profiles
 from linesieve.operators.lines import ID
 from linesieve.operators.reduce_text import may_need_windows, reduce_generic_cell
 from linesieve.plans.reduce import (
@@ -247,7 +247,7 @@ def compact_corpus(
     """All outputs with their view or the reason for showing the original.
 
     One pass finds everything that holds for an output whatever its profile (kind, size, secret) and writes
-    it, cut by route, profile and secret: the reducers read only their own part, none repeats the detection,
+    it once, cut by route, profile and secret: the reducers read only their own part, none repeats the detection,
     and routes that do not occur are not planned. Generic views that need no windows are made inside the rows of that
     table. Texts of outputs with a probable secret are written encrypted, here and by their reducers; those of skipped
     outputs are read again from ``outputs``. With ``profiles`` every output is judged under each of them (see
@@ -256,20 +256,26 @@ def compact_corpus(
     sized = eligibility(outputs)
     secret = F.when(F.col("skip_reason").isNull(), contains_secret(F.col("raw").cast("string"))).otherwise(False)
     found = classify(sized.withColumn("secret", F.coalesce(secret, F.lit(False))), profiles)
-    found = found.withColumn("route", F.when(F.col("skip_reason").isNull(), custom_route(F.col("route"))))
     judged = F.col("skip_reason").isNull()
+    names = {"": F.col("profile")} if profiles is None else {f"_{p}": F.lit(p) for p in profiles}
+    found = found.withColumns({f"route{n}": F.when(judged, custom_route(F.col(f"route{n}"))) for n in names})
     small = skipped(sized if profiles is None else under_profiles(sized, profiles), keep)
     options = {"store_available": store_available, "allow_secrets": allow_secrets, "keep": keep}
     if not staged:
         with unstaged():
-            return _reduced(found.drop("text").where(judged), None, **options).unionByName(small)
+            found = found.drop("text").where(judged)
+            return _reduced(found if profiles is None else by_profile(found, profiles), None, **options).unionByName(small)
     raw = F.col("raw")
-    long = judged & may_need_windows(line_count("text"), F.col("profile"))
-    kept = {
-        "raw": F.when(judged & ~F.col("secret"), raw), "sealed": F.when(judged & F.col("secret"), seal(raw)),
-        "cell": F.coalesce((F.col("route") == "generic") & F.col("profile").isNotNull() & ~long, F.lit(False)),
-    }
-    written = stage(found.withColumns(kept).drop("text"), "classified", ["route", "profile", "secret", "cell"])
+    kept = {"raw": F.when(judged & ~F.col("secret"), raw), "sealed": F.when(judged & F.col("secret"), seal(raw))}
+    for name, profile in names.items():
+        long = judged & may_need_windows(line_count("text"), profile)
+        kept[f"cell{name}"] = F.coalesce((F.col(f"route{name}") == "generic") & profile.isNotNull() & ~long, F.lit(False))
+    cut = [*[f"{part}{name}" for name in names for part in ("route", "cell")], "secret"]
+    found = found.withColumns(kept).drop("text")
+    if profiles is None:
+        written = stage(found, "classified", [*cut, "profile"])
+    else:
+        written = by_profile(stage(found, "classified", cut), profiles, ["cell"])
     work = written.where(F.col("route").isNotNull())
     done = []
     parts = _parts(written)

@@ -1,16 +1,19 @@
 """Views made inside the row of their text: equal to those of line tables, and no text is exchanged for them."""
 
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
 from linesieve.functions.knobs import PROFILES
+from linesieve.operators.detect import under_profiles
 from linesieve.operators.lines import ID, assemble_view
 from linesieve.operators.reduce_text import reduce_generic, reduce_generic_cell
 from linesieve.plans import compact
 from linesieve.plans.compact import compact_corpus
 from linesieve.plans.put import compact_and_store
 from linesieve.sources.outputs import explode_lines, with_output_defaults
+from linesieve.sources.staging import shared_dir
 from linesieve.sources.store_tables import read_artifacts, read_runs
 
 LINES = [
@@ -84,6 +87,26 @@ def test_a_put_writes_texts_once_and_exchanges_none(spark, tmp_path):
     assert files_of_tasks(spark) - before < 0.2 * size
 
 
+def test_texts_under_several_profiles_are_written_once(spark, tmp_path):
+    outputs = wide(spark, 700, 100)
+    outputs.select("raw").write.parquet(str(tmp_path / "texts"))
+    size = sum(f.stat().st_size for f in (tmp_path / "texts").rglob("*.parquet"))
+    known = set(Path(shared_dir(spark)).glob("linesieve-*"))
+    before = files_of_tasks(spark)
+    results = compact_corpus(outputs, profiles=PROFILES)
+    counts = {r.profile: (r.n, r.done) for r in results.groupBy("profile").agg(F.count("raw_bytes").alias("n"), F.count_if("transformed").alias("done")).collect()}
+    assert counts == {"strict": (700, 0), "safe": (700, 700), "max": (700, 700)}
+    written = sum(f.stat().st_size for d in set(Path(shared_dir(spark)).glob("linesieve-*")) - known for f in d.rglob("*.parquet"))
+    assert written < 1.3 * size and files_of_tasks(spark) - before < 0.2 * size
+
+
+def test_profiles_together_are_profiles_apart(spark):
+    ids = F.when(F.col(ID) == "5", None).when(F.col(ID).isin("7", "17"), "same").otherwise(F.col(ID))
+    rows = made(spark, 60, 200).select(ids.alias(ID), F.col("text").cast("binary").alias("raw"))
+    outputs = with_output_defaults(rows.cache(), **RULES | {"min_bytes": 40})
+    assert counted(compact_corpus(outputs, profiles=PROFILES)) == counted(compact_corpus(under_profiles(outputs)))
+
+
 def test_a_put_of_repeated_ids(spark, tmp_path):
     raw = lambda x: bytearray(("head\n" + "same line\n" * 40 + x).encode())
     rows = [("a", raw("1")), ("a", raw("1")), ("b", raw("1")), ("c", raw("2")), (None, raw("3"))]
